@@ -112,12 +112,17 @@ def spread_join(
     idx: str,
     how: str = "inner",
     chunk_rows: int = CHUNK_ROWS,
+    present: DataFrame | None = None,
 ) -> DataFrame:
     """Join per-key rows of ``small`` to ``big`` on the key *and* the chunk of ``idx``.
 
     ``small`` is repeated once per chunk that ``big`` has for the key, so no join task holds more of one key
-    than a chunk. ``how`` is ``inner`` or ``left``.
+    than a chunk. ``how`` is ``inner`` or ``left``. ``present`` is a cheaper frame with the same keys and indexes as ``big``.
     """
-    chunked = with_chunk(big, idx, chunk_rows)
-    present = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    return chunked.join(present.join(small, list(keys)), [*keys, CHUNK], how).drop(CHUNK)
+    known = with_chunk(big if present is None else present, idx, chunk_rows)
+    chunks = known.select(*keys, CHUNK).distinct()
+    return (
+        with_chunk(big, idx, chunk_rows)
+        .join(chunks.join(small, list(keys)), [*keys, CHUNK], how)
+        .drop(CHUNK)
+    )

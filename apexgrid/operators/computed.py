@@ -30,6 +30,7 @@ from apexgrid.operators.catalog import (
 from apexgrid.operators.series import add_steps
 from apexgrid.operators.stats import channel_stats
 from apexgrid.schema import CHANNEL, FREQ, IDX, SERIES, SESSION, VALUE
+from apexgrid.session import materialised
 
 NO_DATA = "expression references no channels with data"
 RESERVED = {SESSION, OUT_IDX, FREQ}
@@ -68,7 +69,7 @@ def evaluate(
     """One computed channel over all sessions: ``(rows, errors)``.
 
     ``rows`` has the layout of ``samples``; ``errors(session_id, name, message)`` lists sessions that lack a channel or
-    any data. Only samples of channels the expression can mean are shuffled: once to the resampler, once to the
+    any data. ``catalog(session_id, channel, channel_index, n_data)`` defaults to the channels of ``samples``. Only samples of channels the expression can mean are shuffled: once to the resampler, once to the
     ``(session, slot)`` pivot, and once more if there are series functions.
     """
     refs, aliases = list(definition.channel.refs), dict(aliases or {})
@@ -85,7 +86,9 @@ def evaluate(
     candidates = samples.filter(ascii_lower(F.col(CHANNEL)).isin(wanted_names(refs, aliases)))
     facts = series_facts(candidates, chunk_rows)
     found = resolved.groupBy(SESSION).agg(F.collect_set("ref").alias("_found"))
-    with_data = facts.filter("_head").join(resolved, [*SERIES]).select(SESSION, F.lit(True).alias("_data")).distinct()
+    with_data = (
+        catalog.filter("n_data > 0").join(resolved, [*SERIES]).select(SESSION, F.lit(True).alias("_data")).distinct()
+    )
     status = (
         sessions.join(found, SESSION, "left")
         .join(with_data, SESSION, "left")
@@ -128,23 +131,30 @@ def evaluate_all(
 ) -> tuple[DataFrame, DataFrame]:
     """All definitions, each after the ones it names exactly; definitions in a cycle become errors."""
     ordered, cyclic = dependency_order(definitions)
+    samples = samples.select(*SERIES, FREQ, IDX, VALUE)
+    catalog = materialised(channel_indexes(samples))
+    used = {r for d in definitions for r in d.channel.refs}
     done: dict[str, DataFrame] = {}
     rows, errors = [], []
     for d in ordered:
-        inputs = [done[r] for r in d.channel.refs if r in done and r != d.name]
-        available = reduce(DataFrame.unionByName, inputs, samples.select(*SERIES, FREQ, IDX, VALUE))
-        result, failed = evaluate(available, d, aliases, chunk_rows=chunk_rows)
-        done[d.name] = result
+        inputs = [done[r] for r in d.channel.refs if r in done]
+        available = reduce(DataFrame.unionByName, inputs, samples)
+        known = reduce(DataFrame.unionByName, map(_catalog_rows, inputs), catalog)
+        result, failed = evaluate(available, d, aliases, known, chunk_rows)
+        if d.name in used:
+            # read again by the definitions that build on it
+            result = materialised(result)
+            done[d.name] = result
         rows.append(result)
         errors.append(failed)
     names = {d.name for d in cyclic}
     for d in cyclic:
         missing = next(r for r in d.channel.refs if r in names)
         text = F.lit(f"math error: unknown channel '{missing}'")
-        errors.append(_errors(samples.select(SESSION).distinct(), d.name, text))
+        errors.append(_errors(catalog.select(SESSION).distinct(), d.name, text))
     return (
         reduce(DataFrame.unionByName, rows) if rows else _no_rows(samples),
-        reduce(DataFrame.unionByName, errors) if errors else _errors(samples.select(SESSION).limit(0), "", F.lit("")),
+        reduce(DataFrame.unionByName, errors) if errors else _errors(catalog.limit(0), "", F.lit("")),
     )
 
 
@@ -187,6 +197,12 @@ def evaluate_wide(
     return frame.select(*(c for c in frame.columns if c not in names), *(d.name for d in definitions))
 
 
+def _catalog_rows(rows: DataFrame) -> DataFrame:
+    """Catalogue rows of a computed channel, after the logged ones."""
+    counted = rows.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n_data"))
+    return counted.withColumn("channel_index", F.lit(2**31 - 1))
+
+
 def computed_stats(rows: DataFrame) -> DataFrame:
     """Minimum, maximum and average of computed channels."""
     return channel_stats(rows).drop("std_value")

@@ -155,22 +155,26 @@ def bucketed_laps(laps: DataFrame, bucket_secs: int = BUCKET_SECS) -> DataFrame:
     second of margin.
     """
     from_bucket = F.floor(F.greatest(F.col("start_time") - 1.0, F.lit(0.0)) / bucket_secs)
-    to_bucket = F.floor((F.col("end_time") + 1.0) / bucket_secs)
+    to_bucket = F.floor((F.greatest(F.col("end_time"), F.col("start_time")) + 1.0) / bucket_secs)
     return explode_span(laps, from_bucket, to_bucket, "_bucket", [SESSION, "number"])
 
 
-def assign_laps(samples: DataFrame, laps: DataFrame, bucket_secs: int = BUCKET_SECS) -> DataFrame:
+def assign_laps(
+    samples: DataFrame, laps: DataFrame, bucket_secs: int = BUCKET_SECS, keep_empty: bool = False
+) -> DataFrame:
     """Each sample with every lap it belongs to: ``floor(start*f) <= idx < ceil(end*f)``.
 
     A boundary sample can belong to two laps. The join is an equi-join on ``(session, bucket)``, so it neither needs
-    the laps to fit a broadcast nor puts a long session into one task; AQE still broadcasts a lap table that turns
-    out small.
+    the laps to fit a broadcast nor puts a long session into one task. It is always a merge join: the size of the
+    bucketed laps cannot be judged from the lap table, since a lap may be as long as its session. With ``keep_empty``
+    every lap also yields rows without a sample for its buckets that hold none.
     """
     rate, i = F.col(FREQ), F.col(IDX)
-    rows = samples.filter(rate > 0).withColumn("_bucket", F.floor(i / rate / bucket_secs))
-    spans = bucketed_laps(laps, bucket_secs)
-    return (
-        rows.join(spans, [SESSION, "_bucket"])
-        .filter((i >= F.floor(F.col("start_time") * rate)) & (i < F.ceil(F.col("end_time") * rate)))
-        .drop("_bucket")
+    rows = samples.filter(rate > 0).withColumn("_bucket", F.floor(i / rate / bucket_secs)).alias("s")
+    spans = bucketed_laps(laps, bucket_secs).alias("l").hint("merge")
+    inside = (i >= F.floor(F.col("start_time") * rate)) & (i < F.ceil(F.col("end_time") * rate))
+    same = (F.col(f"s.{SESSION}") == F.col(f"l.{SESSION}")) & (F.col("s._bucket") == F.col("l._bucket"))
+    own = [c for c in samples.columns if c != SESSION]
+    return spans.join(rows, same & inside, "left" if keep_empty else "inner").select(
+        f"l.{SESSION}", *own, *(c for c in laps.columns if c != SESSION)
     )

@@ -43,21 +43,21 @@ def crossing_times(
     # the few target rows of a session reach its laps, not its samples
     targets = track.filter(F.col(IDX).isin(points)).groupBy(SESSION).agg(*coordinates)
     goals = spread_join(laps.select(SESSION, *LAP), targets, [SESSION], "number", "left", chunk_rows)
-    rows = assign_laps(track.select(SESSION, IDX, FREQ, "time", "x", "y"), goals)
+    rows = assign_laps(track.select(SESSION, IDX, FREQ, "time", "x", "y"), goals, keep_empty=True)
 
     def nearest(p: int) -> Column:
         dx = F.col("x") - F.coalesce(F.col(f"_x{p}"), F.lit(0.0))
         dy = F.col("y") - F.coalesce(F.col(f"_y{p}"), F.lit(0.0))
-        return F.min(F.struct((dx * dx + dy * dy).alias("d"), F.col(IDX), F.col("time")))
+        passed = F.struct((dx * dx + dy * dy).alias("d"), F.col(IDX), F.col("time"))
+        return F.min(F.when(F.col(IDX).isNotNull(), passed))
 
-    crossed = rows.groupBy(SESSION, "number").agg(*(nearest(p)["time"].alias(f"at_{p}") for p in points))
-    return laps.select(SESSION, *LAP).join(crossed, [SESSION, "number"], "left")
+    return rows.groupBy(SESSION, *LAP).agg(*(nearest(p)["time"].alias(f"at_{p}") for p in points))
 
 
-def sector_times(
+def lap_sectors(
     track: DataFrame, laps: DataFrame, sectors: Sequence[Sector], chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Time of each sector in each lap, within [0, lap duration]: ``(session_id, number, lap, sector_no, sector, time_secs)``.
+    """Per lap, the times of all sectors in order: ``(session_id, number, lap, times ARRAY<DOUBLE>)``, each in [0, lap duration].
 
     A sector whose end is passed before its start wraps around the lap. A lap without samples passes both ends at
     the same time, so the sector takes the whole lap.
@@ -70,30 +70,63 @@ def sector_times(
         direct = F.when(end > start, end - start).otherwise(lap_time - (start - end))
         return F.greatest(F.lit(0.0), F.least(F.coalesce(direct, lap_time), lap_time))
 
-    entries = F.array(
-        *(
-            F.struct(F.lit(k).alias("sector_no"), F.lit(s.name).alias("sector"), spent(s).alias("time_secs"))
-            for k, s in enumerate(sectors)
-        )
-    )
     return crossed.select(
-        SESSION, "number", F.col("name").alias("lap"), F.explode(entries).alias("e")
-    ).select(SESSION, "number", "lap", "e.*")
+        SESSION, "number", F.col("name").alias("lap"), F.array(*map(spent, sectors)).alias("times")
+    )
+
+
+def sector_times(
+    track: DataFrame, laps: DataFrame, sectors: Sequence[Sector], chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Time of each sector in each lap: ``(session_id, number, lap, sector_no, sector, time_secs)``."""
+    names = F.array(*(F.lit(s.name) for s in sectors))
+    return (
+        lap_sectors(track, laps, sectors, chunk_rows)
+        .select(SESSION, "number", "lap", F.posexplode("times").alias("sector_no", "time_secs"))
+        .withColumn("sector", names[F.col("sector_no")])
+    )
 
 
-def sector_report(times: DataFrame, reference_lap: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Sector times and lap totals against the lap at position ``reference_lap`` (0 is the Out Lap).
+def sector_report(
+    track: DataFrame,
+    laps: DataFrame,
+    sectors: Sequence[Sector],
+    reference_lap: int,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Sector times and lap totals (``sector_no`` -1) against the lap at position ``reference_lap`` (0 is the Out Lap).
 
     The reference lap itself, and sessions that lack it, have no deltas.
     """
-    totals = times.groupBy(SESSION, "number", "lap").agg(F.sum("time_secs").alias("time_secs"))
-    rows = times.unionByName(totals.withColumns({"sector_no": F.lit(-1), "sector": F.lit("Total")}))
-    base = rows.filter(F.col("number") == reference_lap).select(
-        SESSION, "sector_no", F.col("time_secs").alias("ref_secs")
+
+    def with_total(times: DataFrame) -> DataFrame:
+        total = F.aggregate("times", F.lit(0.0), lambda a, t: a + t)
+        return times.withColumn("times", F.concat(F.array(total), F.col("times")))
+
+    rows = with_total(lap_sectors(track, laps, sectors, chunk_rows))
+    chosen = laps.filter(F.col("number") == reference_lap)
+    reference = with_total(lap_sectors(track, chosen, sectors, chunk_rows)).select(
+        SESSION, F.col("times").alias("_reference")
+    )
+    names = F.array(F.lit("Total"), *(F.lit(s.name) for s in sectors))
+    k = F.col("_k")
+    return (
+        spread_join(rows, reference, [SESSION], "number", "left", chunk_rows, present=laps)
+        .select(SESSION, "number", "lap", "_reference", F.posexplode("times").alias("_k", "time_secs"))
+        .select(
+            SESSION,
+            "number",
+            "lap",
+            (k - 1).alias("sector_no"),
+            names[k].alias("sector"),
+            "time_secs",
+            F.col("_reference")[k].alias("ref_secs"),
+        )
+        .withColumn(
+            "delta", F.when(F.col("number") != reference_lap, F.col("time_secs") - F.col("ref_secs"))
+        )
+        .withColumn("delta_class", delta_class(F.col("delta")))
     )
-    compared = spread_join(rows, base, [SESSION, "sector_no"], "number", "left", chunk_rows)
-    delta = F.when(F.col("number") != reference_lap, F.col("time_secs") - F.col("ref_secs"))
-    return compared.withColumn("delta", delta).withColumn("delta_class", delta_class(F.col("delta")))
 
 
 def delta_class(delta: Column) -> Column:

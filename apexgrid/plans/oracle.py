@@ -5,9 +5,9 @@ from __future__ import annotations
 NAN = "CAST('NaN' AS DOUBLE)"
 
 
-def r6(expression: str, name: str | None = None) -> str:
-    """Six decimals and no negative zero."""
-    text = f"ROUND({expression}, 6) + 0.0e0"
+def rounded(expression: str, name: str | None = None, bits: int = 20) -> str:
+    """Nearest multiple of ``2^-bits``, without negative zero."""
+    text = f"ROUND(({expression}) * {2**bits}e0) / {2**bits}e0 + 0.0e0"
     return f"{text} AS {name or expression}"
 
 
@@ -174,7 +174,7 @@ def _words(text: str) -> list[str]:
 
 
 STATS = ", ".join(
-    r6(f"{f}(value)", f"{name}_value")
+    rounded(f"{f}(value)", f"{name}_value")
     for f, name in [("MIN", "min"), ("MAX", "max"), ("AVG", "avg"), ("STDDEV_POP", "std")]
 )
 
@@ -182,7 +182,7 @@ STATS = ", ".join(
 def _decimated(source: str, width: int) -> str:
     """Bucket bounds as truncated multiples of n / width, raw points up to twice the width."""
     return f"""
-      SELECT session_id, channel, b AS bucket, {r6("time")}, mn AS min, mx AS max FROM (
+      SELECT session_id, channel, b AS bucket, {rounded("time")}, mn AS min, mx AS max FROM (
         SELECT session_id, channel, b, MAX((st + (s + e) // 2) / CAST(freq AS DOUBLE)) AS time,
           CASE WHEN ISNAN(ARG_MIN(value, pos)) THEN {NAN} ELSE MIN(CASE WHEN NOT ISNAN(value) THEN value END) END AS mn,
           CASE WHEN ISNAN(ARG_MIN(value, pos)) THEN {NAN} ELSE MAX(CASE WHEN NOT ISNAN(value) THEN value END) END AS mx
@@ -205,7 +205,7 @@ def _decimated(source: str, width: int) -> str:
 
 def _linear(source: str) -> str:
     return f"""
-      SELECT session_id, channel, out_idx, out_freq, {r6("v", "value")} FROM (
+      SELECT session_id, channel, out_idx, out_freq, {rounded("v", "value")} FROM (
         SELECT f.session_id, f.channel, g.out_idx, g.out_freq,
           CASE WHEN f.freq = g.out_freq AND f.n = gr.out_len THEN a.value
             WHEN g.lo + 1 >= f.n THEN z.value
@@ -224,7 +224,7 @@ def _linear(source: str) -> str:
 
 def _nearest(rows: str) -> str:
     return f"""
-      SELECT q.session_id, q.channel, q.out_idx, q.out_freq, {r6("s.value", "value")} FROM (
+      SELECT q.session_id, q.channel, q.out_idx, q.out_freq, {rounded("s.value", "value")} FROM (
         SELECT f.session_id, f.channel, g.out_freq, g.out_idx,
           LEAST(CASE WHEN f.freq = g.out_freq THEN g.out_idx
             ELSE CAST(ROUND(g.out_idx * (1.0e0 / g.out_freq) * f.freq) AS BIGINT) END, f.n - 1) AS k
@@ -233,7 +233,7 @@ def _nearest(rows: str) -> str:
 
 
 def _scalars(columns: dict[str, str]) -> str:
-    return "SELECT session_id, sample_idx, " + ", ".join(r6(e, n) for n, e in columns.items()) + " FROM pairs"
+    return "SELECT session_id, sample_idx, " + ", ".join(rounded(e, n) for n, e in columns.items()) + " FROM pairs"
 
 
 def _cmp(op: str, a: str, b: str) -> str:
@@ -314,7 +314,7 @@ def _tick(order: str = "sample_idx") -> str:
 
 
 def _template(expression: str) -> str:
-    return f"SELECT session_id, sample_idx, {r6(expression, 'value')} FROM vehicle"
+    return f"SELECT session_id, sample_idx, {rounded(expression, 'value')} FROM vehicle"
 
 
 def _oracles() -> dict[str, str]:
@@ -336,7 +336,7 @@ def _oracles() -> dict[str, str]:
     colour = _hsv("CAST((1.0e0 - share) * 240 AS FLOAT)")
     lat = f"CASE WHEN sample_idx % 53 IN (0, 1, 7) THEN {NAN} ELSE lat END"
     lon = f"CASE WHEN sample_idx % 41 = 5 THEN {NAN} ELSE lon END"
-    lap_columns = f"session_id, number, name, {r6('start_time')}, {r6('end_time')}"
+    lap_columns = f"session_id, number, name, {rounded('start_time')}, {rounded('end_time')}"
     ref_rows = "(VALUES " + ", ".join(
         f"('{r}')"
         for r in ["GPS Speed", "gps_speed", "Engine_RPM", "Revs", "rEVS", "GPS_Long", "Velocity", "Oil_Temp", "lap number"]
@@ -359,7 +359,7 @@ def _oracles() -> dict[str, str]:
           SELECT {lap_columns} FROM nlaps WHERE session_id NOT IN (
             SELECT session_id FROM laps WHERE session_id IN (SELECT session_id FROM clock WHERE lap_ms < 16000))""",
         "lap_list": f"""
-          SELECT {lap_columns}, {r6("end_time - start_time", "duration")},
+          SELECT {lap_columns}, {rounded("end_time - start_time", "duration")},
             CASE WHEN end_time - start_time >= 60 THEN
               CAST(FLOOR((end_time - start_time) / 60) AS BIGINT) || ':'
               || PRINTF('%06.3f', (end_time - start_time) - FLOOR((end_time - start_time) / 60) * 60)
@@ -369,18 +369,18 @@ def _oracles() -> dict[str, str]:
           SELECT session_id, channel, COUNT(*) AS n_samples FROM lapped WHERE number = 1 GROUP BY 1, 2""",
         "channel_summary": f"""
           SELECT session_id, channel, MAX(freq) AS freq, COUNT(*) AS n_samples,
-            {r6(f"CASE WHEN {seeded} THEN {NAN} ELSE MIN({known}) END", "min_value")},
-            {r6(f"CASE WHEN {seeded} THEN {NAN} ELSE MAX({known}) END", "max_value")},
-            {r6(f"CASE WHEN MAX(CASE WHEN ISNAN(value) THEN 1 ELSE 0 END) = 1 THEN {NAN} ELSE AVG({known}) END", "mean_value")}
+            {rounded(f"CASE WHEN {seeded} THEN {NAN} ELSE MIN({known}) END", "min_value")},
+            {rounded(f"CASE WHEN {seeded} THEN {NAN} ELSE MAX({known}) END", "max_value")},
+            {rounded(f"CASE WHEN MAX(CASE WHEN ISNAN(value) THEN 1 ELSE 0 END) = 1 THEN {NAN} ELSE AVG({known}) END", "mean_value")}
           FROM samples_nan GROUP BY session_id, channel""",
         "channel_stats": f"SELECT session_id, channel, {STATS} FROM samples_nan WHERE NOT ISNAN(value) GROUP BY 1, 2",
         "rate_counts": "SELECT freq, COUNT(*) AS n_channels FROM facts GROUP BY freq",
         "session_duration": f"""
-          SELECT session_id, {r6("MAX(n / CAST(freq AS DOUBLE))", "duration")}, COUNT(*) AS n_channels
+          SELECT session_id, {rounded("MAX(n / CAST(freq AS DOUBLE))", "duration")}, COUNT(*) AS n_channels
           FROM facts GROUP BY session_id""",
         "session_summary": f"""
           SELECT h.session_id, h.device_serial, 'Driver ' || h.device_serial AS driver, 'Venue ' || (h.last_event % 7) AS venue,
-            {r6("d.duration", "duration")}, d.n_channels, COALESCE(l.n_laps, 0) AS n_laps
+            {rounded("d.duration", "duration")}, d.n_channels, COALESCE(l.n_laps, 0) AS n_laps
           FROM (SELECT session_id, MIN(user_id) AS device_serial, MAX(event_id) AS last_event FROM ev GROUP BY 1) h
           JOIN (SELECT session_id, MAX(n / CAST(freq AS DOUBLE)) AS duration, COUNT(*) AS n_channels FROM facts GROUP BY 1) d
             ON d.session_id = h.session_id
@@ -389,7 +389,7 @@ def _oracles() -> dict[str, str]:
           SELECT session_id, channel, MIN(value) AS vmin, MAX(value) AS vmax
           FROM samples_nan WHERE NOT ISNAN(value) GROUP BY 1, 2""",
         "display_range": f"""
-          SELECT session_id, {r6("lo - pad", "y_min")}, {r6("hi + pad", "y_max")} FROM (
+          SELECT session_id, {rounded("lo - pad", "y_min")}, {rounded("hi + pad", "y_max")} FROM (
             SELECT session_id, lo, hi, CASE WHEN ABS(hi - lo) < 1e-10 THEN 1.0e0 ELSE (hi - lo) * 0.05e0 END AS pad
             FROM (SELECT session_id, MIN(value) AS lo, MAX(value) AS hi FROM samples_nan WHERE NOT ISNAN(value) GROUP BY 1) a) b""",
         "minmax_decimate": _decimated("samples", 17),
@@ -398,9 +398,9 @@ def _oracles() -> dict[str, str]:
           SELECT session_id, channel, freq, sample_idx, value FROM samples
           WHERE sample_idx >= CAST(TRUNC(1.05e0 * freq) AS BIGINT) AND sample_idx <= CAST(TRUNC(30.0e0 * freq) AS BIGINT)""",
         "chart_line": f"""
-          SELECT session_id, channel, bucket, time, {r6("(min + max) / 2.0e0", "value")} FROM ({_decimated(visible, 120)}) d""",
+          SELECT session_id, channel, bucket, time, {rounded("(min + max) / 2.0e0", "value")} FROM ({_decimated(visible, 120)}) d""",
         "overview_waveform": f"""
-          SELECT session_id, channel, bucket, time, {r6("(min - lo) / (hi - lo)", "low")}, {r6("(max - lo) / (hi - lo)", "high")}
+          SELECT session_id, channel, bucket, time, {rounded("(min - lo) / (hi - lo)", "low")}, {rounded("(max - lo) / (hi - lo)", "high")}
           FROM (SELECT *, MIN(min) OVER (PARTITION BY session_id) AS lo, MAX(max) OVER (PARTITION BY session_id) AS hi
                 FROM ({_decimated(overview, 40)}) d) w WHERE ABS(hi - lo) >= 1e-10""",
         "resample_linear": _linear("samples"),
@@ -410,7 +410,7 @@ def _oracles() -> dict[str, str]:
             "SELECT session_id, out_freq, UNNEST(RANGE(CAST(FLOOR(1.03e0 * out_freq) AS BIGINT), "
             "CAST(CEIL(9.98e0 * out_freq) AS BIGINT))) AS out_idx FROM grid"
         ),
-        "output_rates": f"SELECT session_id, out_freq, {r6('duration')}, out_len FROM grid",
+        "output_rates": f"SELECT session_id, out_freq, {rounded('duration')}, out_len FROM grid",
         "math_arith": _scalars(
             {
                 "r_number": "42.0e0",
@@ -512,20 +512,20 @@ def _oracles() -> dict[str, str]:
               ELSE PRINTF('%12.4f', v) END AS value_text
           FROM (SELECT session_id, sample_idx, value, ms / 1000.0e0 + value / 1000.0e0 AS secs, value - 250.0e0 AS v FROM clock) c""",
         "series_smooth": f"""
-          SELECT session_id, channel, sample_idx, {r6(_smoothed("value", 5, _RUN), "result")} FROM samples_nan""",
+          SELECT session_id, channel, sample_idx, {rounded(_smoothed("value", 5, _RUN), "result")} FROM samples_nan""",
         "series_derivative": f"""
-          SELECT session_id, channel, sample_idx, {r6(_slope("value", "freq", _RUN), "result")} FROM samples_nan""",
+          SELECT session_id, channel, sample_idx, {rounded(_slope("value", "freq", _RUN), "result")} FROM samples_nan""",
         "series_integrate": f"""
           SELECT session_id, channel, sample_idx,
-            {r6(f"CASE WHEN MAX(CASE WHEN ISNAN(area) THEN 1 ELSE 0 END) OVER ({_RUN}) = 1 THEN {NAN} "
+            {rounded(f"CASE WHEN MAX(CASE WHEN ISNAN(area) THEN 1 ELSE 0 END) OVER ({_RUN}) = 1 THEN {NAN} "
                 f"ELSE SUM(CASE WHEN ISNAN(area) THEN 0 ELSE area END) OVER ({_RUN}) END", "result")}
           FROM (SELECT *, {_area("value", "freq", _RUN)} AS area FROM samples_nan) q""",
         "series_smooth_wide": f"""
-          SELECT session_id, sample_idx, {r6(f"AVG(value) OVER ({_tick()} ROWS 99 PRECEDING)", "result")} FROM clock""",
+          SELECT session_id, sample_idx, {rounded(f"AVG(value) OVER ({_tick()} ROWS 99 PRECEDING)", "result")} FROM clock""",
         "series_smooth_by_channel": f"""
-          SELECT session_id, sample_idx, {r6(f"AVG(GPS_Speed) OVER ({_tick()} ROWS 6 PRECEDING)", "result")} FROM vehicle""",
+          SELECT session_id, sample_idx, {rounded(f"AVG(GPS_Speed) OVER ({_tick()} ROWS 6 PRECEDING)", "result")} FROM vehicle""",
         "series_nested": f"""
-          SELECT session_id, sample_idx, {r6(f"ABS({_slope('m', at10, _tick())})", "result")}
+          SELECT session_id, sample_idx, {rounded(f"ABS({_slope('m', at10, _tick())})", "result")}
           FROM (SELECT session_id, sample_idx, AVG(GPS_Speed) OVER ({_tick()} ROWS 4 PRECEDING) AS m FROM vehicle) q""",
         "template_pitch_angle": _template("DEGREES(ATAN2(G_Force_Long, 9.81e0))"),
         "template_roll_angle": _template("DEGREES(ATAN2(G_Force_Lat, 9.81e0))"),
@@ -537,17 +537,17 @@ def _oracles() -> dict[str, str]:
         "template_throttle_smoothed": _template(f"AVG(Throttle_Pos) OVER ({_tick()} ROWS 9 PRECEDING)"),
         "template_speed_delta": _template(_slope("GPS_Speed", at10, _tick())),
         "template_distance": f"""
-          SELECT session_id, sample_idx, {r6(f"SUM(area) OVER ({_tick()})", "value")}
+          SELECT session_id, sample_idx, {rounded(f"SUM(area) OVER ({_tick()})", "value")}
           FROM (SELECT session_id, sample_idx, {_area("(GPS_Speed / 3.6e0)", at10, _tick())} AS area FROM vehicle) q""",
         "computed_mixed_rates": f"""
           SELECT v.session_id, 'Spread' AS channel, v.out_freq AS freq, v.out_idx AS sample_idx,
-            {r6("(v.x - p.x) * 2", "value")}
+            {rounded("(v.x - p.x) * 2", "value")}
           FROM two v JOIN two p ON p.session_id = v.session_id AND p.out_idx = v.out_idx
           WHERE v.channel = 'view' AND p.channel = 'purchase'""",
         "computed_chain": f"""
-          SELECT session_id, 'Doubled' AS channel, freq, sample_idx, {r6("value * 2", "value")} FROM samples WHERE channel = 'click'
+          SELECT session_id, 'Doubled' AS channel, freq, sample_idx, {rounded("value * 2", "value")} FROM samples WHERE channel = 'click'
           UNION ALL
-          SELECT session_id, 'Slope', freq, sample_idx, {r6(_slope("(value * 2)", "freq", _RUN), "value")}
+          SELECT session_id, 'Slope', freq, sample_idx, {rounded(_slope("(value * 2)", "freq", _RUN), "value")}
           FROM samples WHERE channel = 'click'""",
         "computed_errors": """
           SELECT session_id, name, message FROM (SELECT DISTINCT session_id FROM samples) s, (VALUES
@@ -556,10 +556,10 @@ def _oracles() -> dict[str, str]:
             ('Loop B', 'math error: unknown channel ''Loop A'''),
             ('Constant', 'expression references no channels with data')) AS e(name, message)""",
         "computed_stats": f"""
-          SELECT session_id, 'Twice' AS channel, {r6("MIN(value * 2)", "min_value")}, {r6("MAX(value * 2)", "max_value")},
-            {r6("AVG(value * 2)", "avg_value")} FROM samples_nan WHERE channel = 'click' AND NOT ISNAN(value) GROUP BY 1""",
+          SELECT session_id, 'Twice' AS channel, {rounded("MIN(value * 2)", "min_value")}, {rounded("MAX(value * 2)", "max_value")},
+            {rounded("AVG(value * 2)", "avg_value")} FROM samples_nan WHERE channel = 'click' AND NOT ISNAN(value) GROUP BY 1""",
         "cursor_readout": f"""
-          SELECT session_id, probe_id, {r6("t")}, channel, {r6("v", "value")} FROM (
+          SELECT session_id, probe_id, {rounded("t")}, channel, {rounded("v", "value")} FROM (
             SELECT p.session_id, p.probe_id, p.t, f.channel,
               CASE WHEN p.t * f.freq >= f.n THEN f.last_value WHEN b.value IS NULL THEN a.value
                 ELSE a.value * (1.0e0 - (p.t * f.freq - TRUNC(p.t * f.freq))) + b.value * (p.t * f.freq - TRUNC(p.t * f.freq)) END AS v
@@ -569,10 +569,10 @@ def _oracles() -> dict[str, str]:
             LEFT JOIN samples b ON b.session_id = f.session_id AND b.channel = f.channel
               AND b.sample_idx = CAST(TRUNC(p.t * f.freq) AS BIGINT) + 1) q""",
         "track_position": f"""
-          SELECT p.session_id, p.probe_id, {r6("p.t", "t")}, k.sample_idx, {r6("k.x", "x")}, {r6("k.y", "y")}
+          SELECT p.session_id, p.probe_id, {rounded("p.t", "t")}, k.sample_idx, {rounded("k.x", "x")}, {rounded("k.y", "y")}
           FROM probes p JOIN ends e ON e.session_id = p.session_id
           JOIN track k ON k.session_id = p.session_id AND k.sample_idx = LEAST(CAST(ROUND(p.t * 10) AS BIGINT), e.n - 1)""",
-        "nearest_position": "SELECT session_id, probe_id, sample_idx, ROUND(d, 12) AS dist2 FROM nearest",
+        "nearest_position": f"SELECT session_id, probe_id, sample_idx, {rounded('d', 'dist2', 32)} FROM nearest",
         "define_sectors": """
           SELECT session_id, 'S' || (pair + 1) AS name, start_index, end_index FROM (
             SELECT session_id, probe_id // 2 AS pair, MAX(CASE WHEN probe_id % 2 = 0 THEN sample_idx END) AS start_index,
@@ -624,7 +624,7 @@ def _oracles() -> dict[str, str]:
             SELECT 1 FROM nd o WHERE o.session_id = d.session_id AND LOWER(o.name) = LOWER(d.name) AND o.def_id <> d.def_id)""",
         "referenced_channels": "SELECT DISTINCT UNNEST([c_mktsegment, n_name]) AS ref FROM defs",
         "gps_track": f"""
-          SELECT session_id, sample_idx, {r6("time")}, ROUND(x, 9) AS x, ROUND(y, 9) AS y FROM track""",
+          SELECT session_id, sample_idx, {rounded("time")}, {rounded("x")}, {rounded("y")} FROM track""",
         "gps_track_gaps": f"""
           WITH g AS (SELECT session_id, sample_idx, {lat} AS la, {lon} AS lo FROM timing),
           m AS (SELECT session_id, AVG(CASE WHEN NOT ISNAN(la) THEN la END) AS mla,
@@ -633,9 +633,9 @@ def _oracles() -> dict[str, str]:
                   CASE WHEN NOT ISNAN(la) AND NOT ISNAN(lo) THEN (lo - mlo) * COS(RADIANS(mla)) END AS x,
                   CASE WHEN NOT ISNAN(la) AND NOT ISNAN(lo) THEN la - mla END AS y
                 FROM g JOIN m ON g.session_id = m.session_id)
-          SELECT session_id, sample_idx, {r6("sample_idx / 10.0e0", "time")},
-            ROUND(COALESCE(LAST_VALUE(x IGNORE NULLS) OVER ({_tick()}), 0.0e0), 9) AS x,
-            ROUND(COALESCE(LAST_VALUE(y IGNORE NULLS) OVER ({_tick()}), 0.0e0), 9) AS y FROM p""",
+          SELECT session_id, sample_idx, {rounded("sample_idx / 10.0e0", "time")},
+            {rounded(f"COALESCE(LAST_VALUE(x IGNORE NULLS) OVER ({_tick()}), 0.0e0)", "x")},
+            {rounded(f"COALESCE(LAST_VALUE(y IGNORE NULLS) OVER ({_tick()}), 0.0e0)", "y")} FROM p""",
         "track_color": f"""
           WITH pos AS (SELECT t.session_id, f.channel, t.sample_idx, f.n, f.last_value, (t.sample_idx / 10.0e0) * f.freq AS place
                        FROM timing t JOIN facts f ON f.session_id = t.session_id),
@@ -649,16 +649,16 @@ def _oracles() -> dict[str, str]:
                        MAX(value) OVER (PARTITION BY session_id, channel) AS vmax FROM val),
           shared AS (SELECT *, GREATEST(0.0e0, LEAST(1.0e0, (value - vmin)
                        / CASE WHEN ABS(vmax - vmin) < 1e-10 THEN 1.0e0 ELSE vmax - vmin END)) AS share FROM ranged)
-          SELECT session_id, channel, sample_idx, {r6("value")}, {", ".join(f"{e} AS {n}" for n, e in colour.items())},
-            {r6("vmin")}, {r6("vmax")} FROM shared""",
+          SELECT session_id, channel, sample_idx, {rounded("value")}, {", ".join(f"{e} AS {n}" for n, e in colour.items())},
+            {rounded("vmin")}, {rounded("vmax")} FROM shared""",
         "color_legend": f"""
           WITH v AS (SELECT session_id, channel, MIN(value) AS vmin, MAX(value) AS vmax FROM samples GROUP BY 1, 2)
-          SELECT session_id, channel, vmin, vmax, CAST(step AS INTEGER) AS step, {r6("vmin + (vmax - vmin) * step / 59.0e0", "value")},
+          SELECT session_id, channel, vmin, vmax, CAST(step AS INTEGER) AS step, {rounded("vmin + (vmax - vmin) * step / 59.0e0", "value")},
             {", ".join(f"{e} AS {n}" for n, e in legend.items())}
           FROM v, RANGE(60) AS s(step)""",
-        "sector_times": f"SELECT session_id, number, lap, sector_no, sector, {r6('time_secs')} FROM stimes",
+        "sector_times": f"SELECT session_id, number, lap, sector_no, sector, {rounded('time_secs')} FROM stimes",
         "crossing_times": f"""
-          SELECT session_id, number, {", ".join(r6(f"MAX(CASE WHEN p = {p} THEN time END)", n)
+          SELECT session_id, number, {", ".join(rounded(f"MAX(CASE WHEN p = {p} THEN time END)", n)
             for p, n in [(0, "at_0"), (75, "at_75"), (1000000000, "at_beyond")])}
           FROM crossings GROUP BY 1, 2""",
         "sector_report": f"""
@@ -667,10 +667,11 @@ def _oracles() -> dict[str, str]:
           delta AS (SELECT e.*, b.time_secs AS ref_secs, CASE WHEN e.number <> 1 THEN e.time_secs - b.time_secs END AS delta
             FROM every e LEFT JOIN (SELECT * FROM every WHERE number = 1) b
               ON b.session_id = e.session_id AND b.sector_no = e.sector_no)
-          SELECT session_id, number, lap, sector_no, sector, {r6("time_secs")}, {r6("ref_secs")}, {r6("delta")},
+          SELECT session_id, number, lap, sector_no, sector, {rounded("time_secs")}, {rounded("ref_secs")}, {rounded("delta")},
             CASE WHEN delta < -0.01e0 THEN 'faster' WHEN delta > 0.01e0 THEN 'slower' WHEN delta IS NOT NULL THEN 'even' END
               AS delta_class FROM delta""",
     }
+    out |= _source_oracles()
     for corner in ("FL", "FR", "RL", "RR"):
         out[f"template_wheel_slip_{corner.lower()}"] = _template(
             f"(WheelSpeed_{corner} - GPS_Speed) / GREATEST(GPS_Speed, 1.0e0) * 100"
@@ -678,6 +679,89 @@ def _oracles() -> dict[str, str]:
     return out
 
 
+def _csv(channels: dict[str, int], window: tuple[float, float] | None = None) -> str:
+    """Nearest samples on the fastest of the chosen channels, as text."""
+    names = ", ".join(f"'{c}'" for c in channels)
+    first, last = ("0", "duration") if window is None else map(str, window)
+    cells = ", ".join(
+        f"MAX(CASE WHEN q.channel = '{c}' THEN PRINTF('%.{d}f', s.value) END) AS {c}" for c, d in channels.items()
+    )
+    return f"""
+      WITH rate AS (SELECT session_id, MAX(freq) AS out_freq, MAX(n / CAST(freq AS DOUBLE)) AS duration
+                    FROM facts WHERE channel IN ({names}) GROUP BY 1),
+      line AS (SELECT session_id, out_freq, UNNEST(RANGE(CAST(FLOOR(CAST({first} AS DOUBLE) * out_freq) AS BIGINT),
+                 CAST(CEIL(CAST({last} AS DOUBLE) * out_freq) AS BIGINT))) AS out_idx FROM rate)
+      SELECT q.session_id, q.out_idx, MAX(PRINTF('%.6f', q.out_idx * (1.0e0 / q.out_freq))) AS time_text, {cells} FROM (
+        SELECT f.session_id, f.channel, g.out_freq, g.out_idx,
+          LEAST(CASE WHEN f.freq = g.out_freq THEN g.out_idx
+            ELSE CAST(ROUND(g.out_idx * (1.0e0 / g.out_freq) * f.freq) AS BIGINT) END, f.n - 1) AS k
+        FROM facts f JOIN line g ON g.session_id = f.session_id WHERE f.channel IN ({names})) q
+      JOIN samples s ON s.session_id = q.session_id AND s.channel = q.channel AND s.sample_idx = q.k
+      GROUP BY q.session_id, q.out_idx"""
+
+
+def _source_oracles() -> dict[str, str]:
+    stored = """
+          SELECT s.session_id || '_' || (s.sample_idx // 4096) AS session_id, s.channel, s.freq, s.sample_idx % 4096 AS sample_idx,
+            s.value FROM samples s"""
+    decoded = """CASE channel WHEN 'view' THEN value WHEN 'click' THEN CAST(CAST(value AS FLOAT) AS DOUBLE)
+          WHEN 'purchase' THEN (FLOOR(value * 10) * 0.1e0 + 3) * 2 WHEN 'signup' THEN FLOOR(value * 10) / 4.0e0 * 0.01e0 - 1
+          ELSE FLOOR(value) END"""
+    part = """
+          SELECT p_partkey, REPLACE(REPLACE(REPLACE(p_name || '.' || p_brand, ' ', '.'), '#', ''), '.', ' ') AS name,
+            CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '%' ELSE SUBSTRING(p_type, 1, 1 + p_size % 3) END AS short,
+            CASE WHEN p_partkey % 3 = 0 THEN LOWER(SUBSTRING(p_type, 1, 3)) ELSE '' END AS unit,
+            p_partkey % 2 = 0 AS filled FROM part"""
+    return {
+        "scale_samples": f"""
+          WITH f AS (SELECT session_id, channel, (n + session_id) % 5 AS scale, (n + session_id) % 4 - 1 AS dec_places,
+                       (n + session_id) % 7 - 3 AS shift, (n + session_id) % 3 + 1 AS mul FROM facts)
+          SELECT s.session_id, s.channel, s.freq, s.sample_idx, {rounded("""CASE WHEN f.scale = 0 THEN s.value
+            ELSE (s.value / f.scale * POW(10.0e0, -f.dec_places) + f.shift) * f.mul END""", "value")}
+          FROM samples s JOIN f ON f.session_id = s.session_id AND f.channel = s.channel""",
+        "clean_names": f"""
+          SELECT p_partkey, CASE WHEN joined THEN name || short ELSE name END AS name,
+            CASE WHEN unit = '' OR joined THEN '' ELSE short END AS short_name,
+            CASE WHEN unit <> '' THEN unit WHEN joined THEN '' ELSE short END AS unit
+          FROM (SELECT *, filled AND LENGTH(short) BETWEEN 1 AND 2 AND short <> '%' AS joined FROM ({part}) p) q""",
+        "csv_rows": _csv({"click": 2, "purchase": 1, "signup": 0}),
+        "csv_rows_window": _csv({"purchase": 1, "error": 3}, (1.1, 7.7)),
+        "sidecar_totals": """
+          SELECT CAST(h.session_id AS VARCHAR) AS session_id, 'Driver ' || h.serial AS driver,
+            CASE WHEN h.session_id % 3 = 0 THEN CAST(n AS INTEGER) END AS total_laps,
+            CASE WHEN h.session_id % 3 = 0 THEN '1:0' || n || '.5 & up' END AS fastest_time,
+            CAST(NULL AS INTEGER) AS fastest_lap
+          FROM (SELECT session_id, MIN(user_id) AS serial FROM ev GROUP BY 1) h
+          LEFT JOIN (SELECT session_id, COUNT(*) AS n FROM laps GROUP BY 1) l ON l.session_id = h.session_id""",
+        "sidecar_markers": f"""
+          SELECT CAST(session_id AS VARCHAR) AS session_id, number, {rounded("start_time")}, {rounded("end_time")}
+          FROM laps WHERE session_id % 3 <> 2""",
+        "sidecar_errors": """
+          SELECT session_id || '.ldx' AS path, 'XML parse error' AS reason
+          FROM (SELECT DISTINCT session_id FROM laps) l WHERE session_id % 3 = 2""",
+        "config_tables": """
+          SELECT c_custkey || '.json' AS path, 'definition' AS kind, c_name AS name, '"GPS Speed" * ' || c_nationkey AS detail FROM customer
+          UNION ALL SELECT c_custkey || '.json', 'definition', 'Twice', 'Speed * 2' FROM customer
+          UNION ALL SELECT c_custkey || '.json', 'alias', 'Seg', c_mktsegment FROM customer WHERE c_custkey % 2 = 0
+          UNION ALL SELECT c_custkey || '.json', 'sector', 'S1', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 0
+          UNION ALL SELECT c_custkey || '.json', 'reference', 'lap', CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE 'none' END FROM customer""",
+        "log_samples": f"""
+          SELECT session_id, CAST(DENSE_RANK() OVER (PARTITION BY session_id ORDER BY channel) - 1 AS INTEGER) AS channel_index,
+            channel, freq, sample_idx, {rounded(decoded, "value")} FROM ({stored}) q""",
+        "log_channels": f"""
+          SELECT session_id, CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY channel) - 1 AS INTEGER) AS channel_index,
+            channel AS name, '' AS short_name, 'u' AS unit, MAX(freq) AS freq, COUNT(*) AS n_data,
+            CASE channel WHEN 'view' THEN 'float64' WHEN 'click' THEN 'float32' WHEN 'purchase' THEN 'int16'
+              WHEN 'signup' THEN 'int32' ELSE 'float16' END AS data_type
+          FROM ({stored}) q GROUP BY session_id, channel""",
+        "log_sessions": """
+          SELECT session_id || '_' || (sample_idx // 4096) AS session_id, 'Driver ' || session_id AS driver, 'Ring' AS venue,
+            CAST(28299 AS BIGINT) AS device_serial, COUNT(DISTINCT channel) AS num_channels_header,
+            'Run ' || (sample_idx // 4096) AS event_name, CAST(1100 AS BIGINT) AS vehicle_weight
+          FROM samples GROUP BY session_id, sample_idx // 4096""",
+    }
+
+
 BASE["two"] = """
         SELECT f.session_id, f.channel, g.out_idx, g.out_freq,
           CASE WHEN f.freq = g.out_freq AND f.n = g.out_len THEN a.value

@@ -25,17 +25,21 @@ from apexgrid.operators import (
 )
 from apexgrid.operators.computed import Definition
 from apexgrid.operators.presets import PRESET_NAMES, preset
-from apexgrid.plans import tables
+from apexgrid.plans import logimages, tables
+from apexgrid.sources import config, csvfile, motorlog, sidecar
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-DECIMALS = 6
+# Results are reported on a binary grid: decimal inputs never fall half-way between two of its points,
+# so the last digits of a sum do not decide how a value is rounded.
+GRID = 20
+FINE_GRID = 32  # for squared distances
 
 
-def rounded(c: str | Column, name: str | None = None) -> Column:
-    """Six decimals and no negative zero."""
+def rounded(c: str | Column, name: str | None = None, bits: int = GRID) -> Column:
+    """Nearest multiple of ``2^-bits``, without negative zero."""
     column = F.col(c) if isinstance(c, str) else c
-    out = F.round(column, DECIMALS) + F.lit(0.0)
+    out = F.round(column * float(2**bits)) / float(2**bits) + F.lit(0.0)
     return out.alias(name or c) if name or isinstance(c, str) else out
 
 
@@ -409,7 +413,7 @@ def nearest_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lookup.nearest_position(
         track.gps_track(tables.positions(spark, sf_dir)), _position_probes(spark, sf_dir)
     )
-    return found.select("session_id", "probe_id", "sample_idx", F.round("dist2", 12).alias("dist2"))
+    return found.select("session_id", "probe_id", "sample_idx", rounded("dist2", bits=FINE_GRID))
 
 
 # catalogue
@@ -499,7 +503,7 @@ def referenced_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gps_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = track.gps_track(tables.positions(spark, sf_dir))
-    return found.select("session_id", "sample_idx", rounded("time"), *(F.round(c, 9).alias(c) for c in "xy"))
+    return found.select("session_id", "sample_idx", rounded("time"), rounded("x"), rounded("y"))
 
 
 def gps_track_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,13 +521,11 @@ def gps_track_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = lat.unionByName(lon)
     positions = track.gps_positions(both, catalog.channel_indexes(both))
     found = track.gps_track(positions)
-    return found.select("session_id", "sample_idx", rounded("time"), *(F.round(c, 9).alias(c) for c in "xy"))
+    return found.select("session_id", "sample_idx", rounded("time"), rounded("x"), rounded("y"))
 
 
 def track_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    colored = track.track_color(
-        tables.samples(spark, sf_dir), track.gps_track(tables.positions(spark, sf_dir))
-    )
+    colored = track.track_color(tables.samples(spark, sf_dir), tables.positions(spark, sf_dir))
     return _round(colored, "value", "vmin", "vmax")
 
 
@@ -532,16 +534,13 @@ def color_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(track.color_legend(ranges), "value")
 
 
-def _sector_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sectors.sector_times(
+def sector_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = sectors.sector_times(
         track.gps_track(tables.positions(spark, sf_dir)),
         laps.detect_from_timer(tables.timer(spark, sf_dir)),
         tables.SECTORS,
     )
-
-
-def sector_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(_sector_times(spark, sf_dir), "time_secs")
+    return _round(times, "time_secs")
 
 
 def crossing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -555,7 +554,12 @@ def crossing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = sectors.sector_report(_sector_times(spark, sf_dir), 1)
+    report = sectors.sector_report(
+        track.gps_track(tables.positions(spark, sf_dir)),
+        laps.detect_from_timer(tables.timer(spark, sf_dir)),
+        tables.SECTORS,
+        reference_lap=1,
+    )
     return _round(report, "time_secs", "ref_secs", "delta")
 
 
@@ -564,6 +568,150 @@ def define_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sectors.define_sectors(track.gps_track(tables.positions(spark, sf_dir)), picks)
 
 
+# sources and sinks
+
+
+def scale_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every channel with its own factors, among them a scale of 0."""
+    raw = tables.samples(spark, sf_dir)
+    k = F.col("n_data") + F.col("session_id")
+    channels = stats.catalog_of(raw).select(
+        "session_id",
+        "channel",
+        (k % 5).cast("smallint").alias("scale"),
+        (k % 4 - 1).cast("smallint").alias("dec_places"),
+        (k % 7 - 3).cast("smallint").alias("shift"),
+        (k % 3 + 1).cast("smallint").alias("mul"),
+    )
+    return _round(motorlog.scale_samples(raw, channels), "value")
+
+
+def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part descriptions as stored channel strings."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    stored = part.select(
+        "p_partkey",
+        F.translate(F.concat_ws(".", "p_name", "p_brand"), " #", ".").alias("raw_name"),
+        F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, "%").otherwise(
+            F.substring("p_type", 1, F.lit(1) + F.col("p_size") % 3)
+        ).alias("raw_short"),
+        F.when(F.col("p_partkey") % 3 == 0, F.lower(F.substring("p_type", 1, 3))).otherwise("").alias("raw_unit"),
+        (F.col("p_partkey") % 2 == 0).alias("name_filled"),
+    )
+    return catalog.clean_names(stored).select("p_partkey", "name", "short_name", "unit")
+
+
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = csvfile.csv_rows(tables.samples(spark, sf_dir), {"click": 2, "purchase": 1, "signup": 0})
+    return rows.withColumnRenamed(csvfile.TIME_HEADER, "time_text")
+
+
+def csv_rows_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = csvfile.csv_rows(tables.samples(spark, sf_dir), {"purchase": 1, "error": 3}, (1.1, 7.7))
+    return rows.withColumnRenamed(csvfile.TIME_HEADER, "time_text")
+
+
+def _sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecar texts with the laps of each session as markers; every third one lacks its totals or is cut short."""
+    found = laps.detect_from_timer(tables.timer(spark, sf_dir))
+    marker = F.concat(
+        F.lit('<MarkerPair Time="'), F.col("start_time"), F.lit('" Color="7" EndTime="'), F.col("end_time"), F.lit('"/>')
+    )
+    per_session = found.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("number", marker.alias("m")))).alias("ms")
+    )
+    totals = F.when(F.col("session_id") % 3 == 1, F.lit("")).otherwise(
+        F.concat(
+            F.lit('<String Id="Total Laps" Value="0"/><String Id="Fastest Time" Value="1:0'),
+            F.col("n"),
+            F.lit('.5 &amp; up"/>\n <String Value="'),
+            F.col("n"),
+            F.lit('" Id="Total Laps"/><String Id="Fastest Lap" Value="n/a"/>'),
+        )
+    )
+    closing = F.when(F.col("session_id") % 3 == 2, F.lit("</Layers>")).otherwise(F.lit("</Layers></LDXFile>"))
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?>\n<LDXFile Version="1.6">\n<Layers><!-- <String Id="Total Laps" Value="9"/> -->'),
+        totals,
+        F.concat_ws("\n", F.transform("ms", lambda m: m["m"])),
+        closing,
+    )
+    return per_session.select(F.concat(F.col("session_id"), F.lit(".ldx")).alias("path"), xml.alias("xml"))
+
+
+def sidecar_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers = tables.session_headers(spark, sf_dir).select(F.col("session_id").cast("string"), "driver")
+    return sidecar.with_sidecars(headers, sidecar.parse_sidecars(_sidecar_files(spark, sf_dir)))
+
+
+def sidecar_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sidecar.marker_laps(sidecar.parse_sidecars(_sidecar_files(spark, sf_dir)))
+    return _round(found, "start_time", "end_time")
+
+
+def sidecar_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sidecar.malformed_sidecars(_sidecar_files(spark, sf_dir))
+
+
+def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored configuration per customer, some without optional parts."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    text = F.concat(
+        F.lit('{"worksheets": [{"name": "Main"}], "active_worksheet": 0, "math_channels": [{"name": "'),
+        F.col("c_name"),
+        F.lit('", "expression": "\\"GPS Speed\\" * '),
+        F.col("c_nationkey"),
+        F.lit('", "unit": "km/h", "dec_places": 1}, {"name": "Twice", "expression": "Speed * 2", "unit": "", "dec_places": 0}]'),
+        F.when(
+            F.col("c_custkey") % 2 == 0,
+            F.concat(
+                F.lit(', "channel_aliases": [{"alias": "Seg", "target": "old"}, {"alias": "Seg", "target": "'),
+                F.col("c_mktsegment"),
+                F.lit('"}], "sectors": [{"name": "S1", "start_index": 0, "end_index": '),
+                F.col("c_custkey"),
+                F.lit('}], "reference_lap": 1'),
+            ),
+        ).otherwise(""),
+        F.lit("}"),
+    )
+    files = customer.select(F.concat(F.col("c_custkey"), F.lit(".json")).alias("path"), text.alias("json"))
+    return config.parse_configs(files)
+
+
+def config_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts of the configurations in one list."""
+    found = _configs(spark, sf_dir)
+    defs = config.channel_defs(found).select(
+        "path", F.lit("definition").alias("kind"), "name", F.col("expression").alias("detail")
+    )
+    aliases = config.aliases(found).select("path", F.lit("alias"), "alias", "target")
+    sections = config.sectors(found).select("path", F.lit("sector"), "name", F.col("end_index").cast("string"))
+    reference = config.reference_laps(found).select(
+        "path", F.lit("reference"), F.lit("lap"), F.coalesce(F.col("reference_lap").cast("string"), F.lit("none"))
+    )
+    return defs.union(aliases).union(sections).union(reference)
+
+
+def log_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples stored as binary logs of five sample types, and decoded again."""
+    images = logimages.log_images(tables.samples(spark, sf_dir))
+    return _round(motorlog.decode_logs(images, "samples"), "value")
+
+
+def log_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = logimages.log_images(tables.samples(spark, sf_dir))
+    found = catalog.clean_names(motorlog.decode_logs(images, "channels"))
+    return found.select("session_id", "channel_index", "name", "short_name", "unit", "freq", "n_data", "data_type")
+
+
+def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = logimages.log_images(tables.samples(spark, sf_dir))
+    found = motorlog.decode_logs(images, "sessions")
+    return found.select(
+        "session_id", "driver", "venue", "device_serial", "num_channels_header", "event.event_name", "event.vehicle_weight"
+    )
+
+
 def queries() -> dict[str, Query]:
     plain = [
         lap_report,
@@ -621,6 +769,17 @@ def queries() -> dict[str, Query]:
         crossing_times,
         sector_report,
         define_sectors,
+        scale_samples,
+        clean_names,
+        csv_rows,
+        csv_rows_window,
+        sidecar_totals,
+        sidecar_markers,
+        sidecar_errors,
+        config_tables,
+        log_samples,
+        log_channels,
+        log_sessions,
     ]
     found: dict[str, Query] = {q.__name__: q for q in plain}
     found["series_smooth"] = partial(_series, series.smooth, window=5)

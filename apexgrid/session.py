@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # size-independent settings that the operators profit from on any cluster
 SETTINGS = {
@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # do not record the Python stack of every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -31,3 +33,15 @@ def local_session(cpus: str | int = 8, memory: str = "8g", partitions: int = 8)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder, for results that several later steps read.
+
+    The folder is the cluster's ``spark.checkpoint.dir``, shared by all executors; one is made only where none is set.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
