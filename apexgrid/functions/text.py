@@ -43,56 +43,57 @@ def from_text(expression: str) -> Ch:
     """Computed channel for an expression text; ``ValueError`` says what is wrong with it."""
     if not expression.strip():
         raise ValueError("empty expression")
+    text, channels = _python_text(expression)
     try:
-        tree = ast.parse(_python_text(expression).strip(), mode="eval")
+        tree = ast.parse(text.strip(), mode="eval")
     except SyntaxError as error:
         raise ValueError(f"cannot read expression: {error.msg}") from error
-    return _build(tree.body)
+    return _build(tree.body, channels)
 
 
-def _python_text(expression: str) -> str:
-    parts, at = [], 0
+def _python_text(expression: str) -> tuple[str, list[str]]:
+    """The text with channel names replaced by ``_0``, ``_1``, ..., and those names."""
+    parts, channels, at = [], [], 0
     while at < len(expression):
         token = _TOKEN.match(expression, at)
         if token is None:
             raise ValueError(f"unexpected character '{expression[at]}'")
         at = token.end()
         name = token["name"]
-        if token["quoted"] is not None:
-            parts.append(repr(token["quoted"]))
-        elif name is None:
-            parts.append(_REWRITTEN.get(token[0], token[0]))
-        elif token["call"] and name.lower() in {*SERIES_FUNCTIONS, *scalar.FUNCTIONS}:
-            parts.append(f"_{name.lower()}(")
+        if name is not None and token["call"] and name.lower() in {*SERIES_FUNCTIONS, *scalar.FUNCTIONS}:
+            parts.append(f"{name.lower()}(")
+        elif name is not None or token["quoted"] is not None:
+            parts.append(f" _{len(channels)} " + (token["call"] or ""))
+            channels.append(name if name is not None else token["quoted"])
         else:
-            parts.append(repr(name) + (token["call"] or ""))
-    return "".join(parts)
+            parts.append(_REWRITTEN.get(token[0], token[0]))
+    return "".join(parts), channels
+
 
+def _build(node: ast.expr, channels: list[str]) -> Ch:
+    def build(inner: ast.expr) -> Ch:
+        return _build(inner, channels)
+
+    def argument(inner: ast.expr) -> Ch | float:
+        """Plain numbers stay numbers: a moving average needs its width when the plan is made."""
+        return float(inner.value) if isinstance(inner, ast.Constant) else build(inner)
 
-def _build(node: ast.expr) -> Ch:
     match node:
-        case ast.Constant(value=str(name)):
-            return ch(name)
+        case ast.Name(id=name) if name[0] == "_":
+            return ch(channels[int(name[1:])])
         case ast.Constant(value=int() | float() as number):
             return Ch(scalar.arg(number))
         case ast.UnaryOp(op=ast.USub(), operand=inner):
-            return -_build(inner)
+            return -build(inner)
         case ast.UnaryOp(op=ast.Invert(), operand=inner):
-            return ~_build(inner)
+            return ~build(inner)
         case ast.BinOp(left=left, op=op, right=right) if type(op) in _BINARY:
-            return _BINARY[type(op)](_build(left), _build(right))
+            return _BINARY[type(op)](build(left), build(right))
         case ast.Compare(left=left, ops=[op], comparators=[right]) if type(op) in _COMPARE:
-            return _COMPARE[type(op)](_build(left), _build(right))
+            return _COMPARE[type(op)](build(left), build(right))
         case ast.BoolOp(op=op, values=values):
             both = scalar.and_ if isinstance(op, ast.And) else scalar.or_
-            return reduce(lambda a, b: call(both, a, b), map(_build, values))
-        case ast.Call(func=ast.Name(id=name), args=args, keywords=[]):
-            return fn(name[1:], *(_argument(a) for a in args))
+            return reduce(lambda a, b: call(both, a, b), map(build, values))
+        case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name[0] != "_":
+            return fn(name, *map(argument, args))
     raise ValueError("unexpected tokens in expression")
-
-
-def _argument(node: ast.expr) -> Ch | float:
-    """Plain numbers stay numbers: a moving average needs its width when the plan is made."""
-    if isinstance(node, ast.Constant) and not isinstance(node.value, str):
-        return float(node.value)
-    return _build(node)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,13 +65,19 @@ def clean_names(
 
 
 def refs_frame(spark: SparkSession, refs: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(r,) for r in refs], "ref string")
+    return _local(spark, {"ref": list(refs)})
 
 
 def aliases_frame(spark: SparkSession, aliases: Mapping[str, str] | DataFrame | None) -> DataFrame:
     if isinstance(aliases, DataFrame):
         return aliases.select("alias", "target")
-    return spark.createDataFrame(list((aliases or {}).items()), "alias string, target string")
+    aliases = aliases or {}
+    return _local(spark, {"alias": list(aliases), "target": list(aliases.values())})
+
+
+def _local(spark: SparkSession, columns: dict[str, list[str]]) -> DataFrame:
+    """Strings held by the plan itself, so that the optimizer knows their exact size."""
+    return spark.createDataFrame(pa.table({k: pa.array(v, pa.string()) for k, v in columns.items()}))
 
 
 def _variants(refs: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 ``option("table", ...)`` selects ``sessions``, ``channels`` (strings as stored), ``samples`` or ``bad_files``. The driver
 only lists files and sizes; it opens none. Small files are packed together and large ones split by share of their
-samples, so that tasks are of similar size whatever the mix. Filters on channel and sample index are applied before
-decoding when ``spark.sql.python.filterPushdown.enabled`` is set.
+samples, so that tasks are of similar size whatever the mix. With ``option("pushfilters", "true")``, which needs
+``spark.sql.python.filterPushdown.enabled``, filters on channel and sample index are applied before decoding.
 """
 
 from __future__ import annotations
@@ -100,9 +100,9 @@ class MotorLog(DataSource):
         return TABLES[self._table()]
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return MotorLogReader(
-            self.options["path"], self._table(), int(self.options.get("targetbytes", TARGET_BYTES))
-        )
+        push = self.options.get("pushfilters", "false") == "true"
+        make = FilteringReader if push else MotorLogReader
+        return make(self.options["path"], self._table(), int(self.options.get("targetbytes", TARGET_BYTES)))
 
     def _table(self) -> str:
         table = self.options.get("table", "samples")
@@ -116,14 +116,6 @@ class MotorLogReader(DataSourceReader):
         self.path, self.table, self.target_bytes = path, table, target_bytes
         self.wanted = Wanted()
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            narrowed = self.wanted.narrowed(f) if self.table == "samples" else None
-            if narrowed is None:
-                yield f
-            else:
-                self.wanted = narrowed
-
     def partitions(self) -> Sequence[InputPartition]:
         files = list_logs(self.path)
         split = self.table == "samples"
@@ -170,6 +162,18 @@ class MotorLogReader(DataSourceReader):
             yield from sample_batches(session_id, log, self.wanted, partition.part, partition.parts)
 
 
+class FilteringReader(MotorLogReader):
+    """Spark refuses a reader that takes filters unless filter pushdown is enabled."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            narrowed = self.wanted.narrowed(f) if self.table == "samples" else None
+            if narrowed is None:
+                yield f
+            else:
+                self.wanted = narrowed
+
+
 def channel_batch(session_id: str, channels: list[Channel]) -> pa.RecordBatch:
     fields = [f for f in schema.RAW_CHANNELS.names if f not in ("session_id", "channel_index")]
     rows = [
@@ -247,7 +251,8 @@ def session_of(path: str, root: str = "") -> str:
 
 def read_table(spark: SparkSession, path: str, table: str, **options) -> DataFrame:
     spark.dataSource.register(MotorLog)
-    reader = spark.read.format("motorlog").option("table", table)
+    push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("motorlog").option("table", table).option("pushfilters", push)
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.load(path)
