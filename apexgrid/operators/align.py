@@ -20,6 +20,7 @@ from apexgrid.chunking import (
     CHUNK,
     CHUNK_ROWS,
     CORE,
+    chunk_facts,
     chunk_window,
     explode_span,
     with_chunk,
@@ -174,7 +175,7 @@ def resample_nearest(
     k = F.col(IDX)
     rows = (
         with_chunk(samples.select(*SERIES, IDX, VALUE), IDX, chunk_rows)
-        .join(plan, [*SERIES, CHUNK])
+        .join(chunk_facts(plan), [*SERIES, CHUNK])
         .filter(F.col(FREQ) > 0)
     )
     body = _emit(
@@ -238,12 +239,17 @@ def _hold(
 
 
 def pivot_channels(
-    aligned: DataFrame, channels: list[str], by: str = CHANNEL, fill: float | None = 0.0
+    aligned: DataFrame,
+    channels: list[str],
+    by: str = CHANNEL,
+    fill: float | None = 0.0,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Wide frame ``(session_id, out_idx, freq, <one column per channel>)``.
 
-    Conditional aggregates pivot in a single shuffle on ``(session_id, out_idx)``. ``by`` may be an array column of
-    names. Channels without data read as ``fill``.
+    Conditional aggregates pivot in a single shuffle. Rows of a slot come from different tasks, so aggregating before the
+    shuffle would not shrink them; repartitioning first makes both aggregation steps run after it. ``by`` may be an array
+    column of names. Channels without data read as ``fill``.
     """
     is_array = dict(aligned.dtypes)[by].startswith("array")
 
@@ -252,6 +258,10 @@ def pivot_channels(
         found = F.max(F.when(named, F.col(VALUE)))
         return found if fill is None else F.coalesce(found, F.lit(fill))
 
-    return aligned.groupBy(SESSION, OUT_IDX).agg(
-        F.max(OUT_FREQ).alias(FREQ), *(cell(c).alias(c) for c in channels)
+    return (
+        with_chunk(aligned, OUT_IDX, chunk_rows)
+        .repartition(SESSION, CHUNK)
+        .groupBy(SESSION, CHUNK, OUT_IDX)
+        .agg(F.max(OUT_FREQ).alias(FREQ), *(cell(c).alias(c) for c in channels))
+        .drop(CHUNK)
     )

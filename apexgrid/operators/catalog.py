@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from apexgrid.chunking import spread_join
 from apexgrid.schema import CHANNEL, SESSION
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -200,18 +201,18 @@ def search_catalog(catalog: DataFrame, text: str) -> DataFrame:
 def name_conflicts(definitions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Definitions whose name another channel of the session already has, in any letter case.
 
-    ``definitions(session_id, def_id, name)`` conflict with ``catalog(session_id, channel)`` and with definitions of
+    ``definitions(session_id, def_id, name)``, with whole numbers as ids, conflict with ``catalog(session_id, channel)`` and with definitions of
     another ``def_id``. Empty names never conflict.
     """
     folded = definitions.filter(F.col("name") != "").withColumn("_key", ascii_lower(F.col("name")))
     physical = catalog.select(SESSION, ascii_lower(F.col(CHANNEL)).alias("_key")).distinct()
-    taken = folded.join(physical, [SESSION, "_key"], "left_semi").select(
+    taken = spread_join(folded, physical, [SESSION, "_key"], "def_id").select(
         SESSION, "def_id", "name", F.lit("physical").alias("conflicts_with")
     )
     shared = folded.groupBy(SESSION, "_key").agg(
         F.min("def_id").alias("_lo"), F.max("def_id").alias("_hi")
     ).filter(F.col("_lo") < F.col("_hi"))
-    repeated = folded.join(shared, [SESSION, "_key"], "left_semi").select(
+    repeated = spread_join(folded, shared, [SESSION, "_key"], "def_id").select(
         SESSION, "def_id", "name", F.lit("math").alias("conflicts_with")
     )
     return taken.unionByName(repeated)

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apexgrid.chunking import CHUNK_ROWS
@@ -77,41 +77,38 @@ def evaluate(
     if clash:
         raise ValueError(f"alias these channel names first: {sorted(clash)}")
     spark = samples.sparkSession
-    catalog = channel_indexes(samples) if catalog is None else catalog
-    sessions = catalog.select(SESSION).distinct()
+    sessions = (samples if catalog is None else catalog).select(SESSION).distinct()
     if not refs:
         return _no_rows(samples), _errors(sessions, definition.name, F.lit(NO_DATA))
 
-    resolved = resolve_names(catalog, refs_frame(spark, refs), aliases_frame(spark, aliases))
     candidates = samples.filter(ascii_lower(F.col(CHANNEL)).isin(wanted_names(refs, aliases)))
     facts = series_facts(candidates, chunk_rows)
-    found = resolved.groupBy(SESSION).agg(F.collect_set("ref").alias("_found"))
-    with_data = (
-        catalog.filter("n_data > 0").join(resolved, [*SERIES]).select(SESSION, F.lit(True).alias("_data")).distinct()
-    )
-    status = (
-        sessions.join(found, SESSION, "left")
-        .join(with_data, SESSION, "left")
-        .withColumn(
-            "_missing",
-            F.array_except(
-                F.array(*map(F.lit, refs)), F.coalesce("_found", F.array().cast("array<string>"))
-            ),
-        )
+    if catalog is None:
+        # every channel that a reference can mean is a candidate
+        catalog = facts.filter("_head").select(*SERIES, F.lit(0).alias("channel_index"), F.col("n").alias("n_data"))
+    resolved = resolve_names(catalog, refs_frame(spark, refs), aliases_frame(spark, aliases))
+
+    with_data = catalog.filter("n_data > 0").select(*SERIES, F.lit(True).alias("_data"))
+    status = resolved.join(with_data, [*SERIES], "left").groupBy(SESSION).agg(
+        F.collect_set("ref").alias("_found"), F.max("_data").alias("_data")
     )
+    missing = F.array_except(F.array(*map(F.lit, refs)), F.col("_found"))
     message = F.when(F.col("_data").isNull(), F.lit(NO_DATA)).when(
-        F.size("_missing") > 0,
-        F.concat(F.lit("math error: unknown channel '"), F.col("_missing")[0], F.lit("'")),
+        F.size(missing) > 0, F.concat(F.lit("math error: unknown channel '"), F.get(missing, 0), F.lit("'"))
     )
-    errors = _errors(status.withColumn("_message", message).filter("_message IS NOT NULL"), definition.name, F.col("_message"))
+    checked = sessions.join(status, SESSION, "left").withColumn("_message", message)
+    errors = _errors(checked.filter("_message IS NOT NULL"), definition.name, F.col("_message"))
 
-    complete = found.filter(F.size("_found") == len(refs)).select(SESSION)
+    session = Window.partitionBy(SESSION)
     by_channel = (
-        resolved.join(complete, SESSION, "left_semi").groupBy(*SERIES).agg(F.collect_set("ref").alias("refs"))
+        resolved.withColumn("_known", F.count(F.lit(1)).over(session))
+        .filter(F.col("_known") == len(refs))
+        .groupBy(*SERIES)
+        .agg(F.collect_set("ref").alias("refs"))
     )
     plan = output_rate(facts.join(by_channel, [*SERIES]))
     aligned = linear_on_plan(candidates, plan, chunk_rows, keep=("refs",))
-    wide = pivot_channels(aligned, refs, by="refs")
+    wide = pivot_channels(aligned, refs, by="refs", chunk_rows=chunk_rows)
     wide = add_steps(wide, definition.channel.steps, [SESSION], OUT_IDX, FREQ, chunk_rows)
     rows = wide.select(
         SESSION,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexgrid.chunking import CHUNK, CHUNK_ROWS, int_div, with_chunk
+from apexgrid.chunking import CHUNK, CHUNK_ROWS, chunk_facts, int_div, with_chunk
 from apexgrid.functions.scalar import nan
 from apexgrid.schema import FREQ, IDX, SERIES, SESSION, VALUE
 
@@ -59,7 +59,7 @@ def decimate(
     )
     rows = (
         with_chunk(samples, IDX, chunk_rows)
-        .join(facts, [*SERIES, CHUNK])
+        .join(chunk_facts(facts), [*SERIES, CHUNK])
         .withColumn("_guess", F.floor(pos / size))
         .withColumn("bucket", bucket)
         .filter(raw | (F.col("bucket") < width))

@@ -208,18 +208,16 @@ def forward_fill(
 ) -> DataFrame:
     """Replace ``columns`` by their last values on a row where ``good`` held, else by ``default``."""
     keys = list(keys)
-    chunked = with_chunk(frame, idx, chunk_rows).withColumn(
-        "_point", F.when(good, F.struct(*columns))
+    chunked = with_chunk(frame, idx, chunk_rows).withColumn("_good", good)
+    seen = F.when(F.col("_good"), F.col(idx))
+    last = chunked.groupBy(*keys, CHUNK).agg(
+        F.max(seen).alias("_seen"), *(F.max_by(c, seen).alias(c) for c in columns)
     )
-    last = (
-        chunked.filter(F.col("_point").isNotNull())
-        .groupBy(*keys, CHUNK)
-        .agg(F.max_by("_point", idx).alias("_last"))
-    )
-    present = chunked.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-    carried = present.join(last, [*keys, CHUNK], "left").select(
-        *keys, CHUNK, F.last("_last", ignorenulls=True).over(earlier_chunks(keys)).alias("_carried")
+    point = F.when(F.col("_seen").isNotNull(), F.struct(*columns))
+    carried = last.select(
+        *keys, CHUNK, F.last(point, ignorenulls=True).over(earlier_chunks(keys)).alias("_carried")
     )
+    chunked = chunked.withColumn("_point", F.when(F.col("_good"), F.struct(*columns)))
     order = chunk_window(keys, idx).rowsBetween(Window.unboundedPreceding, 0)
     filled = chunked.withColumn("_point", F.last("_point", ignorenulls=True).over(order)).join(
         carried, [*keys, CHUNK]

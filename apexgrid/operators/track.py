@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexgrid.chunking import CHUNK, CHUNK_ROWS, chunk_window, earlier_chunks, spread_join, with_chunk
+from apexgrid.chunking import (
+    CHUNK,
+    CHUNK_ROWS,
+    chunk_facts,
+    chunk_window,
+    earlier_chunks,
+    spread_join,
+    with_chunk,
+)
 from apexgrid.functions.scalar import hsv_to_rgb, is_finite
 from apexgrid.operators.align import OUT_IDX, resample_to_track
 from apexgrid.operators.catalog import LATITUDE_PARTS, LONGITUDE_PARTS, pick_gps
@@ -51,7 +59,10 @@ def gps_track(positions: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         F.count(F.when(is_finite("lat"), lat)).alias("_nlat"),
         F.sum(F.when(is_finite("lon"), lon)).alias("_slon"),
         F.count(F.when(is_finite("lon"), lon)).alias("_nlon"),
-        F.max_by(F.when(good, F.struct("lat", "lon")), F.when(good, F.col(IDX))).alias("_seen"),
+        # columns by themselves: a struct would turn this into a sort aggregate
+        F.max_by("lat", F.when(good, F.col(IDX))).alias("_lat"),
+        F.max_by("lon", F.when(good, F.col(IDX))).alias("_lon"),
+        F.max(F.when(good, F.col(IDX))).alias("_seen"),
     )
     session = Window.partitionBy(SESSION)
 
@@ -64,7 +75,12 @@ def gps_track(positions: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         CHUNK,
         mean("_slat", "_nlat").alias("_mlat"),
         mean("_slon", "_nlon").alias("_mlon"),
-        F.last("_seen", ignorenulls=True).over(earlier_chunks([SESSION])).alias("_carried"),
+        F.last(
+            F.when(F.col("_seen").isNotNull(), F.struct(F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))),
+            ignorenulls=True,
+        )
+        .over(earlier_chunks([SESSION]))
+        .alias("_carried"),
     )
     order = chunk_window([SESSION], IDX).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.filter(lat.isNotNull() & lon.isNotNull()).withColumn(
@@ -113,8 +129,9 @@ def track_color(samples: DataFrame, track: DataFrame, chunk_rows: int = CHUNK_RO
     share = F.when(is_finite(VALUE), F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).otherwise(0.0)
     return (
         with_chunk(aligned, IDX, chunk_rows)
-        .join(ranges, [SESSION, CHANNEL, CHUNK])
-        .withColumn("_rgb", hsv_to_rgb(hue_of(share)))
+        .join(chunk_facts(ranges), [SESSION, CHANNEL, CHUNK])
+        .withColumn("_hue", hue_of(share))
+        .withColumn("_rgb", hsv_to_rgb("_hue"))
         .select(SESSION, CHANNEL, IDX, VALUE, "_rgb.r", "_rgb.g", "_rgb.b", "vmin", "vmax")
     )
 

@@ -113,7 +113,7 @@ def _put(block: bytearray, at: int, size: int, value: str) -> None:
 def log_images(samples: DataFrame, rows_per_log: int = ROWS_PER_LOG) -> DataFrame:
     """Samples packed into binary logs of bounded length: ``(path, content)``, path ``<session>_<chunk>.ld``."""
 
-    def encode(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         entries = []
         for name, rows in pdf.sort_values("sample_idx").groupby("channel", sort=True):
             kind, scale, decimals, shift, mul = STORAGE[name]

@@ -103,7 +103,10 @@ BASE = {
         FROM timing t JOIN means m ON t.session_id = m.session_id""",
     "ends": "SELECT session_id, COUNT(*) AS n FROM timing GROUP BY 1",
     "probes": "SELECT session_id, number AS probe_id, start_time * 1.25e0 + 0.037e0 AS t FROM laps",
-    "pos_probes": "SELECT session_id, probe_id, SIN(t) * 0.012e0 AS px, COS(t) * 0.009e0 AS py FROM probes",
+    "pos_probes": """
+        SELECT session_id, probe_id, SIN(session_id + probe_id * 1.6e0) * 0.012e0 AS px,
+          COS(session_id + probe_id * 1.6e0) * 0.009e0 AS py
+        FROM (SELECT DISTINCT session_id FROM ev) s, (VALUES (0), (1), (2), (3)) AS k(probe_id)""",
     "nearest": """
         SELECT session_id, probe_id, sample_idx, d FROM (
           SELECT p.session_id, p.probe_id, t.sample_idx, (t.x - p.px) * (t.x - p.px) + (t.y - p.py) * (t.y - p.py) AS d,
@@ -727,18 +730,19 @@ def _source_oracles() -> dict[str, str]:
         "csv_rows": _csv({"click": 2, "purchase": 1, "signup": 0}),
         "csv_rows_window": _csv({"purchase": 1, "error": 3}, (1.1, 7.7)),
         "sidecar_totals": """
-          SELECT CAST(h.session_id AS VARCHAR) AS session_id, 'Driver ' || h.serial AS driver,
+          SELECT h.session_id || '/0' AS session_id, 'Driver ' || h.serial AS driver,
             CASE WHEN h.session_id % 3 = 0 THEN CAST(n AS INTEGER) END AS total_laps,
             CASE WHEN h.session_id % 3 = 0 THEN '1:0' || n || '.5 & up' END AS fastest_time,
             CAST(NULL AS INTEGER) AS fastest_lap
           FROM (SELECT session_id, MIN(user_id) AS serial FROM ev GROUP BY 1) h
-          LEFT JOIN (SELECT session_id, COUNT(*) AS n FROM laps GROUP BY 1) l ON l.session_id = h.session_id""",
+          LEFT JOIN (SELECT session_id, COUNT(*) AS n FROM laps WHERE number < 64 GROUP BY 1) l ON l.session_id = h.session_id""",
         "sidecar_markers": f"""
-          SELECT CAST(session_id AS VARCHAR) AS session_id, number, {rounded("start_time")}, {rounded("end_time")}
+          SELECT session_id || '/' || (number // 64) AS session_id, number % 64 AS number, {rounded("start_time")},
+            {rounded("end_time")}
           FROM laps WHERE session_id % 3 <> 2""",
         "sidecar_errors": """
-          SELECT session_id || '.ldx' AS path, 'XML parse error' AS reason
-          FROM (SELECT DISTINCT session_id FROM laps) l WHERE session_id % 3 = 2""",
+          SELECT session_id || '/' || block || '.ldx' AS path, 'XML parse error' AS reason
+          FROM (SELECT DISTINCT session_id, number // 64 AS block FROM laps) l WHERE session_id % 3 = 2""",
         "config_tables": """
           SELECT c_custkey || '.json' AS path, 'definition' AS kind, c_name AS name, '"GPS Speed" * ' || c_nationkey AS detail FROM customer
           UNION ALL SELECT c_custkey || '.json', 'definition', 'Twice', 'Speed * 2' FROM customer

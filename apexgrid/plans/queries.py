@@ -26,6 +26,7 @@ from apexgrid.operators import (
 from apexgrid.operators.computed import Definition
 from apexgrid.operators.presets import PRESET_NAMES, preset
 from apexgrid.plans import logimages, tables
+from apexgrid.session import materialised
 from apexgrid.sources import config, csvfile, motorlog, sidecar
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +48,15 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: rounded(c) for c in columns})
 
 
+def _laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lap table, written once: the steps after it read it more than once."""
+    return materialised(laps.detect_from_timer(tables.timer(spark, sf_dir)))
+
+
+def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialised(track.gps_track(tables.positions(spark, sf_dir)))
+
+
 # laps and statistics
 
 
@@ -395,24 +405,13 @@ def cursor_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lookup.positions_at(track.gps_track(tables.positions(spark, sf_dir)), tables.probes(spark, sf_dir))
+    found = lookup.positions_at(_track(spark, sf_dir), tables.probes(spark, sf_dir))
     return _round(found, "t", "x", "y")
 
 
-def _position_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A point beside the track for every lap."""
-    return tables.probes(spark, sf_dir).select(
-        "session_id",
-        "probe_id",
-        (F.sin("t") * 0.012).alias("px"),
-        (F.cos("t") * 0.009).alias("py"),
-    )
-
-
 def nearest_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lookup.nearest_position(
-        track.gps_track(tables.positions(spark, sf_dir)), _position_probes(spark, sf_dir)
-    )
+    probes = tables.picks(spark, sf_dir).withColumnRenamed("pick_no", "probe_id")
+    found = lookup.nearest_position(_track(spark, sf_dir), probes)
     return found.select("session_id", "probe_id", "sample_idx", rounded("dist2", bits=FINE_GRID))
 
 
@@ -536,8 +535,8 @@ def color_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sector_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = sectors.sector_times(
-        track.gps_track(tables.positions(spark, sf_dir)),
-        laps.detect_from_timer(tables.timer(spark, sf_dir)),
+        _track(spark, sf_dir),
+        _laps(spark, sf_dir),
         tables.SECTORS,
     )
     return _round(times, "time_secs")
@@ -545,8 +544,8 @@ def sector_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crossing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     crossed = sectors.crossing_times(
-        track.gps_track(tables.positions(spark, sf_dir)),
-        laps.detect_from_timer(tables.timer(spark, sf_dir)),
+        _track(spark, sf_dir),
+        _laps(spark, sf_dir),
         [0, 75, 10**9],
     )
     times = {"at_0": "at_0", "at_75": "at_75", f"at_{10**9}": "at_beyond"}
@@ -555,8 +554,8 @@ def crossing_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = sectors.sector_report(
-        track.gps_track(tables.positions(spark, sf_dir)),
-        laps.detect_from_timer(tables.timer(spark, sf_dir)),
+        _track(spark, sf_dir),
+        _laps(spark, sf_dir),
         tables.SECTORS,
         reference_lap=1,
     )
@@ -564,8 +563,9 @@ def sector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def define_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picks = _position_probes(spark, sf_dir).withColumnRenamed("probe_id", "pick_no")
-    return sectors.define_sectors(track.gps_track(tables.positions(spark, sf_dir)), picks)
+    return sectors.define_sectors(
+        _track(spark, sf_dir), tables.picks(spark, sf_dir)
+    )
 
 
 # sources and sinks
@@ -612,12 +612,12 @@ def csv_rows_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sidecar texts with the laps of each session as markers; every third one lacks its totals or is cut short."""
+    """Sidecar texts with up to 64 laps of a session as markers; every third session's lack totals or are cut short."""
     found = laps.detect_from_timer(tables.timer(spark, sf_dir))
     marker = F.concat(
         F.lit('<MarkerPair Time="'), F.col("start_time"), F.lit('" Color="7" EndTime="'), F.col("end_time"), F.lit('"/>')
     )
-    per_session = found.groupBy("session_id").agg(
+    per_session = found.groupBy("session_id", F.floor(F.col("number") / 64).alias("block")).agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("number", marker.alias("m")))).alias("ms")
     )
     totals = F.when(F.col("session_id") % 3 == 1, F.lit("")).otherwise(
@@ -636,11 +636,14 @@ def _sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("\n", F.transform("ms", lambda m: m["m"])),
         closing,
     )
-    return per_session.select(F.concat(F.col("session_id"), F.lit(".ldx")).alias("path"), xml.alias("xml"))
+    name = F.concat(F.col("session_id"), F.lit("/"), F.col("block"), F.lit(".ldx"))
+    return per_session.select(name.alias("path"), xml.alias("xml"))
 
 
 def sidecar_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers = tables.session_headers(spark, sf_dir).select(F.col("session_id").cast("string"), "driver")
+    headers = tables.session_headers(spark, sf_dir).select(
+        F.concat(F.col("session_id"), F.lit("/0")).alias("session_id"), "driver"
+    )
     return sidecar.with_sidecars(headers, sidecar.parse_sidecars(_sidecar_files(spark, sf_dir)))
 
 

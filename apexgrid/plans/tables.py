@@ -9,13 +9,14 @@ from apexgrid.chunking import dense_index
 from apexgrid.operators.laps import detect_from_timer
 from apexgrid.operators.sectors import Sector
 
+EVENTS = "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE"
 SECTORS = [Sector("S1", 0, 50), Sector("S2", 50, 100), Sector("S3", 100, 149)]
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        spark.read.parquet(f"{sf_dir}/events.parquet")
-        .select("event_id", "user_id", "event_type", "value")
+        spark.read.schema(EVENTS)
+        .parquet(f"{sf_dir}/events.parquet")
         .withColumn("session_id", F.floor(F.col("user_id") / 10.0))
     )
 
@@ -164,6 +165,15 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four points beside the track per session, as if clicked on its map."""
+    sessions = events(spark, sf_dir).select("session_id").distinct()
+    turn = F.col("session_id") + F.col("pick_no") * 1.6
+    return sessions.withColumn("pick_no", F.explode(F.array(*map(F.lit, range(4))))).select(
+        "session_id", "pick_no", (F.sin(turn) * 0.012).alias("px"), (F.cos(turn) * 0.009).alias("py")
+    )
+
+
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times to look up: a moment in every lap, and one past the end."""
     laps = detect_from_timer(timer(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,12 +37,16 @@ def local_session(cpus: str | int = 8, memory: str = "8g", partitions: int = 8)
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder, for results that several later steps read.
+    """The rows written once as Parquet and read back, for results that several later steps use.
 
-    The folder is the cluster's ``spark.checkpoint.dir``, shared by all executors; one is made only where none is set.
+    The table goes to the cluster's shared ``spark.checkpoint.dir``, so it survives lost executors and its real size
+    is known to the optimizer. A temporary folder serves only where that setting is missing, as in tests.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
