@@ -468,7 +468,7 @@ def _with_point(digits: Column, d: int | Column) -> Column:
 
 
 def hsv_to_rgb(hue: Arg, saturation: Arg = 1.0, value: Arg = 1.0) -> Column:
-    """``STRUCT<r, g, b>`` of 0..255; hue in [0, 360). Single precision, truncated to bytes."""
+    """``STRUCT<r INT, g INT, b INT>`` of 0..255; hue in [0, 360). Single precision, truncated to bytes."""
 
     def single(c: Column) -> Column:
         return c.cast("float")
@@ -489,6 +489,6 @@ def hsv_to_rgb(hue: Arg, saturation: Arg = 1.0, value: Arg = 1.0) -> Column:
         for k in range(1, 5):
             level = level.when(sextant < k + 1, parts[order[k]])
         level = level.otherwise(parts[order[5]])
-        return single(single(level + offset) * F.lit(255.0)).cast("smallint")
+        return single(single(level + offset) * F.lit(255.0)).cast("int")
 
     return F.struct(*(component(order).alias(name) for name, order in ladder.items()))

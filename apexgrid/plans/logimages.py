@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexgrid.chunking import int_div
+from apexgrid.session import ship_package
 from apexgrid.sources import logfile as layout
 
 ROWS_PER_LOG = 4096
@@ -128,5 +129,6 @@ def log_images(samples: DataFrame, rows_per_log: int = ROWS_PER_LOG) -> DataFram
         image = Image(entries, {"driver": f"Driver {key[0]}", "venue": "Ring"}, {"event_name": f"Run {key[1]}"})
         return pd.DataFrame({"path": [f"{key[0]}_{key[1]}.ld"], "content": [log_bytes(image)]})
 
+    ship_package(samples.sparkSession)
     keyed = samples.withColumn("_log", int_div(F.col("sample_idx"), rows_per_log))
     return keyed.groupBy("session_id", "_log").applyInPandas(encode, "path string, content binary")

@@ -752,6 +752,11 @@ def _source_oracles() -> dict[str, str]:
         "log_samples": f"""
           SELECT session_id, CAST(DENSE_RANK() OVER (PARTITION BY session_id ORDER BY channel) - 1 AS INTEGER) AS channel_index,
             channel, freq, sample_idx, {rounded(decoded, "value")} FROM ({stored}) q""",
+        "log_sample_range": f"""
+          SELECT * FROM (
+            SELECT session_id, CAST(DENSE_RANK() OVER (PARTITION BY session_id ORDER BY channel) - 1 AS INTEGER) AS channel_index,
+              channel, freq, sample_idx, {rounded(decoded, "value")} FROM ({stored}) q) r
+          WHERE sample_idx >= 25 AND sample_idx < 75""",
         "log_channels": f"""
           SELECT session_id, CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY channel) - 1 AS INTEGER) AS channel_index,
             channel AS name, '' AS short_name, 'u' AS unit, MAX(freq) AS freq, COUNT(*) AS n_data,

@@ -701,6 +701,13 @@ def log_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(motorlog.decode_logs(images, "samples"), "value")
 
 
+def log_sample_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of samples of every channel, clipped to its length."""
+    images = logimages.log_images(tables.samples(spark, sf_dir))
+    decoded = motorlog.decode_logs(images, "samples").filter("sample_idx >= 25 AND sample_idx < 75")
+    return _round(decoded, "value")
+
+
 def log_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = logimages.log_images(tables.samples(spark, sf_dir))
     found = catalog.clean_names(motorlog.decode_logs(images, "channels"))
@@ -781,6 +788,7 @@ def queries() -> dict[str, Query]:
         sidecar_errors,
         config_tables,
         log_samples,
+        log_sample_range,
         log_channels,
         log_sessions,
     ]

@@ -34,6 +34,7 @@ from pyspark.sql.types import StructType
 from apexgrid import schema
 from apexgrid.chunking import spread_join
 from apexgrid.operators.catalog import clean_names
+from apexgrid.session import ship_package
 from apexgrid.sources.logfile import BadLog, Channel, LogFile
 
 TARGET_BYTES = 64 << 20
@@ -250,6 +251,7 @@ def session_of(path: str, root: str = "") -> str:
 
 
 def read_table(spark: SparkSession, path: str, table: str, **options) -> DataFrame:
+    ship_package(spark)
     spark.dataSource.register(MotorLog)
     push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     reader = spark.read.format("motorlog").option("table", table).option("pushfilters", push)
@@ -312,6 +314,7 @@ def decode_logs(files: DataFrame, table: str = "samples") -> DataFrame:
                 elif table == "samples":
                     yield from sample_batches(session_of(path), log)
 
+    ship_package(files.sparkSession)
     return files.select("path", "content").mapInArrow(decode, TABLES[table])
 
 
