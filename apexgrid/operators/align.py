@@ -23,6 +23,7 @@ from apexgrid.chunking import (
     chunk_facts,
     chunk_window,
     explode_span,
+    int_div,
     with_chunk,
     with_halo,
 )
@@ -244,12 +245,14 @@ def pivot_channels(
     by: str = CHANNEL,
     fill: float | None = 0.0,
     chunk_rows: int = CHUNK_ROWS,
+    halo: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Wide frame ``(session_id, out_idx, freq, <one column per channel>)``.
 
     Conditional aggregates pivot in a single shuffle. Rows of a slot come from different tasks, so aggregating before the
     shuffle would not shrink them; repartitioning first makes both aggregation steps run after it. ``by`` may be an array
-    column of names. Channels without data read as ``fill``.
+    column of names. Channels without data read as ``fill``. With a ``halo`` the copies for windows by ``(session, chunk)`` are
+    made before that shuffle, which then serves the windows too.
     """
     is_array = dict(aligned.dtypes)[by].startswith("array")
 
@@ -258,10 +261,12 @@ def pivot_channels(
         found = F.max(F.when(named, F.col(VALUE)))
         return found if fill is None else F.coalesce(found, F.lit(fill))
 
-    return (
-        with_chunk(aligned, OUT_IDX, chunk_rows)
+    wide = (
+        with_halo(aligned, OUT_IDX, *(halo or (0, 0)), chunk_rows)
         .repartition(SESSION, CHUNK)
         .groupBy(SESSION, CHUNK, OUT_IDX)
         .agg(F.max(OUT_FREQ).alias(FREQ), *(cell(c).alias(c) for c in channels))
-        .drop(CHUNK)
     )
+    if halo is None:
+        return wide.drop(CHUNK)
+    return wide.withColumn(CORE, F.col(CHUNK) == int_div(F.col(OUT_IDX), chunk_rows))

@@ -27,7 +27,7 @@ from apexgrid.operators.catalog import (
     refs_frame,
     resolve_names,
 )
-from apexgrid.operators.series import add_steps
+from apexgrid.operators.series import add_steps, halo_of
 from apexgrid.operators.stats import channel_stats
 from apexgrid.schema import CHANNEL, FREQ, IDX, SERIES, SESSION, VALUE
 from apexgrid.session import materialised
@@ -69,8 +69,8 @@ def evaluate(
     """One computed channel over all sessions: ``(rows, errors)``.
 
     ``rows`` has the layout of ``samples``; ``errors(session_id, name, message)`` lists sessions that lack a channel or
-    any data. ``catalog(session_id, channel, channel_index, n_data)`` defaults to the channels of ``samples``. Only samples of channels the expression can mean are shuffled: once to the resampler, once to the
-    ``(session, slot)`` pivot, and once more if there are series functions.
+    any data. ``catalog(session_id, channel, channel_index, n_data)`` defaults to the channels of ``samples``. Only samples of channels the expression can mean are shuffled: once to the resampler and once to the pivot,
+    whose shuffle serves series functions as well; functions nested in others add one each.
     """
     refs, aliases = list(definition.channel.refs), dict(aliases or {})
     clash = RESERVED.intersection(refs)
@@ -108,8 +108,10 @@ def evaluate(
     )
     plan = output_rate(facts.join(by_channel, [*SERIES]))
     aligned = linear_on_plan(candidates, plan, chunk_rows, keep=("refs",))
-    wide = pivot_channels(aligned, refs, by="refs", chunk_rows=chunk_rows)
-    wide = add_steps(wide, definition.channel.steps, [SESSION], OUT_IDX, FREQ, chunk_rows)
+    steps = definition.channel.steps
+    halo = halo_of(steps, chunk_rows)
+    wide = pivot_channels(aligned, refs, by="refs", chunk_rows=chunk_rows, halo=halo)
+    wide = add_steps(wide, steps, [SESSION], OUT_IDX, FREQ, chunk_rows, haloed=halo is not None)
     rows = wide.select(
         SESSION,
         F.lit(definition.name).alias(CHANNEL),

@@ -40,14 +40,18 @@ def add_steps(
     idx: str = IDX,
     freq: str = FREQ,
     chunk_rows: int = CHUNK_ROWS,
+    haloed: bool = False,
 ) -> DataFrame:
-    """Add one column per step. All steps of a level share one shuffle by ``(keys, chunk)``."""
+    """Add one column per step. All steps of a level share one shuffle by ``(keys, chunk)``.
+
+    A ``haloed`` frame already has the copies that :func:`halo_of` asks for, and their CHUNK and CORE columns.
+    """
     keys = list(keys)
     for level in sorted({s.level for s in steps}):
         at_level = [s for s in steps if s.level == level]
         near = [s for s in at_level if not _needs_shift(s, chunk_rows)]
         if near:
-            frame = _near_steps(frame, near, keys, idx, freq, chunk_rows)
+            frame = _near_steps(frame, near, keys, idx, freq, chunk_rows, haloed and level == 0)
         for step in at_level:
             if _needs_shift(step, chunk_rows):
                 frame = _smooth_shifted(frame, step, keys, idx, chunk_rows)
@@ -58,13 +62,24 @@ def _needs_shift(step: Step, chunk_rows: int) -> bool:
     return step.kind == "smooth" and (isinstance(step.window, Column) or step.window > chunk_rows)
 
 
-def _near_steps(frame, steps, keys, idx, freq, chunk_rows) -> DataFrame:
-    columns = frame.columns
+def halo_of(steps: Sequence[Step], chunk_rows: int = CHUNK_ROWS) -> tuple[int, int] | None:
+    """Rows before and after a chunk that the steps of level 0 look at; None if a halo does not serve them."""
+    first = [s for s in steps if s.level == 0]
+    if not first or any(_needs_shift(s, chunk_rows) for s in first):
+        return None
+    return _reach(first)
+
+
+def _reach(steps: Sequence[Step]) -> tuple[int, int]:
+    back = max((s.window if s.kind == "smooth" else 1) for s in steps)
+    return back, 1 if any(s.kind == "derivative" for s in steps) else 0
+
+
+def _near_steps(frame, steps, keys, idx, freq, chunk_rows, haloed=False) -> DataFrame:
+    columns = [c for c in frame.columns if c not in (CHUNK, CORE)]
     sources = {s.output: f"_in{s.output}" for s in steps}
     frame = frame.withColumns({sources[s.output]: s.source for s in steps})
-    back = max((s.window if s.kind == "smooth" else 1) for s in steps)
-    ahead = 1 if any(s.kind == "derivative" for s in steps) else 0
-    rows = with_halo(frame, idx, back, ahead, chunk_rows)
+    rows = frame if haloed else with_halo(frame, idx, *_reach(steps), chunk_rows)
     order = chunk_window(keys, idx)
     rate = F.col(freq)
 
@@ -126,7 +141,8 @@ def _near_steps(frame, steps, keys, idx, freq, chunk_rows) -> DataFrame:
 
     averages = [s for s in steps if s.kind == "smooth"]
     if averages:
-        bad = _first_bad(frame, {s.output: sources[s.output] for s in averages}, keys, idx, chunk_rows)
+        own = frame.filter(CORE) if haloed else frame
+        bad = _first_bad(own, {s.output: sources[s.output] for s in averages}, keys, idx, chunk_rows)
         rows = rows.join(bad, [*keys, CHUNK]).withColumns(
             {s.output: _poisoned(s.output, F.lit(s.window), idx) for s in averages}
         )

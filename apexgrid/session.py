@@ -29,6 +29,8 @@ def local_session(cpus: str | int = 8, memory: str = "8g", partitions: int = 8)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        # small tables: keep all cores busy
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
     )
     for key, value in SETTINGS.items():

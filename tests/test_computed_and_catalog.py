@@ -1,5 +1,5 @@
 import pytest
-from helpers import NAN, assert_same, linear
+from helpers import NAN, area, assert_same, linear, slope, trailing_mean
 from pyspark.sql import functions as F
 
 from apexgrid.functions import ch
@@ -105,6 +105,24 @@ def test_mixed_rates(make, read):
     assert {r.freq for r in rows.filter("session_id = 't'").collect()} == {20}
 
 
+@pytest.mark.parametrize(
+    "text,loop",
+    [
+        ("smooth(Fast, 3) + derivative(Fast)", lambda x: [a + b for a, b in zip(trailing_mean(x, 3), slope(x, 10))]),
+        ("integrate(smooth(Fast, 5))", lambda x: area(trailing_mean(x, 5), 10)),
+        ("integrate(Fast) - smooth(Fast, 30)", lambda x: [a - b for a, b in zip(area(x, 10), trailing_mean(x, 30))]),
+    ],
+)
+def test_series_functions_over_chunks(make, read, text, loop):
+    x = [((i * 37) % 23) / 4 for i in range(45)]
+    gaps = [*x[:20], NAN, *x[21:]]
+    series = {("s", "Fast"): (10, x), ("t", "Fast"): (10, gaps), ("u", "Fast"): (10, [2.0])}
+    rows, _ = computed.evaluate(make(series), Definition.from_text("r", text), chunk_rows=8)
+    got = read(rows, ["session_id"], "sample_idx")
+    for (s, _), (_, values) in series.items():
+        assert_same(got[s], loop(values))
+
+
 def test_sql_text_definition(spark, make, read):
     register_functions(spark)
     slip = sql("t_div(`RPM` - `Speed`, t_max(`Speed`, 25D))", ["RPM", "Speed"])
