@@ -149,6 +149,22 @@ def channel_indexes(samples: DataFrame) -> DataFrame:
     return names.withColumn("channel_index", F.row_number().over(order) - 1)
 
 
+MAX_SPELLINGS = 1000
+
+
+def only_channels(samples: DataFrame, channels: DataFrame, condition: Column) -> DataFrame:
+    """Samples of the channels for which ``condition`` on the name holds.
+
+    A condition on a changed name cannot be checked against Parquet statistics. The catalogue says which spellings occur;
+    they are few, and a list of them lets the scan skip the row groups of all other channels. If they are not few, the
+    condition itself is applied.
+    """
+    spellings = channels.filter(condition).select(CHANNEL).distinct().limit(MAX_SPELLINGS + 1).collect()
+    if len(spellings) > MAX_SPELLINGS:
+        return samples.filter(condition)
+    return samples.filter(F.col(CHANNEL).isin([r[0] for r in spellings]))
+
+
 # first-match picks
 
 
@@ -163,11 +179,20 @@ def pick_named(channels: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def pick_gps(channels: DataFrame, parts: Sequence[str]) -> DataFrame:
     """First channel of each session whose normalised name contains ``gps`` and one of ``parts``."""
+    return _first_by_index(channels.filter(_is_gps(parts)))
+
+
+def _is_gps(parts: Sequence[str]) -> Column:
     name = normalised(F.col(CHANNEL))
     any_part = F.lit(False)
     for part in parts:
         any_part = any_part | name.contains(part)
-    return _first_by_index(channels.filter(name.contains("gps") & any_part))
+    return name.contains("gps") & any_part
+
+
+def gps_samples(samples: DataFrame, channels: DataFrame) -> DataFrame:
+    """Samples of channels that could be a latitude or longitude."""
+    return only_channels(samples, channels, _is_gps([*LATITUDE_PARTS, *LONGITUDE_PARTS]))
 
 
 def representative_channel(channels: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from apexgrid.operators.catalog import (
     aliases_frame,
     ascii_lower,
     channel_indexes,
+    only_channels,
     refs_frame,
     resolve_names,
 )
@@ -69,7 +70,8 @@ def evaluate(
     """One computed channel over all sessions: ``(rows, errors)``.
 
     ``rows`` has the layout of ``samples``; ``errors(session_id, name, message)`` lists sessions that lack a channel or
-    any data. ``catalog(session_id, channel, channel_index, n_data)`` defaults to the channels of ``samples``. Only samples of channels the expression can mean are shuffled: once to the resampler and once to the pivot,
+    any data. ``catalog(session_id, channel, channel_index, n_data)`` defaults to the channels of ``samples``; given,
+    it also lets the scan skip other channels. Only samples of channels the expression can mean are shuffled: once to the resampler and once to the pivot,
     whose shuffle serves series functions as well; functions nested in others add one each.
     """
     refs, aliases = list(definition.channel.refs), dict(aliases or {})
@@ -81,7 +83,8 @@ def evaluate(
     if not refs:
         return _no_rows(samples), _errors(sessions, definition.name, F.lit(NO_DATA))
 
-    candidates = samples.filter(ascii_lower(F.col(CHANNEL)).isin(wanted_names(refs, aliases)))
+    wanted = ascii_lower(F.col(CHANNEL)).isin(wanted_names(refs, aliases))
+    candidates = samples.filter(wanted) if catalog is None else only_channels(samples, catalog, wanted)
     facts = series_facts(candidates, chunk_rows)
     if catalog is None:
         # every channel that a reference can mean is a candidate

@@ -15,7 +15,7 @@ from apexgrid.chunking import (
     with_halo,
 )
 from apexgrid.functions.scalar import format_duration
-from apexgrid.operators.catalog import normalised, pick_named
+from apexgrid.operators.catalog import normalised, only_channels, pick_named
 from apexgrid.schema import FREQ, IDX, SESSION, VALUE
 
 LAP = ["number", "name", "start_time", "end_time"]
@@ -58,7 +58,7 @@ def detect_laps(timer: DataFrame, lap_number: DataFrame, chunk_rows: int = CHUNK
 def lap_channel(samples: DataFrame, names: list[str], catalog: DataFrame) -> DataFrame:
     """Samples of the first channel of each session whose normalised name is one of ``names``."""
     picked = pick_named(catalog, names).withColumnRenamed("channel", "_picked")
-    candidates = samples.filter(normalised(F.col("channel")).isin(names))
+    candidates = only_channels(samples, catalog, normalised(F.col("channel")).isin(names))
     return (
         spread_join(candidates, picked, [SESSION], IDX)
         .filter(F.col("channel") == F.col("_picked"))

@@ -16,7 +16,7 @@ from apexgrid.chunking import (
 )
 from apexgrid.functions.scalar import hsv_to_rgb, is_finite
 from apexgrid.operators.align import OUT_IDX, resample_to_track
-from apexgrid.operators.catalog import LATITUDE_PARTS, LONGITUDE_PARTS, pick_gps
+from apexgrid.operators.catalog import LATITUDE_PARTS, LONGITUDE_PARTS, gps_samples, pick_gps
 from apexgrid.schema import CHANNEL, FREQ, IDX, SESSION, VALUE
 
 LEGEND_STEPS = 60
@@ -30,8 +30,7 @@ def gps_positions(samples: DataFrame, catalog: DataFrame, chunk_rows: int = CHUN
     names = pick_gps(catalog, LATITUDE_PARTS).withColumnRenamed(CHANNEL, "_lat").join(
         pick_gps(catalog, LONGITUDE_PARTS).withColumnRenamed(CHANNEL, "_lon"), SESSION
     )
-    gps = samples.filter(F.lower(CHANNEL).contains("gps"))
-    named = spread_join(gps, names, [SESSION], IDX, chunk_rows=chunk_rows)
+    named = spread_join(gps_samples(samples, catalog), names, [SESSION], IDX, chunk_rows=chunk_rows)
     is_lat, is_lon = F.col(CHANNEL) == F.col("_lat"), F.col(CHANNEL) == F.col("_lon")
     return (
         named.filter(is_lat | is_lon)
