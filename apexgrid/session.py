@@ -57,17 +57,40 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The rows written once as Parquet and read back, for results that several later steps use.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see: the cluster's ``spark.checkpoint.dir``.
 
-    The table goes to the cluster's shared ``spark.checkpoint.dir``, so it survives lost executors and its real size
-    is known to the optimizer. A temporary folder serves only where that setting is missing, as in tests.
+    Only a session whose executors are threads of the driver may go without that setting; it gets a temporary folder.
+    On a cluster a machine-local folder would lose rows, so there the missing setting is an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set; on {master} it has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return folder.rstrip("/")
+
+
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialised(df: DataFrame, *partition_by: str) -> DataFrame:
+    """The rows written once as Parquet and read back, for results that several later steps use.
+
+    The table goes below ``shared_folder``, so it survives lost executors and its real size is known to the optimizer.
+    The shuffle files of the step are dropped as soon as the table is written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(FILE_CLEANUP, None)
+    spark.conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path, partitionBy=list(partition_by) or None)
+    finally:
+        if before is None:
+            spark.conf.unset(FILE_CLEANUP)
+        else:
+            spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
