@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apexgrid.llm.columns import SPACES, text_or_empty
-from apexgrid.session import materialised, ship_package
+from apexgrid.llm.columns import SPACES, text_or_empty, prepare
+from apexgrid.session import materialised
 
 HEAD_BYTES = 64
 
@@ -129,7 +129,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per row of ``df``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
     spark = df.sparkSession
-    ship_package(spark)
+    prepare(spark)
     norm = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), normalised(text).cast("binary").alias("norm"))
     keyed = norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "norm", F.substring("norm", 1, HEAD_BYTES).alias("head"))
     order = ["head", "text_sha256", F.col("doc_id").asc_nulls_last()]

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexgrid.llm import words
-from apexgrid.session import materialised, ship_package
+from apexgrid.llm.columns import prepare
+from apexgrid.session import materialised
 
 SHINGLE = 5
 PERMUTATIONS = 120
@@ -197,7 +198,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_shingles, component_id, kept``."""
     spark = df.sparkSession
-    ship_package(spark)
+    prepare(spark)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = materialised(docs.mapInArrow(_signatures, _SIGNATURES))
 

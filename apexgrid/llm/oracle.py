@@ -36,5 +36,32 @@ FROM kept
 """
 
 
+OP6 = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, x.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, x.v, true), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP8 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS response FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_content_dedup": OP3, "op9_repeats": OP9}
+    return {"op3_content_dedup": OP3, "op6_pivot_search": OP6, "op8_warc_index": OP8, "op9_repeats": OP9}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexgrid.llm import words
-from apexgrid.session import ship_package
+from apexgrid.llm.columns import prepare
 
 CAPACITY = 2048
 END = 1
@@ -225,7 +225,7 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_id: s
     ``ids`` are little-endian unsigned 32-bit token ids; the document's last one is ``END``. A sequence is its pieces by
     ``offset``, padded to ``capacity``.
     """
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

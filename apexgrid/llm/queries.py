@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apexgrid.llm import content_dedup, minmax_dedup, packing, repeats
+from apexgrid.llm import (
+    content_dedup,
+    minmax_dedup,
+    packing,
+    pivot_search,
+    quality_qda,
+    repeats,
+    ring_shards,
+    source_mix,
+    warc_index,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,16 +47,49 @@ def op3_content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_qda.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), every=100)
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.mixed(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc_index.write_archives(table(spark, sf_dir, "pages"))
+    return warc_index.read_records(index).drop("url", "payload")
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     digest = F.sha2(F.col("kept_text").cast("binary"), 256)
     return kept.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
 
 
+def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring_shards.shard(table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def queries() -> dict[str, Query]:
-    found = [op2_packing, op3_content_dedup, op5_minmax_dedup, op9_repeats]
+    found = [
+        op2_packing,
+        op3_content_dedup,
+        op4_quality_qda,
+        op5_minmax_dedup,
+        op6_pivot_search,
+        op7_source_mix,
+        op8_warc_index,
+        op9_repeats,
+        op10_ring_shards,
+    ]
     return {f.__name__: f for f in found}

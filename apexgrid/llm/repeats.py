@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexgrid.llm import words
-from apexgrid.session import materialised, ship_package
+from apexgrid.llm.columns import prepare
+from apexgrid.session import materialised
 
 WINDOW = 13
 SEED = 5
@@ -146,7 +147,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one space)."""
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     found = materialised(repeated_windows(docs, window))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"

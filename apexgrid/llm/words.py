@@ -1,7 +1,7 @@
 """Words of many texts at once, as 64-bit hashes, for the operators on shingles and passages.
 
 A word is a run of bytes other than ASCII white space. Texts come as Arrow arrays; the work is numpy over blocks of
-about a megabyte, so temporary memory does not depend on the number or the length of the texts in a batch.
+about a quarter of a megabyte, so temporary memory does not depend on the number or the length of the texts in a batch.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
