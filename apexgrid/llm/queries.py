@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexgrid.llm import (
+    chat_windows,
     content_dedup,
     minmax_dedup,
     packing,
@@ -39,6 +40,30 @@ def packed(docs: DataFrame) -> DataFrame:
     )
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table, and conversation -1 whose texts look like a template's control strings."""
+    odd = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd)
+
+
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = chat_windows.read_back(chat_windows.windows(conversations(spark, sf_dir)))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return back.select(
+        "conv_id",
+        "n_turns",
+        digest("turns_text").alias("turns_sha256"),
+        F.length("loss_text").cast("bigint").alias("loss_chars"),
+        digest("loss_text").alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -82,6 +107,7 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = [
+        op1_chat_windows,
         op2_packing,
         op3_content_dedup,
         op4_quality_qda,
