@@ -410,9 +410,9 @@ def _let(value: Column, body) -> Column:
 def fixed_text(v: Arg, decimals: int | Column) -> Column:
     """Decimal text of a double, rounded half to even on its exact binary value.
 
-    ``format_string`` rounds the shortest decimal form half up. Here the rounding error of ``v * 10^d`` is
-    recovered with a split product, so the comparison with one half is exact while ``|v| * 10^d < 2^51``;
-    larger values fall back to ``format_string``.
+    ``format_string`` rounds the shortest decimal form half up. Here the whole part, which is exact, is split off, and the
+    rounding error of ``fraction * 10^d`` is recovered with a split product, so the comparison with one half is exact for
+    up to 15 decimals. The whole part is exact below 1e38.
     """
     return _let(arg(v), lambda x: _fixed_text(x, decimals))
 
@@ -422,46 +422,52 @@ def _fixed_text(v: Column, decimals: int | Column) -> Column:
         d = F.greatest(decimals.cast("int"), F.lit(0))
         ten = F.round(F.pow(F.lit(10.0), d.cast("double")))
     else:
-        d = max(decimals, 0)
-        ten = F.lit(float(10**d))
+        d = F.lit(max(decimals, 0))
+        ten = F.lit(float(10 ** max(decimals, 0)))
     size = F.abs(v)
-    product = size * ten
     half_bits = F.lit(134217729.0)  # 2^27 + 1 splits a double into two halves
 
     def high(x: Column) -> Column:
         return half_bits * x - (half_bits * x - x)
 
-    vh, th = high(size), high(ten)
-    vl, tl = size - vh, ten - th
-    error = ((vh * th - product) + vh * tl + vl * th) + vl * tl
-    whole = F.floor(product)
-    excess = (product - whole.cast("double") - 0.5) + error
-    digits = whole + F.when(excess > 0, 1).when((excess == 0) & (whole % 2 == 1), 1).otherwise(0)
+    def rounded_text(parts: Column) -> Column:
+        whole, fraction = parts["whole"], parts["fraction"]
+        product = fraction * ten
+        fh, th = high(fraction), high(ten)
+        fl, tl = fraction - fh, ten - th
+        error = ((fh * th - product) + fh * tl + fl * th) + fl * tl
+        digits = F.floor(product)
+        excess = (product - digits.cast("double") - 0.5) + error
+        # without decimals the digit before the point decides a tie
+        odd = F.when(d == 0, whole % 2 == 1).otherwise(digits % 2 == 1)
+        rounded = digits + F.when((excess > 0) | ((excess == 0) & odd), 1).otherwise(0)
+        carry = rounded >= ten
+        rest = F.when(carry, F.lit(0)).otherwise(rounded)
+        tail = F.when(d == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), d, "0")))
+        return F.concat(_whole_text(whole, carry), tail)
+
+    parts = F.struct(_whole(size).alias("whole"), (size - _whole(size)).alias("fraction"))
     sign = F.when(v.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    pattern = F.concat(F.lit("%."), (d if isinstance(d, Column) else F.lit(d)).cast("string"), F.lit("f"))
     return (
         F.when(F.isnan(v), F.lit("NaN"))
         .when(v == float("inf"), F.lit("inf"))
         .when(v == float("-inf"), F.lit("-inf"))
-        .when(product < float(2**51), F.concat(sign, _let(digits, lambda n: _with_point(n, d))))
-        .otherwise(F.call_function("format_string", pattern, v))
+        .otherwise(F.concat(sign, _let(parts, rounded_text)))
     )
 
 
-def _with_point(digits: Column, d: int | Column) -> Column:
-    """Text of ``digits / 10^d`` with ``d`` decimals."""
-    text = digits.cast("string")
-    if not isinstance(d, Column):
-        if d == 0:
-            return text
-        d = F.lit(d)
-    padded = F.when(F.length(text) <= d, F.lpad(text, d + 1, "0")).otherwise(text)
-    return _let(
-        padded,
-        lambda p: F.when(d == 0, p).otherwise(
-            F.concat(p.substr(F.lit(1), F.length(p) - d), F.lit("."), F.right(p, d))
-        ),
-    )
+def _whole(size: Column) -> Column:
+    """Whole part of a double that is not negative; from 2^53 on every double is whole."""
+    return F.when(size < float(2**53), F.floor(size).cast("double")).otherwise(size)
+
+
+def _whole_text(whole: Column, carry: Column) -> Column:
+    """Digits of a whole double, one more with ``carry``; a cast to DECIMAL would take its shortest decimal form."""
+    unit = float(2**62)
+    upper = F.floor(whole / unit)
+    lower = (whole - upper.cast("double") * unit).cast("bigint").cast("decimal(19,0)")
+    wide = upper.cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + lower
+    return F.when(whole < unit, (whole.cast("bigint") + carry.cast("bigint")).cast("string")).otherwise(wide.cast("string"))
 
 
 # colour
@@ -480,15 +486,18 @@ def hsv_to_rgb(hue: Arg, saturation: Arg = 1.0, value: Arg = 1.0) -> Column:
     turn = single(F.abs(single(sextant % F.lit(2.0)) - 1.0))
     mid = single(chroma * single(F.lit(1.0) - turn))
     zero = single(F.lit(0.0))
-    # which of (chroma, mid, zero) each component takes in the six sextants
-    ladder = {"r": "cmzzmc", "g": "mccmzz", "b": "zzmccm"}
-    parts = {"c": chroma, "m": mid, "z": zero}
-
-    def component(order: str) -> Column:
-        level = F.when(sextant < 1, parts[order[0]])
+    # what each component is in the six sextants of the colour circle
+    sextants = {
+        "r": [chroma, mid, zero, zero, mid, chroma],
+        "g": [mid, chroma, chroma, mid, zero, zero],
+        "b": [zero, zero, mid, chroma, chroma, mid],
+    }
+
+    def component(levels: list[Column]) -> Column:
+        level = F.when(sextant < 1, levels[0])
         for k in range(1, 5):
-            level = level.when(sextant < k + 1, parts[order[k]])
-        level = level.otherwise(parts[order[5]])
+            level = level.when(sextant < k + 1, levels[k])
+        level = level.otherwise(levels[5])
         return single(single(level + offset) * F.lit(255.0)).cast("int")
 
-    return F.struct(*(component(order).alias(name) for name, order in ladder.items()))
+    return F.struct(*(component(levels).alias(name) for name, levels in sextants.items()))

@@ -44,6 +44,8 @@ def from_text(expression: str) -> Ch:
     if not expression.strip():
         raise ValueError("empty expression")
     text, channels = _python_text(expression)
+    if re.search(r",\s*\)", text):
+        raise ValueError("an argument is missing behind the last comma")
     try:
         tree = ast.parse(text.strip(), mode="eval")
     except SyntaxError as error:
@@ -66,10 +68,17 @@ def _python_text(expression: str) -> tuple[str, list[str]]:
             parts.append(f" _{len(channels)} " + (token["call"] or ""))
             channels.append(name if name is not None else token["quoted"])
         else:
-            parts.append(_REWRITTEN.get(token[0], token[0]))
+            parts.append(_plain(token))
     return "".join(parts), channels
 
 
+def _plain(token: re.Match) -> str:
+    """Numbers as Python writes them (``007`` is none of its forms), any white space as one blank."""
+    if token["number"] is not None:
+        return repr(float(token["number"]))
+    return " " if token[0].isspace() else _REWRITTEN.get(token[0], token[0])
+
+
 def _build(node: ast.expr, channels: list[str]) -> Ch:
     def build(inner: ast.expr) -> Ch:
         return _build(inner, channels)

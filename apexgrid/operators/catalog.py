@@ -149,20 +149,14 @@ def channel_indexes(samples: DataFrame) -> DataFrame:
     return names.withColumn("channel_index", F.row_number().over(order) - 1)
 
 
-MAX_SPELLINGS = 1000
-
-
 def only_channels(samples: DataFrame, channels: DataFrame, condition: Column) -> DataFrame:
     """Samples of the channels for which ``condition`` on the name holds.
 
     A condition on a changed name cannot be checked against Parquet statistics. The catalogue says which spellings occur;
-    they are few, and a list of them lets the scan skip the row groups of all other channels. If they are not few, the
-    condition itself is applied.
+    the semi-join lets Spark broadcast them, or filter the scan by them at run time, by their actual size.
     """
-    spellings = channels.filter(condition).select(CHANNEL).distinct().limit(MAX_SPELLINGS + 1).collect()
-    if len(spellings) > MAX_SPELLINGS:
-        return samples.filter(condition)
-    return samples.filter(F.col(CHANNEL).isin([r[0] for r in spellings]))
+    spellings = channels.filter(condition).select(CHANNEL).distinct()
+    return samples.join(spellings, CHANNEL, "left_semi").select(*samples.columns)
 
 
 # first-match picks

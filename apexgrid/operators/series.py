@@ -12,7 +12,8 @@ from apexgrid.functions.channel import Step
 from apexgrid.functions.scalar import arg, nan
 from apexgrid.schema import FREQ, IDX, SERIES, VALUE
 
-# widest moving average that re-adds its frame per row; wider ones subtract prefix sums
+# widest moving average that re-adds its frame per row; wider ones subtract prefix sums. Every form divides by the number
+# of rows there are, counted from the first row of the series, which need not have index 0
 FRAME_ROWS = 64
 
 
@@ -112,7 +113,7 @@ def _near_steps(frame, steps, keys, idx, freq, chunk_rows, haloed=False) -> Data
                     F.col(s.output)
                     - F.coalesce(F.lag(s.output, s.window).over(order), F.lit(0.0))
                 )
-                / F.least(F.lit(s.window), F.col(idx) + 1)
+                / F.least(F.lit(s.window), F.row_number().over(order))
                 for s in wide
             }
         )
@@ -192,6 +193,7 @@ def _smooth_shifted(frame, step: Step, keys, idx, chunk_rows) -> DataFrame:
         CHUNK,
         F.coalesce(F.sum("_total").over(earlier_chunks(keys)), F.lit(0.0)).alias("_base"),
         F.min_by("_w0", "_start").over(series).alias("_w0"),
+        F.min("_start").over(series).alias("_first"),
     ).join(_first_bad(frame, {out: "_x"}, keys, idx, chunk_rows), [*keys, CHUNK])
     width = F.coalesce(F.nanvl("_w0", F.lit(None).cast("double")), F.lit(1.0))
     width = F.least(F.greatest(width, F.lit(1.0)), F.lit(float(2**62))).cast("bigint")
@@ -206,7 +208,7 @@ def _smooth_shifted(frame, step: Step, keys, idx, chunk_rows) -> DataFrame:
         .withColumn(
             out,
             (F.col("_sum") - F.coalesce("_before", F.lit(0.0)))
-            / F.least(F.col("_n"), F.col(idx) + 1),
+            / F.least(F.col("_n"), F.col(idx) - F.col("_first") + 1),
         )
         .withColumn(out, _poisoned(out, F.col("_n"), idx))
         .select(*columns, out)

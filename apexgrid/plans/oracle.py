@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from apexgrid.plans import queries
+
 NAN = "CAST('NaN' AS DOUBLE)"
 
 
@@ -302,13 +304,16 @@ def _hsv(hue: str) -> dict[str, str]:
     """Components of a fully saturated colour in single precision."""
     h = f"CAST(CAST({hue} AS DOUBLE) / 60 AS FLOAT)"
     x = f"CAST(1 - CAST(ABS(CAST(CAST({h} AS DOUBLE) % 2 AS FLOAT) - 1) AS FLOAT) AS FLOAT)"
-    order = {"r": "1x00x1", "g": "x11x00", "b": "00x11x"}
-    value = {"1": "255", "0": "0", "x": f"CAST(TRUNC(CAST({x} * 255 AS FLOAT)) AS INTEGER)"}
+    part = f"CAST(TRUNC(CAST({x} * 255 AS FLOAT)) AS INTEGER)"
+    # values of each component in the six sextants of the colour circle
+    sextants = {
+        "r": ["255", part, "0", "0", part, "255"],
+        "g": [part, "255", "255", part, "0", "0"],
+        "b": ["0", "0", part, "255", "255", part],
+    }
     return {
-        name: "CASE "
-        + " ".join(f"WHEN {h} < {k + 1} THEN {value[c]}" for k, c in enumerate(ladder[:5]))
-        + f" ELSE {value[ladder[5]]} END"
-        for name, ladder in order.items()
+        name: "CASE " + " ".join(f"WHEN {h} < {k + 1} THEN {v}" for k, v in enumerate(values[:5])) + f" ELSE {values[5]} END"
+        for name, values in sextants.items()
     }
 
 
@@ -735,14 +740,14 @@ def _source_oracles() -> dict[str, str]:
             CASE WHEN h.session_id % 3 = 0 THEN '1:0' || n || '.5 & up' END AS fastest_time,
             CAST(NULL AS INTEGER) AS fastest_lap
           FROM (SELECT session_id, MIN(user_id) AS serial FROM ev GROUP BY 1) h
-          LEFT JOIN (SELECT session_id, COUNT(*) AS n FROM laps WHERE number < 64 GROUP BY 1) l ON l.session_id = h.session_id""",
+          LEFT JOIN (SELECT session_id, COUNT(*) AS n FROM laps GROUP BY 1) l ON l.session_id = h.session_id""",
         "sidecar_markers": f"""
-          SELECT session_id || '/' || (number // 64) AS session_id, number % 64 AS number, {rounded("start_time")},
+          SELECT session_id || '/0' AS session_id, number, {rounded("start_time")},
             {rounded("end_time")}
           FROM laps WHERE session_id % 3 <> 2""",
         "sidecar_errors": """
-          SELECT session_id || '/' || block || '.ldx' AS path, 'XML parse error' AS reason
-          FROM (SELECT DISTINCT session_id, number // 64 AS block FROM laps) l WHERE session_id % 3 = 2""",
+          SELECT DISTINCT session_id || '/0.ldx' AS path, 'XML parse error' AS reason
+          FROM laps l WHERE session_id % 3 = 2""",
         "config_tables": """
           SELECT c_custkey || '.json' AS path, 'definition' AS kind, c_name AS name, '"GPS Speed" * ' || c_nationkey AS detail FROM customer
           UNION ALL SELECT c_custkey || '.json', 'definition', 'Twice', 'Speed * 2' FROM customer
@@ -791,4 +796,6 @@ BASE["two"] = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _with(body) for name, body in _oracles().items()}
+    found = {name: _with(body) for name, body in _oracles().items()}
+    small = queries.queries()
+    return found | {name: found[name.removesuffix("_small_chunks")] for name in small if name.endswith("_small_chunks")}

@@ -612,12 +612,12 @@ def csv_rows_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sidecar texts with up to 64 laps of a session as markers; every third session's lack totals or are cut short."""
+    """Sidecar texts with all laps of a session as markers; every third session's lack totals or are cut short."""
     found = laps.detect_from_timer(tables.timer(spark, sf_dir))
     marker = F.concat(
         F.lit('<MarkerPair Time="'), F.col("start_time"), F.lit('" Color="7" EndTime="'), F.col("end_time"), F.lit('"/>')
     )
-    per_session = found.groupBy("session_id", F.floor(F.col("number") / 64).alias("block")).agg(
+    per_session = found.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("number", marker.alias("m")))).alias("ms")
     )
     totals = F.when(F.col("session_id") % 3 == 1, F.lit("")).otherwise(
@@ -636,7 +636,7 @@ def _sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("\n", F.transform("ms", lambda m: m["m"])),
         closing,
     )
-    name = F.concat(F.col("session_id"), F.lit("/"), F.col("block"), F.lit(".ldx"))
+    name = F.concat(F.col("session_id"), F.lit("/0.ldx"))
     return per_session.select(name.alias("path"), xml.alias("xml"))
 
 
@@ -722,6 +722,51 @@ def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# the same operators with chunks so small that every series of the fixtures crosses many of their borders
+
+SMALL = 32
+
+
+def _small_chunks() -> dict[str, Query]:
+    def laps_small(spark, sf_dir):
+        return laps.detect_from_timer(tables.timer(spark, sf_dir), SMALL)
+
+    def series_small(operator, spark, sf_dir, **options):
+        found = operator(_speed_trace(spark, sf_dir), out="result", chunk_rows=SMALL, **options)
+        return found.select("session_id", "sample_idx", rounded("result"))
+
+    def track_small(spark, sf_dir):
+        return track.gps_track(tables.positions(spark, sf_dir), SMALL)
+
+    return {
+        "lap_report": lambda spark, sf_dir: _round(
+            stats.lap_report(tables.samples(spark, sf_dir), laps_small(spark, sf_dir)),
+            "min_value", "max_value", "avg_value", "std_value",
+        ),
+        "laps_from_timer": lambda spark, sf_dir: _round(laps_small(spark, sf_dir), "start_time", "end_time"),
+        "series_smooth_wide": partial(series_small, series.smooth, window=100),
+        "resample_linear": lambda spark, sf_dir: _round(
+            align.resample_linear(tables.samples(spark, sf_dir), chunk_rows=SMALL), "value"
+        ),
+        "resample_nearest": lambda spark, sf_dir: _round(
+            align.resample_nearest(tables.samples(spark, sf_dir), chunk_rows=SMALL), "value"
+        ),
+        "minmax_decimate": lambda spark, sf_dir: _round(decimate.decimate(tables.samples(spark, sf_dir), 17, SMALL), "time"),
+        "gps_track": lambda spark, sf_dir: track_small(spark, sf_dir).select(
+            "session_id", "sample_idx", rounded("time"), rounded("x"), rounded("y")
+        ),
+        "track_color": lambda spark, sf_dir: _round(
+            track.track_color(tables.samples(spark, sf_dir), tables.positions(spark, sf_dir), SMALL), "value", "vmin", "vmax"
+        ),
+        "sector_times": lambda spark, sf_dir: _round(
+            sectors.sector_times(track_small(spark, sf_dir), laps_small(spark, sf_dir), tables.SECTORS), "time_secs"
+        ),
+        "series_smooth": partial(_series, series.smooth, window=5, chunk_rows=SMALL),
+        "series_derivative": partial(_series, series.derivative, chunk_rows=SMALL),
+        "series_integrate": partial(_series, series.integrate, chunk_rows=SMALL),
+    }
+
+
 def queries() -> dict[str, Query]:
     plain = [
         lap_report,
@@ -799,4 +844,4 @@ def queries() -> dict[str, Query]:
     for name in PRESET_NAMES:
         key = name.lower().replace(" ", "_").replace("-", "_")
         found[f"template_{key}"] = partial(_template, name)
-    return found
+    return found | {f"{name}_small_chunks": q for name, q in _small_chunks().items()}

@@ -24,12 +24,16 @@ def csv_rows(
 ) -> DataFrame:
     """Text rows ``(session_id, out_idx, Time (s), <channels>)`` of the channels, given with their decimals.
 
-    Channels are aligned to the fastest one by nearest sample. A channel that a session lacks reads as 0.
+    Channels are aligned to the fastest one by nearest sample. A channel that a session lacks reads as 0. The rows of a
+    range go from floor(start * rate) to below ceil(end * rate), so a range of no length between two samples has one row.
     """
     if not channels:
-        raise ValueError("no channels to export")
-    if time_range is not None and not time_range[0] < time_range[1]:
-        raise ValueError("time range contains no samples")
+        raise ValueError("there are no channels to write")
+    if time_range is not None:
+        start, end = time_range
+        # from whole second to the same whole second is empty at any rate
+        if not start <= end or start == end == int(start):
+            raise ValueError("a time range that holds no samples")
     chosen = samples.filter(F.col(CHANNEL).isin(list(channels)))
     wide = pivot_channels(resample_nearest(chosen, time_range, chunk_rows), list(channels))
     time = F.col(OUT_IDX) * (F.lit(1.0) / F.col(FREQ))

@@ -149,7 +149,8 @@ class MotorLogReader(DataSourceReader):
 
                     log = LogFile(size, fetch)
                     yield from self._rows(path, log, partition)
-            except (BadLog, OSError) as error:
+            except BadLog as error:
+                # an error of the store is not the file's fault: it fails the task, and Spark tries again
                 if self.table == "bad_files":
                     yield _batch(schema.BAD_FILES, [{"path": path, "reason": str(error)}])
 
@@ -241,10 +242,14 @@ def open_log(path: str):
 
 
 def session_of(path: str, root: str = "") -> str:
-    """Session key of a file: its path below the directory read, without extension."""
+    """Session key of a file: its path below the directory read, else its whole path, without extension."""
     base = root.rstrip("/") + "/"
-    inner = path[len(base) :] if root and path.startswith(base) else path.rsplit("/", 1)[-1]
-    return inner.rsplit(".", 1)[0]
+    if path == root:
+        inner = path.rpartition("/")[2]
+    else:
+        inner = path[len(base) :] if root and path.startswith(base) else path
+    folder, slash, name = inner.rpartition("/")
+    return folder + slash + name.rsplit(".", 1)[0]
 
 
 # Spark side
@@ -295,8 +300,11 @@ def ingest(spark: SparkSession, path: str, target: str) -> None:
     )
 
 
-def decode_logs(files: DataFrame, table: str = "samples") -> DataFrame:
-    """Decode a frame ``(path STRING, content BINARY)`` such as ``spark.read.format("binaryFile")`` gives."""
+def decode_logs(files: DataFrame, table: str = "samples", root: str = "") -> DataFrame:
+    """Decode a frame ``(path STRING, content BINARY)`` such as ``spark.read.format("binaryFile")`` gives.
+
+    A session is keyed by its path below ``root``, so equal file names in two folders are two sessions.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,11 +316,11 @@ def decode_logs(files: DataFrame, table: str = "samples") -> DataFrame:
                         yield _batch(schema.BAD_FILES, [{"path": path, "reason": str(error)}])
                     continue
                 if table == "sessions":
-                    yield _batch(schema.SESSIONS, [{"session_id": session_of(path)} | log.session()])
+                    yield _batch(schema.SESSIONS, [{"session_id": session_of(path, root)} | log.session()])
                 elif table == "channels":
-                    yield channel_batch(session_of(path), log.channels())
+                    yield channel_batch(session_of(path, root), log.channels())
                 elif table == "samples":
-                    yield from sample_batches(session_of(path), log)
+                    yield from sample_batches(session_of(path, root), log)
 
     ship_package(files.sparkSession)
     return files.select("path", "content").mapInArrow(decode, TABLES[table])

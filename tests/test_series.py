@@ -52,6 +52,18 @@ def test_smooth_is_a_running_mean(make, read, monkeypatch, window, frame_rows):
         assert_same(got[key], trailing_mean(x, window), 1e-8)
 
 
+@pytest.mark.parametrize("window", [1, 3, 15, 16, 17, 30, 200])
+@pytest.mark.parametrize("frame_rows", [4, 64])
+def test_smooth_of_a_slice(make, read, monkeypatch, window, frame_rows):
+    """A series that does not start at index 0, as a time window gives, for every form of the moving average."""
+    monkeypatch.setattr(series, "FRAME_ROWS", frame_rows)
+    sliced = make(SERIES).filter("sample_idx >= 21")
+    got = read(series.smooth(sliced, window, out="r", chunk_rows=CHUNK), ["session_id", "channel"], "sample_idx", "r")
+    for key, (_, x) in SERIES.items():
+        if len(x) > 21:
+            assert_same(got[key], trailing_mean(x[21:], window), 1e-8)
+
+
 @pytest.mark.parametrize("op,loop", [(series.derivative, slope), (series.integrate, area)])
 def test_derivative_and_integral(make, read, op, loop):
     got = read(op(make(SERIES), out="r", chunk_rows=CHUNK), ["session_id", "channel"], "sample_idx", "r")
