@@ -34,14 +34,16 @@ def crossing_times(
 ) -> DataFrame:
     """Per lap, the time of the sample nearest to each of the track points ``indexes``: columns ``at_<index>``.
 
-    The first sample wins ties; a point outside the track counts as (0, 0). A lap without samples has NULLs.
+    The first sample wins ties; a point outside the track counts as (0, 0). A lap without samples has the time of its first
+    index where the track reaches that far, else 0.
     """
     points = sorted(set(indexes))
     coordinates = [
         F.max(F.when(F.col(IDX) == p, F.col(axis))).alias(f"_{axis}{p}") for p in points for axis in "xy"
     ]
     # the few target rows of a session reach its laps, not its samples
-    targets = track.filter(F.col(IDX).isin(points)).groupBy(SESSION).agg(*coordinates)
+    reach = [F.max(FREQ).alias("_rate"), F.max(IDX).alias("_last")]
+    targets = track.groupBy(SESSION).agg(*coordinates, *reach)
     goals = spread_join(laps.select(SESSION, *LAP), targets, [SESSION], "number", "left", chunk_rows)
     rows = assign_laps(track.select(SESSION, IDX, FREQ, "time", "x", "y"), goals, keep_empty=True)
 
@@ -51,7 +53,11 @@ def crossing_times(
         passed = F.struct((dx * dx + dy * dy).alias("d"), F.col(IDX), F.col("time"))
         return F.min(F.when(F.col(IDX).isNotNull(), passed))
 
-    return rows.groupBy(SESSION, *LAP).agg(*(nearest(p)["time"].alias(f"at_{p}") for p in points))
+    # the same in all rows of a lap
+    rate, last = F.max("_rate"), F.max("_last")
+    first = F.floor(F.col("start_time") * rate)
+    alone = F.when((first >= 0) & (first <= last), first / rate).otherwise(F.lit(0.0))
+    return rows.groupBy(SESSION, *LAP).agg(*(F.coalesce(nearest(p)["time"], alone).alias(f"at_{p}") for p in points))
 
 
 def lap_sectors(
@@ -104,10 +110,9 @@ def sector_report(
         return times.withColumn("times", F.concat(F.array(total), F.col("times")))
 
     rows = with_total(lap_sectors(track, laps, sectors, chunk_rows))
-    chosen = laps.filter(F.col("number") == reference_lap)
-    reference = with_total(lap_sectors(track, chosen, sectors, chunk_rows)).select(
-        SESSION, F.col("times").alias("_reference")
-    )
+    # from the same rows, whose exchange both sides read
+    chosen = F.max(F.when(F.col("number") == reference_lap, F.col("times")))
+    reference = rows.groupBy(SESSION).agg(chosen.alias("_reference"))
     names = F.array(F.lit("Total"), *(F.lit(s.name) for s in sectors))
     k = F.col("_k")
     return (

@@ -204,6 +204,15 @@ def test_report_without_reference_lap(spark, tracks):
     assert all(r.delta is None for r in rows if r.session_id == "t")
 
 
+def test_crossing_of_laps_without_samples(spark, tracks):
+    """The first index of the lap where the track has one, else 0."""
+    _, df = tracks
+    rate = df.filter("session_id = 's'").first()["freq"]
+    laps = spark.createDataFrame([("s", 1, "Lap 1", 0.0, 0.0), ("s", 2, "Lap 2", 7.0 / rate, 7.0 / rate), ("s", 3, "Lap 3", 9000.0, 9000.0)], LAPS)
+    got = {r.number: r.at_3 for r in sectors.crossing_times(df, laps, [3], 32).collect()}
+    assert got[1] == 0.0 and same(got[2], 7.0 / rate) and got[3] == 0.0
+
+
 def test_define_sectors(spark, tracks):
     data, df = tracks
     picks = [("s", k, data["s"][i][3], data["s"][i][4]) for k, i in enumerate([3, 17, 17, 44, 50])]
