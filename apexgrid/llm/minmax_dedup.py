@@ -9,11 +9,13 @@ pair escapes all 48 bands with probability (1 - 0.75^5)^48, about 2 in a million
 1. One pass over the texts: set size, digest of the word sequence, band keys. Texts of equal word sequence are one class from
    here on; its smallest id stands for it. Copies are never paired.
 2. Band keys are grouped with a map-side minimum and maximum; a key that more than one class holds is a bucket.
-3. Rounds: in each bucket every class not yet joined with the bucket's centre is a candidate link to it, and links
-   that hold on the full sets join components. A large group of near copies falls into one component this way with a number
-   of comparisons that is linear in its size. Centres change from round to round.
-4. What then is left in buckets with several components, all pairs of different components, is compared too, so no candidate
-   pair is passed over unless its two ends are in one component already.
+3. In each bucket every class is compared with the bucket's centre (its smallest id), and links that hold on the full sets join
+   groups. A large group of near copies falls into one group this way with a number of comparisons linear in its size. While
+   the buckets still hold very many pairs of different groups, they get further centres, round by round.
+4. What is left, the pairs of different groups in a bucket, is settled too. The entries outside the bucket's largest group are
+   held against all entries of the bucket by counts of their shingles in ``CLASSES`` hash classes: two sets cannot share more than the sum
+   of the smaller counts. Only pairs that this bound lets through, each in the first bucket it shares, are compared in full. So no
+   candidate pair is passed over unless it is one group already or cannot be a link, and pairs are never listed.
 
 Comparison streams: pairs are dealt by (centre, chunk of partners) and sorted, the centre's set comes first, and one
 set at a time is held. A hot centre is spread over up to ``CHUNKS`` chunks.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apexgrid.llm import words
@@ -42,8 +44,11 @@ ROWS = 5
 PERCENT = 75
 CHUNKS = 4096
 #: rounds with one centre per bucket go on while all pairs would be more than this many times the bucket entries
-PAIRS_PER_ENTRY = 8
+PAIRS_PER_ENTRY = 4096
 MAX_ROUNDS = 6
+CLASSES = 1024
+#: entries that a task holds against the rest of a bucket at once
+TOGETHER = 512
 
 _random = np.random.default_rng(23)
 _FACTORS = _random.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -135,66 +140,140 @@ def shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _confirm(percent: int):
+def _count_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of shingles in each hash class; empty, which bounds nothing, if one exceeds a byte."""
+    shift = np.uint64(64 - (CLASSES - 1).bit_length())
+    for b in batches:
+        out = []
+        for i in range(b.num_rows):
+            counts = np.bincount((np.frombuffer(b.column(1)[i].as_buffer(), np.uint64) >> shift).astype(np.int64), minlength=CLASSES)
+            out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["rep", "classes"])
+
+
+def _most_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of the smaller counts, for all rows of x against all rows of y."""
+    total = np.zeros((len(x), len(y)), np.float32)
+    for level in range(1, int(min(x.max(), y.max())) + 1):
+        # classes that reach the level in both
+        total += (x >= level).astype(np.float32) @ (y >= level).astype(np.float32).T
+    return total
+
+
+_HELD = ["bucket", "chunk", "turn", "rep", "n", "component", "small", "classes", "bands"]
+
+
+def _let_through(percent: int):
+    """Rows of ``_HELD``, sorted by bucket, chunk and turn: those of turn 0 against those of turn 1."""
+
+    def rows_of(b: pa.RecordBatch, low: int, high: int) -> dict:
+        b = b.slice(low, high - low)
+        classes = [np.frombuffer(c, np.uint8) if c else np.full(CLASSES, 255, np.uint8) for c in b.column("classes").to_pylist()]
+        numbers = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "component", "small")}
+        bands = b.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(high - low, -1)
+        return numbers | {"classes": np.stack(classes), "bands": bands}
+
+    def pairs(x: dict, y: dict, bucket: int) -> tuple[list, list]:
+        nx, ny = x["n"][:, None], y["n"][None, :]
+        fits = (x["component"][:, None] != y["component"]) & (~y["small"][None, :] | (x["rep"][:, None] < y["rep"]))
+        fits &= (nx * 100 >= ny * percent) & (ny * 100 >= nx * percent)
+        if not fits.any():
+            return [], []
+        most = np.minimum(_most_common(x["classes"], y["classes"]), np.minimum(nx, ny))
+        fits &= most * 100 >= (nx + ny - most) * percent
+        i, j = np.nonzero(fits)
+        if len(i):
+            same = x["bands"][i] == y["bands"][j]
+            here = x["bands"][i, same.argmax(axis=1)] == bucket
+            i, j = i[here], j[here]
+        return np.minimum(x["rep"][i], y["rep"][j]).tolist(), np.maximum(x["rep"][i], y["rep"][j]).tolist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, whole = None, None
+        key, asking = None, []
         for b in batches:
-            centres, others = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = []
-            for i, (c, o) in enumerate(zip(centres, others)):
-                if o is None:
-                    # a copy, since the batch goes away
-                    centre, whole = c, np.frombuffer(b.column(2)[i].as_py(), np.uint64)
-                else:
-                    assert c == centre
-                    part = np.frombuffer(b.column(2)[i].as_buffer(), np.uint64)
-                    common = shared(whole, part)
-                    if 100 * common >= percent * (len(whole) + len(part) - common):
-                        out.append((c, o))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"]
-                )
+            bucket, chunk, turn = (b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "chunk", "turn"))
+            changed = (bucket[1:] != bucket[:-1]) | (chunk[1:] != chunk[:-1]) | (turn[1:] != turn[:-1])
+            borders = [0, *(np.flatnonzero(changed) + 1).tolist(), len(bucket)]
+            lows, highs = [], []
+            for low, high in zip(borders[:-1], borders[1:]):
+                if (bucket[low], chunk[low]) != key:
+                    key, asking = (bucket[low], chunk[low]), []
+                for at in range(low, high, TOGETHER):
+                    part = rows_of(b, at, min(at + TOGETHER, high))
+                    if turn[low] == 0:
+                        asking.append(part)
+                    else:
+                        for x in asking:
+                            a, o = pairs(x, part, int(bucket[low]))
+                            lows += a
+                            highs += o
+            if lows:
+                yield pa.RecordBatch.from_arrays([pa.array(lows, pa.int64()), pa.array(highs, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the distinct ``pairs(a, b)`` whose sets ``sets(rep, shingles)`` are similar enough."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    centre, whole = None, None
+    for b in batches:
+        centres, others = b.column(0).to_pylist(), b.column(1).to_pylist()
+        out = []
+        for i, (c, o) in enumerate(zip(centres, others)):
+            if o is None:
+                # a copy, since the batch goes away
+                centre, whole = c, np.frombuffer(b.column(2)[i].as_py(), np.uint64)
+            else:
+                assert c == centre
+                part = np.frombuffer(b.column(2)[i].as_buffer(), np.uint64)
+                out.append((c, o, len(whole), len(part), shared(whole, part)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b", "na", "nb", "common"])
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, na, nb, common)`` of the distinct ``pairs(a, b)``: sizes of their sets in ``sets(rep, shingles)`` and of the
+    intersection."""
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(CHUNKS)).alias("chunk"))
     partners = dealt.join(sets, dealt.b == sets.rep).select("a", "b", "shingles", "chunk")
     centres = dealt.select("a", "chunk").distinct()
     centres = centres.join(sets, centres.a == sets.rep).select("a", F.lit(None).cast("bigint").alias("b"), "shingles", "chunk")
     together = partners.unionByName(centres).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return together.select("a", "b", "shingles").mapInArrow(_confirm(percent), "a bigint, b bigint")
+    return together.select("a", "b", "shingles").mapInArrow(_compare, "a bigint, b bigint, na bigint, nb bigint, common bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
     """``(rep, component)`` of every node of ``links(a, b)``: its smallest reachable node.
 
     Alternating rounds of large and small stars: every node sends its neighbours the smallest of them all, with
-    map-side minima, until no link changes. A few rounds are enough, since a round roughly squares the reach.
+    map-side minima, until only stars are left. A few rounds are enough, since a round roughly squares the reach.
     """
-    edges = materialised(links.filter("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
-    before = None
+    edges = links.filter("a <> b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct()
     while True:
+        edges = materialised(edges)
+        # in stars no node has two lower ones, or a lower and a higher one
+        ends = edges.select(F.col("high").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+            edges.select("low", F.lit(0), F.lit(1))
+        )
+        ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.filter("up + down > 1 AND up > 0").isEmpty():
+            break
         both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")).union(edges.select("high", "low"))
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("high"), F.col("m").alias("low")).filter("low < high").union(
-            least.select(F.col("u").alias("high"), F.col("m").alias("low"))
-        )
-        edges = materialised(small.select("low", "high").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)"))).first()
-        if state == before:
-            break
-        before = state
+        small = large.join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low")).filter("low < high")
+        edges = small.union(least.select(F.col("u").alias("high"), F.col("m").alias("low"))).select("low", "high").distinct()
     tops = edges.select(F.col("high").alias("rep"), F.col("low").alias("component"))
     return tops.union(edges.select("low", "low").distinct())
 
 
+def _groups_so_far(links: DataFrame) -> DataFrame:
+    """``(rep, component)`` by two steps to the smallest neighbour: parts of components, for what need not be compared any more."""
+    least = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("component")).filter("component < rep")
+    above = least.select(F.col("rep").alias("component"), F.col("component").alias("_top"))
+    return least.join(above, "component", "left").select("rep", F.coalesce("_top", "component").alias("component"))
+
+
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_shingles, component_id, kept``."""
     spark = df.sparkSession
@@ -213,49 +292,49 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     reps = members.select("rep").distinct()
     sets = materialised(docs.join(reps, docs.doc_id == reps.rep, "left_semi").mapInArrow(_sets, "rep bigint, shingles binary"))
 
-    def possible(a: str, b: str):
-        """Sets of these sizes can be similar enough."""
-        return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    def similar(common: str, m: str, n: str) -> Column:
+        return F.col(common) * 100 >= (F.col(m) + F.col(n) - F.col(common)) * percent
 
-    def joined(links: DataFrame) -> DataFrame:
-        return materialised(components(links))
-
-    with_size = members.select("rep", "n").distinct()
-    centre_size = with_size.select(F.col("rep").alias("centre"), F.col("n").alias("nc"))
-    pairs = members.filter("rep <> centre").select("centre", "rep", "n").distinct().join(centre_size, "centre")
-    links = materialised(confirmed(pairs.filter(possible("n", "nc")).select(F.col("centre").alias("a"), F.col("rep").alias("b")), sets, percent))
-    labels = joined(links)
+    tests = materialised(compared(members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), sets))
+    links = tests.filter(similar("common", "na", "nb")).select("a", "b")
 
     for turn in range(MAX_ROUNDS):
-        named = members.join(labels, "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+        named = members.join(_groups_so_far(links), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         # entries of buckets that still hold several components
         several = named.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high")
-        open_entries = materialised(named.join(several.select("bucket"), "bucket"))
-        per_component = open_entries.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-        per_bucket = per_component.groupBy("bucket").agg(
-            ((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"), F.sum("k").alias("entries")
-        )
-        total = per_bucket.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("entries"), F.lit(0))).first()
-        if total[1] == 0:
-            break
-        exhaustive = total[0] <= PAIRS_PER_ENTRY * total[1] or turn == MAX_ROUNDS - 1
-        left = open_entries.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        if not exhaustive:
-            # another centre in each bucket: the entry with the smallest hash for this turn, most likely of its largest component
-            pick = open_entries.groupBy("bucket").agg(
-                F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))).alias("c")
-            )
-            left = pick.select("bucket", "c.a", "c.na", "c.ca")
-        right = open_entries.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        both = left.join(right, "bucket").filter(F.col("ca") != F.col("cb")).filter(possible("na", "nb"))
-        if exhaustive:
-            both = both.filter("a < b")
-        found = materialised(confirmed(both.select("a", "b").distinct(), sets, percent))
-        links = links.union(found)
-        if not found.isEmpty():
-            labels = joined(links)
-        if exhaustive:
+        left = materialised(named.join(several.select("bucket"), "bucket").select("bucket", "rep", "n", "centre", "component"))
+        per_bucket = left.groupBy("bucket").agg(F.count("*").cast("double").alias("k"))
+        pairs, rows = per_bucket.agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0.0))).first()
+        if pairs <= PAIRS_PER_ENTRY * rows or turn == MAX_ROUNDS - 1:
             break
+        # another centre in each bucket: the entry with the smallest hash for this turn, most likely of its largest group
+        pick = F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep").alias("a"), F.col("component").alias("ca")))
+        picked = left.groupBy("bucket").agg(pick.alias("c")).select("bucket", "c.a", "c.ca")
+        asked = left.join(picked, "bucket").filter("component <> ca").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b"))
+        found = materialised(compared(asked.distinct(), sets))
+        links = links.union(found.filter(similar("common", "na", "nb")).select("a", "b"))
+
+    if rows:
+        open_reps = left.select("rep").distinct()
+        counted = sets.join(open_reps, "rep", "left_semi").select("rep", "shingles").mapInArrow(_count_classes, "rep bigint, classes binary")
+        bands = linkable.join(open_reps, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "bands")
+        # of two different groups one at least is not the largest of the bucket
+        sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+        largest = F.max(F.struct("k", "component"))
+        chunks = (F.floor((F.sum("k") - largest["k"]) / TOGETHER) + 1).cast("int")
+        facts = materialised(sizes.groupBy("bucket").agg(largest["component"].alias("main"), chunks.alias("chunks")))
+        facts_of = left.select("bucket", "rep", "n", "component").join(facts, "bucket")
+        known = facts_of.join(counted, "rep").join(bands, "rep").withColumn("small", F.col("component") != F.col("main"))
+        own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("turn")))
+        mine = F.when(F.col("small"), F.array(F.struct(own.alias("chunk"), F.lit(0).alias("turn"))))
+        empty = F.array().cast("array<struct<chunk:int,turn:int>>")
+        dealt = known.withColumn("p", F.explode(F.concat(parts, F.coalesce(mine, empty)))).select("*", "p.*").select(*_HELD)
+        dealt = dealt.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "turn")
+        pairs = materialised(dealt.mapInArrow(_let_through(percent), "a bigint, b bigint"))
+        found = materialised(compared(pairs, sets))
+        links = links.union(found.filter(similar("common", "na", "nb")).select("a", "b"))
+    labels = components(links)
 
     named = materialised(classes.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
     found = signed.select("doc_id", "n_shingles", "digest").join(
