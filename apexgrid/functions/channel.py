@@ -136,13 +136,13 @@ def fn(name: str, *args: Ch | float) -> Ch:
     if key in SERIES_FUNCTIONS:
         arity = 2 if key == "smooth" else 1
         if len(args) != arity:
-            raise ValueError(f"{key}() requires {arity} argument{'s' if arity > 1 else ''}")
+            raise ValueError(f"{key} takes {arity} argument(s), not {len(args)}")
         return SERIES_FUNCTIONS[key](*args)
     if key not in scalar.FUNCTIONS:
-        raise ValueError(f"unknown function '{name}'")
+        raise ValueError(f"there is no function '{name}'")
     function, arity = scalar.FUNCTIONS[key]
     if len(args) != arity:
-        raise ValueError(f"{key}() requires {arity} argument{'s' if arity > 1 else ''}")
+        raise ValueError(f"{key} takes {arity} argument(s), not {len(args)}")
     return call(function, *args)
 
 

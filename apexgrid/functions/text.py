@@ -42,14 +42,14 @@ _COMPARE = {
 def from_text(expression: str) -> Ch:
     """Computed channel for an expression text; ``ValueError`` says what is wrong with it."""
     if not expression.strip():
-        raise ValueError("empty expression")
+        raise ValueError("the expression is blank")
     text, channels = _python_text(expression)
     if re.search(r",\s*\)", text):
         raise ValueError("an argument is missing behind the last comma")
     try:
         tree = ast.parse(text.strip(), mode="eval")
     except SyntaxError as error:
-        raise ValueError(f"cannot read expression: {error.msg}") from error
+        raise ValueError(f"not a valid expression ({error.msg})") from error
     return _build(tree.body, channels)
 
 
@@ -59,7 +59,7 @@ def _python_text(expression: str) -> tuple[str, list[str]]:
     while at < len(expression):
         token = _TOKEN.match(expression, at)
         if token is None:
-            raise ValueError(f"unexpected character '{expression[at]}'")
+            raise ValueError(f"'{expression[at]}' has no meaning in an expression")
         at = token.end()
         name = token["name"]
         if name is not None and token["call"] and name.lower() in {*SERIES_FUNCTIONS, *scalar.FUNCTIONS}:
@@ -105,4 +105,4 @@ def _build(node: ast.expr, channels: list[str]) -> Ch:
             return reduce(lambda a, b: call(both, a, b), map(build, values))
         case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name[0] != "_":
             return fn(name, *map(argument, args))
-    raise ValueError("unexpected tokens in expression")
+    raise ValueError("the expression has a part without meaning")

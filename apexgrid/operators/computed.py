@@ -33,7 +33,7 @@ from apexgrid.operators.stats import channel_stats
 from apexgrid.schema import CHANNEL, FREQ, IDX, SERIES, SESSION, VALUE
 from apexgrid.session import materialised
 
-NO_DATA = "expression references no channels with data"
+NO_DATA = "none of its channels has samples"
 RESERVED = {SESSION, OUT_IDX, FREQ}
 
 
@@ -97,7 +97,7 @@ def evaluate(
     )
     missing = F.array_except(F.array(*map(F.lit, refs)), F.col("_found"))
     message = F.when(F.col("_data").isNull(), F.lit(NO_DATA)).when(
-        F.size(missing) > 0, F.concat(F.lit("math error: unknown channel '"), F.get(missing, 0), F.lit("'"))
+        F.size(missing) > 0, F.concat(F.lit("no channel is named '"), F.get(missing, 0), F.lit("'"))
     )
     checked = sessions.join(status, SESSION, "left").withColumn("_message", message)
     errors = _errors(checked.filter("_message IS NOT NULL"), definition.name, F.col("_message"))
@@ -152,7 +152,7 @@ def evaluate_all(
     names = {d.name for d in cyclic}
     for d in cyclic:
         missing = next(r for r in d.channel.refs if r in names)
-        text = F.lit(f"math error: unknown channel '{missing}'")
+        text = F.lit(f"no channel is named '{missing}'")
         errors.append(_errors(catalog.select(SESSION).distinct(), d.name, text))
     return (
         reduce(DataFrame.unionByName, rows) if rows else _no_rows(samples),

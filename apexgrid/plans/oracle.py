@@ -559,10 +559,10 @@ def _oracles() -> dict[str, str]:
           FROM samples WHERE channel = 'click'""",
         "computed_errors": """
           SELECT session_id, name, message FROM (SELECT DISTINCT session_id FROM samples) s, (VALUES
-            ('Broken', 'math error: unknown channel ''Oil Temp'''),
-            ('Loop A', 'math error: unknown channel ''Loop B'''),
-            ('Loop B', 'math error: unknown channel ''Loop A'''),
-            ('Constant', 'expression references no channels with data')) AS e(name, message)""",
+            ('Broken', 'no channel is named ''Oil Temp'''),
+            ('Loop A', 'no channel is named ''Loop B'''),
+            ('Loop B', 'no channel is named ''Loop A'''),
+            ('Constant', 'none of its channels has samples')) AS e(name, message)""",
         "computed_stats": f"""
           SELECT session_id, 'Twice' AS channel, {rounded("MIN(value * 2)", "min_value")}, {rounded("MAX(value * 2)", "max_value")},
             {rounded("AVG(value * 2)", "avg_value")} FROM samples_nan WHERE channel = 'click' AND NOT ISNAN(value) GROUP BY 1""",

@@ -57,7 +57,7 @@ def test_session_fields(spark, logs):
 
 def test_bad_files(spark, logs):
     rows = {os.path.basename(r.path): r.reason for r in motorlog.read_table(spark, logs, "bad_files").collect()}
-    assert rows == {"bad.ld": "Bad magic byte: 0x41 (expected 0x40)", "short.ld": "File too small (100 bytes, need >= 1762)"}
+    assert rows == {"bad.ld": "starts with byte 0x41 instead of 0x40", "short.ld": "100 bytes are fewer than the 1762 of a header"}
 
 
 def test_channels(spark, logs):
