@@ -322,14 +322,17 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
         sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("k"))
         largest = F.max(F.struct("k", "component"))
         chunks = (F.floor((F.sum("k") - largest["k"]) / TOGETHER) + 1).cast("int")
-        facts = materialised(sizes.groupBy("bucket").agg(largest["component"].alias("main"), chunks.alias("chunks")))
+        # blocks of a large bucket: chunks of those that ask by parts of all
+        parts = (F.floor(F.sum("k") / TOGETHER) + 1).cast("int")
+        facts = materialised(sizes.groupBy("bucket").agg(largest["component"].alias("main"), chunks.alias("chunks"), parts.alias("parts")))
         facts_of = left.select("bucket", "rep", "n", "component").join(facts, "bucket")
         known = facts_of.join(counted, "rep").join(bands, "rep").withColumn("small", F.col("component") != F.col("main"))
-        own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(1).alias("turn")))
-        mine = F.when(F.col("small"), F.array(F.struct(own.alias("chunk"), F.lit(0).alias("turn"))))
+        chunk, part = (F.pmod(F.xxhash64("rep", F.lit(n)), F.col(n)).cast("int") for n in ("chunks", "parts"))
+        block = lambda c, p, turn: F.struct((c * F.col("parts") + p).alias("chunk"), F.lit(turn).alias("turn"))
+        asked = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: block(c, part, 1))
+        asking = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: block(chunk, p, 0))
         empty = F.array().cast("array<struct<chunk:int,turn:int>>")
-        dealt = known.withColumn("p", F.explode(F.concat(parts, F.coalesce(mine, empty)))).select("*", "p.*").select(*_HELD)
+        dealt = known.withColumn("p", F.explode(F.concat(asked, F.when(F.col("small"), asking).otherwise(empty)))).select("*", "p.*").select(*_HELD)
         dealt = dealt.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "turn")
         pairs = materialised(dealt.mapInArrow(_let_through(percent), "a bigint, b bigint"))
         found = materialised(compared(pairs, sets))

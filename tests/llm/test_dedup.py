@@ -92,6 +92,7 @@ def near(rows):
 def test_near_groups(docs, rows, pairs_per_entry, monkeypatch):
     monkeypatch.setattr(minmax_dedup, "PAIRS_PER_ENTRY", pairs_per_entry)
     monkeypatch.setattr(minmax_dedup, "MAX_ROUNDS", 2)
+    monkeypatch.setattr(minmax_dedup, "TOGETHER", 512 if pairs_per_entry else 3)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minmax_dedup.near_groups(docs).collect()}
     expected = near([r[:2] for r in rows])
     assert got == expected
