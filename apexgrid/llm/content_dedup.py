@@ -178,5 +178,5 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     groups = exact_groups(df, doc_id, text)
     key = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
     gone = materialised(groups.filter(~F.col("kept")).select(key).subtract(groups.filter("kept").select(key)))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.sha2(normalised(text).cast("binary"), 256) == F.col("_sha"))
+    same = df[doc_id].eqNullSafe(gone["_id"]) & (F.sha2(normalised(df[text]).cast("binary"), 256) == gone["_sha"])
     return df.join(gone, same, "left_anti")

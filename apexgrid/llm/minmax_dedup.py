@@ -350,4 +350,4 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group, with all their columns."""
     gone = materialised(near_groups(df, doc_id, text, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return df.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    return df.join(gone, df[doc_id] == gone["_gone"], "left_anti")

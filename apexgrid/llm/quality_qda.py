@@ -229,4 +229,4 @@ def keep_good(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     """The rows of ``df`` that are not rejected, with all their columns. Rows that share an id stay if any of them does."""
     found = scored(df, labels, doc_id, text).groupBy("doc_id").agg(F.max("predicted").alias("best"))
     gone = materialised(found.filter("best = 0").select(F.col("doc_id").alias("_gone")))
-    return df.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    return df.join(gone, df[doc_id].eqNullSafe(gone["_gone"]), "left_anti")

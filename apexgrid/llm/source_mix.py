@@ -125,9 +125,10 @@ def mixed(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 def mixture(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``df`` that the mix takes, as often as it takes them. Texts are not shuffled: each row is compared with the
     threshold of its source."""
-    rows = keyed(df, doc_id, source, text)
+    # the row as one value, so that no column of it can be mistaken for one of those added here
+    rows = keyed(df.select(F.struct("*").alias("_row")), f"_row.{doc_id}", f"_row.{source}", f"_row.{text}")
     slim = materialised(rows.select("_size", "_hash", *_KEY))
     goals = materialised(targets(slim))
     out = copies(rows, goals, thresholds(slim, goals))
     repeats = F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))
-    return out.filter("_copies > 0").withColumn("_copy", repeats).select(df.columns)
+    return out.filter("_copies > 0").withColumn("_copy", repeats).select("_row.*")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from apexgrid.llm import chat_windows, packing, pivot_search, quality_qda, queries, ring_shards, source_mix, warc_index
+from apexgrid.llm import chat_windows, content_dedup, minmax_dedup, packing, pivot_search, quality_qda, queries, ring_shards, source_mix, warc_index
 
 # formatting
 
@@ -239,6 +239,24 @@ def test_mixture_takes_whole_rows(docs):
     expected = {r.doc_id: r.copies for r in source_mix.mixed(docs).collect() if r.copies}
     got = {r.doc_id: r["count"] for r in taken.groupBy("doc_id").count().collect()}
     assert got == expected
+    assert {r._size for r in taken.collect()} == {"y"}
+
+
+def test_stages_keep_columns_of_any_name(spark, rows):
+    """Columns named like the operators' own are given back as they came."""
+    names = ("_id", "_sha", "_gone", "_row", "_copies", "_hash", "x")
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    frame = frame.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    for out in (
+        content_dedup.deduplicate(frame),
+        minmax_dedup.deduplicate(frame),
+        source_mix.mixture(frame),
+        quality_qda.keep_good(frame, labels),
+    ):
+        assert out.columns == frame.columns
+        found = out.collect()
+        assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
 
 
 # archives
