@@ -9,13 +9,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from apexgrid.chunking import int_div
 from apexgrid.session import ship_package
 from apexgrid.sources import logfile as layout
 
-ROWS_PER_LOG = 4096
 CODES = {"float32": (7, 4), "float16": (7, 2), "int16": (3, 2), "int32": (5, 4), "float64": (8, 8)}
 NUMPY_TYPES = {"float32": "<f4", "float16": "<f2", "int16": "<i2", "int32": "<i4", "float64": "<f8"}
 
@@ -111,8 +108,11 @@ def _put(block: bytearray, at: int, size: int, value: str) -> None:
     block[at : at + len(raw)] = raw
 
 
-def log_images(samples: DataFrame, rows_per_log: int = ROWS_PER_LOG) -> DataFrame:
-    """Samples packed into binary logs of bounded length: ``(path, content)``, path ``<session>_<chunk>.ld``."""
+def log_images(samples: DataFrame) -> DataFrame:
+    """Samples packed into binary logs, one whole session each: ``(path, content)``, path ``<session>_0.ld``.
+
+    A log is one value of the frame and is written in one task, so a session is bounded by what those hold (2 GB).
+    """
 
     def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         entries = []
@@ -126,9 +126,8 @@ def log_images(samples: DataFrame, rows_per_log: int = ROWS_PER_LOG) -> DataFram
             entries.append(
                 Entry(name, values, kind, int(rows["freq"].iloc[0]), "u", "", scale, decimals, shift, mul)
             )
-        image = Image(entries, {"driver": f"Driver {key[0]}", "venue": "Ring"}, {"event_name": f"Run {key[1]}"})
-        return pd.DataFrame({"path": [f"{key[0]}_{key[1]}.ld"], "content": [log_bytes(image)]})
+        image = Image(entries, {"driver": f"Driver {key[0]}", "venue": "Ring"}, {"event_name": "Run 0"})
+        return pd.DataFrame({"path": [f"{key[0]}_0.ld"], "content": [log_bytes(image)]})
 
     ship_package(samples.sparkSession)
-    keyed = samples.withColumn("_log", int_div(F.col("sample_idx"), rows_per_log))
-    return keyed.groupBy("session_id", "_log").applyInPandas(encode, "path string, content binary")
+    return samples.groupBy("session_id").applyInPandas(encode, "path string, content binary")

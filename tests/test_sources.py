@@ -6,6 +6,7 @@ from helpers import NAN, assert_same
 from pyspark.sql import functions as F
 
 from apexgrid.operators.sectors import Sector, sector_list
+from apexgrid.plans import queries
 from apexgrid.plans.logimages import Entry, Image, log_bytes
 from apexgrid.sources import config, csvfile, motorlog, sidecar
 from apexgrid.sources.logfile import LogFile, scaled
@@ -99,6 +100,24 @@ def test_samples_whatever_the_split(spark, logs, read, monkeypatch, target):
     assert read(df.filter("session_id = 'loop'"), ["channel"], "sample_idx") == {"A": [1.0, 2.0], "B": [3.0]}
 
 
+def test_long_session_is_one_log(spark, make, monkeypatch, tmp_path):
+    samples = make({(7, "view"): (20, range(9000)), (7, "click"): (10, range(5000)), (8, "view"): (20, range(3))})
+    monkeypatch.setattr(queries.tables, "samples", lambda spark, sf_dir: samples)
+    rows = queries.log_samples(spark, "").groupBy("session_id", "channel").agg(F.count("*"), F.min("sample_idx"), F.max("sample_idx"))
+    expected = {("7_0", "view", 9000, 0, 8999), ("7_0", "click", 5000, 0, 4999), ("8_0", "view", 3, 0, 2)}
+    assert {tuple(r) for r in rows.collect()} == expected
+    assert queries.log_sample_range(spark, "").count() == 100
+    assert {(r.session_id, r.name, r.n_data) for r in queries.log_channels(spark, "").collect()} == {(s, c, n) for s, c, n, _, _ in expected}
+    assert sorted(r.session_id for r in queries.log_sessions(spark, "").collect()) == ["7_0", "8_0"]
+    # the same file read by the data source in several splits
+    for r in queries.logimages.log_images(samples).collect():
+        (tmp_path / r.path).write_bytes(r.content)
+    split = motorlog.read_table(spark, str(tmp_path), "samples", targetbytes=10000)
+    assert split.rdd.getNumPartitions() > 5
+    whole = queries.log_samples(spark, "").select("session_id", "channel", "sample_idx", "value")
+    assert sorted(split.select(whole.columns).collect()) == sorted(whole.collect())
+
+
 def test_pushed_filters(spark, logs, read):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
