@@ -15,7 +15,8 @@ Every window of 13 words has an anchor, so no repeat of the threshold length or
 windows meet only partial aggregates and joins between stored tables, which adaptive execution splits.
 
 Cases: null text has no words; texts shorter than a window are kept; a null id matches nothing and loses nothing; rows that
-share an id do not count as earlier than each other; an empty table gives no rows; other columns are ignored.
+share an id do not count as earlier than each other, and each keeps the cuts of its own text; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexgrid.llm import words
-from apexgrid.llm.columns import prepare
+from apexgrid.llm.columns import prepare, text_or_empty
 from apexgrid.session import materialised
 
 WINDOW = 13
 SEED = 5
 
+#: a row with its text: ``part`` is empty for ids that occur once, else a digest of the text
+KEYS = ["doc_id", "part"]
+_KEYS = "doc_id bigint, part string"
+
 
 def window_anchors(hashes: np.ndarray, window: int = WINDOW, seed: int = SEED) -> np.ndarray:
     """Anchor of every window: the smallest of the ``window - seed + 1`` seed hashes in it."""
@@ -56,17 +61,17 @@ def _per_text(column: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.nd
             yield anchors[low : low + n], whole[low : low + n]
 
 
-def _lists(ids: pa.Array, columns: list[list[np.ndarray]], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+def _lists(keys: list[pa.Array], columns: list[list[np.ndarray]], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
     offsets = pa.array(np.cumsum([0, *map(len, columns[0])]), pa.int32())
     flat = [pa.array(np.concatenate(c) if c else np.zeros(0), t) for c, t in zip(columns, types)]
-    return pa.RecordBatch.from_arrays([ids, *(pa.ListArray.from_arrays(offsets, f) for f in flat)], names=names)
+    return pa.RecordBatch.from_arrays([*keys, *(pa.ListArray.from_arrays(offsets, f) for f in flat)], names=[*KEYS, *names])
 
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [np.unique(a).view(np.int64) for a, _ in _per_text(b.column(1), window)]
-            yield _lists(b.column(0), [lists], [pa.int64()], ["doc_id", "anchors"])
+            lists = [np.unique(a).view(np.int64) for a, _ in _per_text(b.column(2), window)]
+            yield _lists(b.columns[:2], [lists], [pa.int64()], ["anchors"])
 
     return run
 
@@ -74,19 +79,20 @@ def _anchors(window: int):
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            asked = b.column(2)
+            asked = b.column(3)
             starts, hashes, low, held = [], [], 0, 0
-            for i, (anchors, whole) in enumerate(_per_text(b.column(1), window)):
+            for i, (anchors, whole) in enumerate(_per_text(b.column(2), window)):
                 mine = np.asarray(asked[i].values.to_numpy(zero_copy_only=False)).view(np.uint64)
                 at = np.flatnonzero(np.isin(anchors, mine)).astype(np.int32)
                 starts.append(at)
                 hashes.append(whole[at].view(np.int64))
                 held += len(at)
                 if held > 1 << 20:
-                    yield _lists(b.column(0).slice(low, len(starts)), [starts, hashes], [pa.int32(), pa.int64()], ["doc_id", "starts", "windows"])
+                    keys = [c.slice(low, len(starts)) for c in b.columns[:2]]
+                    yield _lists(keys, [starts, hashes], [pa.int32(), pa.int64()], ["starts", "windows"])
                     low, starts, hashes, held = i + 1, [], [], 0
             if starts:
-                yield _lists(b.column(0).slice(low), [starts, hashes], [pa.int32(), pa.int64()], ["doc_id", "starts", "windows"])
+                yield _lists([c.slice(low) for c in b.columns[:2]], [starts, hashes], [pa.int32(), pa.int64()], ["starts", "windows"])
 
     return run
 
@@ -127,28 +133,39 @@ def _cut(window: int):
     return run
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` as ``(doc_id, part, text)``. Only ids are read where none is repeated."""
+    known = docs.filter("doc_id IS NOT NULL")
+    reused = materialised(known.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_reused")))
+    if reused.isEmpty():
+        return docs.select("doc_id", F.lit("").alias("part"), "text")
+    digest = F.md5(text_or_empty("text").cast("binary"))
+    marked = docs.join(reused, F.col("doc_id") == F.col("_reused"), "left")
+    return marked.select("doc_id", F.when(F.col("_reused").isNull(), "").otherwise(digest).alias("part"), "text")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, starts)``: first words of the windows that a document with a smaller id has too."""
+    """``(doc_id, part, starts)`` for ``keyed`` documents: first words of the windows that a document with a smaller id has too."""
     known = docs.filter("doc_id IS NOT NULL")
-    anchors = materialised(known.mapInArrow(_anchors(window), "doc_id bigint, anchors array<bigint>"))
-    entries = anchors.select("doc_id", F.explode("anchors").alias("anchor"))
+    anchors = materialised(known.select(*KEYS, "text").mapInArrow(_anchors(window), f"{_KEYS}, anchors array<bigint>"))
+    entries = anchors.select(*KEYS, F.explode("anchors").alias("anchor"))
     spread = entries.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = materialised(spread.filter("low < high").select("anchor"))
-    seeds = materialised(entries.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")))
-    near = known.join(seeds, "doc_id").select("doc_id", "text", "anchors")
-    windows = materialised(near.mapInArrow(_windows(window), "doc_id bigint, starts array<int>, windows array<bigint>"))
-    each = windows.select("doc_id", F.explode(F.arrays_zip("starts", "windows")).alias("w"))
-    each = each.select("doc_id", F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
+    seeds = materialised(entries.join(shared, "anchor").groupBy(*KEYS).agg(F.collect_list("anchor").alias("anchors")))
+    near = known.join(seeds, KEYS).select(*KEYS, "text", "anchors")
+    windows = materialised(near.mapInArrow(_windows(window), f"{_KEYS}, starts array<int>, windows array<bigint>"))
+    each = windows.select(*KEYS, F.explode(F.arrays_zip("starts", "windows")).alias("w"))
+    each = each.select(*KEYS, F.col("w.starts").alias("start"), F.col("w.windows").alias("window"))
     spread = each.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     first = materialised(spread.filter("low < high").select("window", "low"))
     later = each.join(first, "window").filter("doc_id > low")
-    return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    return later.groupBy(*KEYS).agg(F.collect_list("start").alias("starts"))
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one space)."""
     prepare(df.sparkSession)
-    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = keyed(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     found = materialised(repeated_windows(docs, window))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_cut(window), schema)
+    return docs.join(found, KEYS, "left").select("doc_id", "text", "starts").mapInArrow(_cut(window), schema)

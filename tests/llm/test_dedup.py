@@ -165,6 +165,18 @@ def test_remove_repeats(docs, odd, empty, rows):
     assert repeats.remove_repeats(empty).collect() == []
 
 
+def test_repeats_of_texts_under_one_id(spark):
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    first = fresh(60)
+    # one id for a long copy of an earlier document, a short text and a longer one, none of which repeats but the copy
+    known = [(1, first), (2, fresh(20) + " " + first), (2, fresh(15)), (2, fresh(90)), (2, None), (3, fresh(30)), (None, first)]
+    got = repeats.remove_repeats(spark.createDataFrame(known, "doc_id bigint, text string").repartition(3)).collect()
+    expected = without_repeats(known)
+    assert in_order(tuple(r) for r in got) == in_order(expected)
+    assert sum(r[2] for r in expected) == 60
+
+
 def test_every_window_has_an_anchor():
     hashes = words.mixed(np.arange(1, 60, dtype=np.uint64))
     seeds = words.run_hashes(hashes, repeats.SEED)
