@@ -173,11 +173,28 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", part
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns. Rows that share an id stay if any of them does.
+    """The rows of ``df`` that stay, with all their columns; of rows equal in id and text any one.
 
-    Only the ids of what goes meet the rows, so that side is as small as can be.
+    Rows whose id occurs once meet only the ids of what goes, so that side is as small as can be. Rows with a null or
+    repeated id go by id and digest; only for them are the texts normalised again.
     """
+    number = df[doc_id].cast("bigint")
     groups = exact_groups(df, doc_id, text)
-    ids = F.col("doc_id").alias("_id")
-    gone = materialised(groups.filter(~F.col("kept")).select(ids).subtract(groups.filter("kept").select(ids)))
-    return df.join(gone, df[doc_id].eqNullSafe(gone["_id"]), "left_anti")
+    known = groups.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
+    ids = materialised(known.agg((F.count("*") == 1).alias("once"), F.bool_and("kept").alias("kept")).filter("NOT once OR NOT kept"))
+    gone = materialised(ids.filter("once").select("_id"))
+    reused = materialised(ids.filter("NOT once").select("_id"))
+    some_reused, some_null = not reused.isEmpty(), not groups.filter("doc_id IS NULL").isEmpty()
+    plain = df.join(gone, number == gone["_id"], "left_anti")
+    if not (some_reused or some_null):
+        return plain
+    plain = plain.join(reused, number == reused["_id"], "left_anti").filter(number.isNotNull())
+    odd = df.filter(number.isNull())
+    if some_reused:
+        odd = odd.unionAll(df.join(reused, number == reused["_id"], "left_semi"))
+    sha = F.sha2(normalised(odd[text]).cast("binary"), 256)
+    # one row for each id and text before the join, so that neither nulls nor copies are a hot key
+    odd = odd.select(F.struct("*").alias("row"), odd[doc_id].cast("bigint").alias("id"), sha.alias("sha")).dropDuplicates(["id", "sha"])
+    stays = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    stays = stays.filter("_id IS NULL").unionAll(stays.join(reused, "_id", "left_semi"))
+    return plain.unionAll(odd.join(stays, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_semi").select("row.*"))

@@ -20,9 +20,8 @@ pair escapes all 48 bands with probability (1 - 0.75^5)^48, about 2 in a million
 Comparison streams: pairs are dealt by (centre, chunk of partners) and sorted, the centre's set comes first, and one
 set at a time is held. A hot centre is spread over up to ``CHUNKS`` chunks.
 
-Cases: null text is empty; a text without words has size 0 and is linked with nothing; ids are unique by contract,
-of rows that share an id each is a row of the result with the id's component (the smallest id reached by any of them);
-rows with a null id keep null as their component and are linked with nothing; an empty table gives no rows; other columns are ignored.
+Cases: null text is empty; a text without words has size 0 and is linked with nothing; where an id has several texts, each is linked
+by itself: texts are numbered by (id, digest), and of texts that share the smallest id of a group one stays; rows with a null id keep null as their component and are linked with nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +29,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from apexgrid.llm import words
 from apexgrid.llm.columns import prepare
@@ -93,17 +94,13 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import hashlib
-
     for b in batches:
         sizes, digests, keys, offsets = [], [], [], [0]
         for shingles, sequence in shingle_sets(b.column(1)):
             sizes.append(len(shingles))
+            digests.append(_sequence_digest(sequence))
             if len(shingles):
-                digests.append(hashlib.blake2b(sequence.tobytes(), digest_size=16).digest())
                 keys.append(band_keys(signature(shingles)))
-            else:
-                digests.append(b"")
             offsets.append(offsets[-1] + (len(keys[-1]) if len(shingles) else 0))
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
@@ -117,6 +114,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sequence_digest(sequence: np.ndarray) -> bytes:
+    import hashlib
+
+    return hashlib.blake2b(sequence.tobytes(), digest_size=16).digest() if len(sequence) else b""
+
+
+@F.pandas_udf(BinaryType())
+def word_digest(texts: pd.Series) -> pd.Series:
+    """Digest of the word sequence, as in the signatures."""
+    return pd.Series([_sequence_digest(sequence) for _, sequence in shingle_sets(pa.Array.from_pandas(texts, type=pa.string()))], dtype=object)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, bytes of the sorted shingle hashes); rows leave as soon as a few megabytes are together."""
     for b in batches:
@@ -276,11 +285,41 @@ def _groups_so_far(links: DataFrame) -> DataFrame:
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``df``: ``doc_id, n_shingles, component_id, kept``."""
-    spark = df.sparkSession
-    prepare(spark)
+    prepare(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = materialised(docs.mapInArrow(_signatures, _SIGNATURES))
-
+    return _labelled(docs, signed, _reused(signed), percent).drop("digest")
+
+
+def _reused(signed: DataFrame) -> DataFrame | None:
+    """Ids of several rows, or None where there are none."""
+    found = materialised(signed.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    return None if found.isEmpty() else found
+
+
+def _labelled(docs: DataFrame, signed: DataFrame, reused: DataFrame | None, percent: int) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, digest`` of ``docs(doc_id, text)``."""
+    if reused is None:
+        return _linked(docs, signed, percent)
+    # each text of an id becomes a document of its own; numbers in the order of the ids
+    pairs = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "digest").distinct()
+    # numbered in the sorted tasks, since files are read back in any order
+    nodes = materialised(pairs.orderBy("doc_id", "digest").select("doc_id", "digest", F.monotonically_increasing_id().alias("node")))
+    known = docs.filter("doc_id IS NOT NULL").withColumn("digest", word_digest("text"))
+    numbered = materialised(known.join(nodes, ["doc_id", "digest"]).select(F.col("node").alias("doc_id"), "text"))
+    own = materialised(signed.join(nodes, ["doc_id", "digest"]).select(F.col("node").alias("doc_id"), "n_shingles", "digest", "bands"))
+    # rows repeated with id and text are one node
+    found = _linked(numbered.dropDuplicates(["doc_id"]), own.dropDuplicates(["doc_id"]), percent)
+    top = nodes.select(F.col("node").alias("component_id"), F.col("doc_id").alias("_top"))
+    found = found.select(F.col("doc_id").alias("node"), "component_id", "kept").join(top, "component_id").select("node", "_top", "kept")
+    labels = nodes.join(found, "node").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_top", "kept")
+    same = (F.col("doc_id") == F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    component, kept = F.coalesce("_top", "doc_id").alias("component_id"), F.coalesce("kept", F.lit(True)).alias("kept")
+    return signed.join(labels, same, "left").select("doc_id", "n_shingles", component, kept, "digest")
+
+
+def _linked(docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """As ``_labelled``; ids are unique."""
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialised(linkable.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     # the representative's row has the bands of its class; joined by id, so a large class is no hot key
@@ -290,7 +329,7 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     # rows of the buckets that more than one class holds
     members = materialised(entries.join(full, "bucket").select("bucket", "rep", "n", "centre"))
     reps = members.select("rep").distinct()
-    sets = materialised(docs.join(reps, docs.doc_id == reps.rep, "left_semi").mapInArrow(_sets, "rep bigint, shingles binary"))
+    sets = materialised(docs.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets, "rep bigint, shingles binary"))
 
     def similar(common: str, m: str, n: str) -> Column:
         return F.col(common) * 100 >= (F.col(m) + F.col(n) - F.col(common)) * percent
@@ -341,13 +380,31 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
 
     named = materialised(classes.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
     found = signed.select("doc_id", "n_shingles", "digest").join(
-        named, (signed.digest == named.digest) & (signed.n_shingles > 0) & signed.doc_id.isNotNull(), "left"
+        named.withColumnRenamed("digest", "_digest"),
+        (F.col("digest") == F.col("_digest")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(),
+        "left",
     )
     component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "digest")
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its group, with all their columns."""
-    gone = materialised(near_groups(df, doc_id, text, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return df.join(gone, df[doc_id] == gone["_gone"], "left_anti")
+    """The rows of ``df`` whose id is the smallest of its group, with all their columns. Rows with a repeated id go by id
+    and words: those equal in both share one fate."""
+    prepare(df.sparkSession)
+    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    signed = materialised(docs.mapInArrow(_signatures, _SIGNATURES))
+    reused = _reused(signed)
+    number = df[doc_id].cast("bigint")
+    gone = _labelled(docs, signed, reused, percent).filter(~F.col("kept"))
+    if reused is None:
+        gone = materialised(gone.select(F.col("doc_id").alias("_gone")).distinct())
+        return df.join(gone, number == gone["_gone"], "left_anti")
+    gone = materialised(gone.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct())
+    some = reused.withColumnRenamed("doc_id", "_reused")
+    once = gone.join(some, F.col("_gone") == F.col("_reused"), "left_anti").select("_gone")
+    plain = df.join(once, number == once["_gone"], "left_anti").join(some, number == some["_reused"], "left_anti")
+    odd = df.join(some, number == some["_reused"], "left_semi")
+    odd = odd.select(F.struct("*").alias("row"), odd[doc_id].cast("bigint").alias("id"), word_digest(odd[text]).alias("digest"))
+    return plain.unionAll(odd.join(gone, (F.col("id") == F.col("_gone")) & (F.col("digest") == F.col("_digest")), "left_anti").select("row.*"))

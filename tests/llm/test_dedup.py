@@ -106,6 +106,53 @@ def test_near_odd_rows(odd, empty):
     assert minmax_dedup.near_groups(empty).collect() == []
 
 
+def odd_rows(odd):
+    """As the fixture, with null-id copies of texts with and without an id, and a copy under an id that has another text."""
+    more = [(None, "one two three four"), (None, "  only\there "), (None, " only here "), (0, "some text of its own"), (0, "one")]
+    spark = odd.sparkSession
+    known = odd.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id bigint, text string"))
+    return known.repartition(4), [tuple(r) for r in known.collect()]
+
+
+def normal(rows):
+    return sorted(((i is None, i or 0, SPACE.sub(b" ", data(t))) for i, t in rows))
+
+
+def test_exact_deduplicate_odd_rows(odd):
+    frame, known = odd_rows(odd)
+    groups = {}
+    for i, t in known:
+        groups.setdefault(SPACE.sub(b" ", data(t)), []).append((i is None, i))
+    expected = [(null, i or 0, t) for t, g in groups.items() for null, i in [min(g, key=lambda x: (x[0], x[1] or 0))]]
+    assert normal(content_dedup.deduplicate(frame).collect()) == sorted(expected)
+
+
+def test_near_deduplicate_odd_rows(odd):
+    rng = random.Random(4)
+    base = words_of(rng)
+    close = [*base[:-1], "changed"]
+    # under id 900 a copy of an earlier document, one near it, and a text of its own; 901 is near the latter
+    own = words_of(rng)
+    more = [(-5, " ".join(base)), (900, " ".join(base).upper()), (900, " ".join(close)), (900, " ".join(own)), (901, " ".join([*own[1:], "y"]))]
+    frame, known = odd_rows(odd)
+    frame = frame.unionAll(frame.sparkSession.createDataFrame(more, "doc_id bigint, text string"))
+    known += more
+    words_in = {k: tuple(WORD.findall(data(t).lower())) for k, (_, t) in enumerate(known)}
+    node = {k: (i, words_in[k]) for k, (i, _) in enumerate(known) if i is not None and words_in[k]}
+    # plain loop over (id, words) as nodes; the numbers stand in the order of the ids
+    order = {n: j for j, n in enumerate(sorted(set(node.values())))}
+    labels = near([(order[n], known[k][1]) for k, n in node.items()])
+    kept = [row for k, row in enumerate(known) if k not in node or labels[order[node[k]]][2]]
+    got = [tuple(r) for r in minmax_dedup.deduplicate(frame).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(key, got)) == sorted(map(key, kept))
+    assert [r for r in got if r[0] == 900] == [(900, " ".join(own))] and not [r for r in got if r[0] == 901]
+
+
+def words_of(rng):
+    return [f"n{rng.randrange(10**9)}" for _ in range(80)]
+
+
 def test_min_max_signature_is_unbiased():
     rng = np.random.default_rng(5)
     agree = []
