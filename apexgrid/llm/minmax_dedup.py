@@ -179,6 +179,7 @@ def _let_through(percent: int):
         b = b.slice(low, high - low)
         classes = [np.frombuffer(c, np.uint8) if c else np.full(CLASSES, 255, np.uint8) for c in b.column("classes").to_pylist()]
         numbers = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "component", "small")}
+        numbers["counted"] = np.array([bool(c) for c in b.column("classes").to_pylist()])
         bands = b.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(high - low, -1)
         return numbers | {"classes": np.stack(classes), "bands": bands}
 
@@ -189,6 +190,8 @@ def _let_through(percent: int):
         if not fits.any():
             return [], []
         most = np.minimum(_most_common(x["classes"], y["classes"]), np.minimum(nx, ny))
+        # 255 stands for any count: with two such sets the sum is no bound
+        most = np.where(x["counted"][:, None] | y["counted"][None, :], most, np.minimum(nx, ny))
         fits &= most * 100 >= (nx + ny - most) * percent
         i, j = np.nonzero(fits)
         if len(i):

@@ -163,6 +163,21 @@ def test_min_max_signature_is_unbiased():
     assert abs(np.mean(agree) - 240 / 400) < 0.02
 
 
+def test_bound_lets_sets_without_counts_through(monkeypatch):
+    monkeypatch.setattr(minmax_dedup, "CLASSES", 2)
+    rng = np.random.default_rng(8)
+    both = rng.integers(0, 1 << 64, 2100, dtype=np.uint64)
+    sets = [np.unique(both[:2000]), np.unique(both[100:])]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "shingles"])
+    classes = pa.concat_arrays([b.column(1) for b in minmax_dedup._count_classes(iter([batch]))])
+    assert classes.to_pylist() == [b"", b""]
+    # the second set asks (turn 0), the first is asked (turn 1); both lie in bucket 7
+    columns = [[7, 7], [0, 0], [0, 1], [2, 1], [2000, 2000], [2, 1], [True, False], classes, [[7], [7]]]
+    held = pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, list) else c for c in columns], names=minmax_dedup._HELD)
+    got = [b.to_pydict() for b in minmax_dedup._let_through(75)(iter([held]))]
+    assert got == [{"a": [1], "b": [2]}]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 130)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
