@@ -72,7 +72,8 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minimum and maximum under each permutation, interleaved; the set is not empty."""
+    """Minima under the permutations, then the maxima, so that a band never holds both of one permutation, which in small
+    sets depend on each other; the set is not empty."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
     high = np.zeros(PERMUTATIONS, np.uint32)
@@ -81,7 +82,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         values += _SHIFTS[:, None]
         np.minimum(low, values.min(axis=1), out=low)
         np.maximum(high, values.max(axis=1), out=high)
-    return np.stack([low, high], 1).ravel()
+    return np.concatenate([low, high])
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:

@@ -163,6 +163,23 @@ def test_min_max_signature_is_unbiased():
     assert abs(np.mean(agree) - 240 / 400) < 0.02
 
 
+def test_no_band_holds_both_values_of_a_permutation():
+    values = minmax_dedup.signature(np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # a single shingle has equal minimum and maximum under every permutation, so equal values name the permutation
+    names = minmax_dedup.signature(np.array([12345], np.uint64) << np.uint64(32)).reshape(-1, minmax_dedup.ROWS)
+    assert len(values) == names.size and all(len(set(band)) == minmax_dedup.ROWS for band in names.tolist())
+
+
+def test_bands_of_small_sets_find_as_many_as_stated():
+    rng = np.random.default_rng(6)
+    n, agree = 400, 0
+    for _ in range(n):
+        x = rng.integers(0, 1 << 64, 4, dtype=np.uint64)
+        a, b = (minmax_dedup.band_keys(minmax_dedup.signature(np.sort(s))) for s in (x, x[:3]))
+        agree += (a == b).mean()
+    assert abs(agree / n - 0.75**5) < 0.02
+
+
 def test_bound_lets_sets_without_counts_through(monkeypatch):
     monkeypatch.setattr(minmax_dedup, "CLASSES", 2)
     rng = np.random.default_rng(8)
