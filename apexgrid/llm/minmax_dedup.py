@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,10 +120,14 @@ def _sequence_digest(sequence: np.ndarray) -> bytes:
     return hashlib.blake2b(sequence.tobytes(), digest_size=16).digest() if len(sequence) else b""
 
 
-@F.pandas_udf(BinaryType())
-def word_digest(texts: pd.Series) -> pd.Series:
+def word_digest(text: str | Column) -> Column:
     """Digest of the word sequence, as in the signatures."""
-    return pd.Series([_sequence_digest(sequence) for _, sequence in shingle_sets(pa.Array.from_pandas(texts, type=pa.string()))], dtype=object)
+
+    @F.arrow_udf(BinaryType())
+    def digest(texts: pa.Array) -> pa.Array:
+        return pa.array([_sequence_digest(sequence) for _, sequence in shingle_sets(texts)], pa.binary())
+
+    return digest(text)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
