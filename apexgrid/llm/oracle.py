@@ -87,5 +87,59 @@ FROM g
 """
 
 
+#: the 256 remainders of the checksum, and the checksum of an ASCII or UTF-8 text given as hexadecimal digits
+CRC = """
+codes AS (
+  SELECT list(c ORDER BY b) AS codes FROM (
+    SELECT b, list_reduce([b, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS b)
+  )
+)"""
+
+
+def crc32(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    size = f"CAST(octet_length(encode({text})) AS BIGINT)"
+    octets = f"list_transform(range({size}), lambda i: CAST('0x' || substring({digits}, 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, o: xor(c >> 8, codes[(xor(c, o) & 255) + 1])))"
+
+
+OP13 = f"""
+WITH {CRC.strip()}, d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+    {crc32("CAST(doc_id AS VARCHAR)")} AS h
+  FROM documents, codes
+), g AS (
+  SELECT *, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS planted FROM d
+), a AS (
+  SELECT *, CASE WHEN planted THEN g % n ELSE 0 END AS a FROM g
+), b AS (
+  SELECT r, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[CASE WHEN i >= a
+    THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END + 1]) ELSE w END AS w FROM a
+), x AS (
+  SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM b
+), same AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM x JOIN x y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), stretch AS (
+  SELECT r, q, min(i) AS i, count(*) + q AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same)
+  GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+), runs AS (
+  SELECT r, i, size, min(q) AS q FROM stretch GROUP BY r, i, size
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY CAST(size AS DECIMAL(18, 0)) / q DESC, i, q) = 1
+), of_doc AS (
+  SELECT r, count(*) AS n_runs, string_agg(i || ',' || size || ',' || q || chr(10), '' ORDER BY i, q) AS lines FROM runs GROUP BY r
+), gone AS (
+  SELECT r, list(DISTINCT i) AS cut FROM (SELECT r, unnest(range(i + q, i + size)) AS i FROM runs) GROUP BY r
+), kept AS (
+  SELECT x.r, string_agg(x.word, ' ' ORDER BY x.i) AS rest
+  FROM x ANTI JOIN (SELECT r, unnest(cut) AS i FROM gone) c ON c.r = x.r AND c.i = x.i GROUP BY x.r
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, i AS start, size AS length, q AS period,
+  size * 1000 // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM b LEFT JOIN of_doc USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_content_dedup": OP3, "op5_minmax_dedup": OP5, "op6_pivot_search": OP6, "op8_warc_index": OP8, "op9_repeats": OP9}
+    return {"op3_content_dedup": OP3, "op5_minmax_dedup": OP5, "op6_pivot_search": OP6, "op8_warc_index": OP8, "op9_repeats": OP9, "op13_periodic_runs": OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexgrid.llm import (
@@ -12,6 +12,7 @@ from apexgrid.llm import (
     content_dedup,
     minmax_dedup,
     packing,
+    periodic_runs,
     pivot_search,
     quality_qda,
     repeats,
@@ -19,6 +20,7 @@ from apexgrid.llm import (
     source_mix,
     warc_index,
 )
+from apexgrid.llm.columns import WORD
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +107,48 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``; for a tenth of the ids the words from some position on repeat the p words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def periodic(w: Column) -> Column:
+        n, g = F.size(w), F.floor(h / 10)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (F.lit(3) + g % 8)) + 1).cast("int")
+        times = F.ceil((n - a) / p).cast("int")
+        tail = F.slice(F.flatten(F.array_repeat(F.slice(w, a + 1, p), times)), F.lit(1), n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " ")).otherwise("")
+
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, bound(found, periodic)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # lengths over periods compared as products
+    better = lambda x, y: y["length"] * x["period"] - x["length"] * y["period"]
+    order = lambda x, y: F.when(better(x, y) != 0, better(x, y)).otherwise(
+        F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["period"] - y["period"])
+    )
+    best = F.try_element_at(F.array_sort("runs", lambda x, y: F.signum(order(x, y)).cast("int")), F.lit(1))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), "runs", "kept_text").select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.call_function("div", F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_chat_windows,
@@ -117,5 +161,6 @@ def queries() -> dict[str, Query]:
         op8_warc_index,
         op9_repeats,
         op10_ring_shards,
+        op13_periodic_runs,
     ]
     return {f.__name__: f for f in found}
