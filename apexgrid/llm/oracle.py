@@ -87,6 +87,23 @@ FROM g
 """
 
 
+OP12 = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.95
+), r(vec_id, top) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.top
+), c AS (
+  SELECT vec_id, min(top) AS component_id FROM r GROUP BY vec_id
+), n AS (
+  SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
 #: the 256 remainders of the checksum, and the checksum of an ASCII or UTF-8 text given as hexadecimal digits
 CRC = """
 codes AS (
@@ -142,4 +159,4 @@ FROM b LEFT JOIN of_doc USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_content_dedup": OP3, "op5_minmax_dedup": OP5, "op6_pivot_search": OP6, "op8_warc_index": OP8, "op9_repeats": OP9, "op13_periodic_runs": OP13}
+    return {"op3_content_dedup": OP3, "op5_minmax_dedup": OP5, "op6_pivot_search": OP6, "op8_warc_index": OP8, "op9_repeats": OP9, "op12_cap_filters": OP12, "op13_periodic_runs": OP13}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apexgrid.llm import (
+    cap_filters,
     chat_windows,
     content_dedup,
     minmax_dedup,
@@ -112,6 +113,10 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def op12_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``doc_id, text``; for a tenth of the ids the words from some position on repeat the p words there."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -161,6 +166,7 @@ def queries() -> dict[str, Query]:
         op8_warc_index,
         op9_repeats,
         op10_ring_shards,
+        op12_cap_filters,
         op13_periodic_runs,
     ]
     return {f.__name__: f for f in found}
