@@ -189,10 +189,10 @@ def _compare(threshold: float):
 
         def out() -> Iterator[pa.RecordBatch]:
             cap, one, other = key
-            x = side([r for r in held if r[3] == one])
-            y = x if one == other else side([r for r in held if r[3] == other])
-            if len(x["node"]) and len(y["node"]):
-                found = block_links(cap, x, y, one == other, threshold)
+            of_one, of_other = ([r for r in held if r[3] == part] for part in (one, other))
+            if of_one and of_other:
+                x = side(of_one)
+                found = block_links(cap, x, x if one == other else side(of_other), one == other, threshold)
                 if len(found[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["node", "links", "low"])
 

@@ -121,6 +121,40 @@ def crc32(text: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda c, o: xor(c >> 8, codes[(xor(c, o) & 255) + 1])))"
 
 
+OP11 = f"""
+WITH RECURSIVE {CRC.strip()}, t AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run
+    FROM documents
+  ) WHERE length(run) >= 5 GROUP BY ALL
+), h AS (
+  SELECT run, k, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM t, codes
+), v AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2)
+      ELSE run END AS word, k FROM h
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), cut AS (
+  SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, CAST(unnest(range(length(word))) AS INTEGER) AS i FROM v)
+), near AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cut x JOIN v y ON y.word = x.rest
+  UNION SELECT y.word, x.word, x.n FROM cut x JOIN v y ON y.word = x.rest
+), best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form,
+    CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n FROM v LEFT JOIN best USING (word)
+), r(word, top, depth) AS (
+  SELECT word, word, 0 FROM f UNION ALL SELECT r.word, f.form, r.depth + 1 FROM r JOIN f ON f.word = r.top WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT word, arg_max(top, depth) AS root FROM r GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)
+"""
+
 OP13 = f"""
 WITH {CRC.strip()}, d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
@@ -159,4 +193,4 @@ FROM b LEFT JOIN of_doc USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_content_dedup": OP3, "op5_minmax_dedup": OP5, "op6_pivot_search": OP6, "op8_warc_index": OP8, "op9_repeats": OP9, "op12_cap_filters": OP12, "op13_periodic_runs": OP13}
+    return {"op3_content_dedup": OP3, "op5_minmax_dedup": OP5, "op6_pivot_search": OP6, "op8_warc_index": OP8, "op9_repeats": OP9, "op11_spelling_variants": OP11, "op12_cap_filters": OP12, "op13_periodic_runs": OP13}

@@ -19,6 +19,7 @@ from apexgrid.llm import (
     repeats,
     ring_shards,
     source_mix,
+    spelling_variants,
     warc_index,
 )
 from apexgrid.llm.columns import WORD
@@ -113,6 +114,21 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def vocabulary(docs: DataFrame, at_least: int = 3, letters: int = 5) -> DataFrame:
+    """``word, n``: letter runs of the texts, one in 97 of which lacks a code point."""
+    runs = docs.select("doc_id", F.explode(spelling_variants.letter_runs("text")).alias("run")).filter(F.length("run") >= letters)
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
+    hashed = runs.select("run", F.crc32(key.cast("binary")).alias("h"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = hashed.select(F.when(F.col("h") % 97 == 0, cut).otherwise(F.col("run")).alias("word")).filter(F.length("word") >= letters)
+    return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= at_least)
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(vocabulary(table(spark, sf_dir, "documents")))
+
+
 def op12_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -166,6 +182,7 @@ def queries() -> dict[str, Query]:
         op8_warc_index,
         op9_repeats,
         op10_ring_shards,
+        op11_spelling_variants,
         op12_cap_filters,
         op13_periodic_runs,
     ]
