@@ -7,7 +7,7 @@ or when more than ``MAX_OPEN`` sequences are open, the emptiest of them are cut
 leaves at most one sequence with padding each time.
 
 There is no shuffle: input rows never leave their task. Memory per task is bounded by ``MAX_OPEN`` sequences, one Arrow
-batch and a bounded word cache. Sequence ids are ``(partition << 40) + running number``: unique, and the same when a task
+batch and a word cache bounded by ``CACHE_WORDS`` and ``CACHE_BYTES``, which goes when the task ends. Sequence ids are ``(partition << 40) + running number``: unique, and the same when a task
 is run again on the same input split. Write the result (or the input) before using it twice if the input's
 partitioning is not repeatable.
 
@@ -35,7 +35,9 @@ from apexgrid.llm.columns import prepare
 CAPACITY = 2048
 END = 1
 MAX_OPEN = 4096
-CACHE_WORDS = 800_000
+#: words, and bytes of words and ids, at which a worker empties its cache
+CACHE_WORDS = 200_000
+CACHE_BYTES = 24 << 20
 TEXT_BLOCK = 8 << 20
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -74,6 +76,7 @@ class WordTokenizer:
         """Empty the cache: the code of a part, and the ids of part c at ``first[c]:first[c] + size[c]``. Code 0 is nothing."""
         self.codes: dict[str, int] = {"": 0}
         self.ids, self.size = array("I"), array("I", [0])
+        self.held = 0
 
     def _new(self, part: str) -> int:
         if part.isascii() and (part.isalpha() or not part.strip(_PUNCTUATION)):
@@ -84,6 +87,7 @@ class WordTokenizer:
             ids = self.tokenizer.encode(part, add_special_tokens=False).ids
         self.ids.extend(ids)
         self.size.append(len(ids))
+        self.held += 4 * len(part) + 4 * len(ids)
         code = self.codes[part] = len(self.size) - 1
         return code
 
@@ -99,7 +103,7 @@ class WordTokenizer:
         coded = lists.flatten().dictionary_encode()
         if not len(coded):
             return [np.zeros(0, np.uint32)] * len(column)
-        if len(self.codes) > CACHE_WORDS:
+        if len(self.codes) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.forget()
         words = coded.dictionary
         core = pc.ascii_rtrim(words, characters=_PUNCTUATION)
@@ -138,7 +142,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=2)
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker, kept across its tasks."""
+    """One per Python worker, kept across its tasks; its cache of words is not."""
     return WordTokenizer(path)
 
 
@@ -282,5 +286,6 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_id: s
                 yield batch()
         if rows:
             yield batch()
+        tokens.forget()
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(words.returning_memory(run), PIECES)

@@ -6,7 +6,9 @@ about a quarter of a megabyte, so temporary memory does not depend on the number
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def returning_memory(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The task function, which gives freed memory back to the system when it ends: Python workers outlive their tasks, and what an idle
+    one keeps is missing from the executor."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    # where the C library has no such call it trims by itself
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class _Powers:
     """Powers of the base and of its inverse modulo 2^64, grown on demand and kept for ordinary blocks."""
 
