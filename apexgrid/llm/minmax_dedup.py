@@ -18,7 +18,7 @@ pair escapes all 48 bands with probability (1 - 0.75^5)^48, about 2 in a million
    candidate pair is passed over unless it is one group already or cannot be a link, and pairs are never listed.
 
 Comparison streams: pairs are dealt by (centre, chunk of partners) and sorted, the centre's set comes first, and one
-set at a time is held. A hot centre is spread over up to ``CHUNKS`` chunks.
+set at a time is held. A centre has a chunk for every ``PARTNERS`` partners, so its set is copied that seldom and a hot centre is spread all the same.
 
 Cases: null text is empty; a text without words has size 0 and is linked with nothing; where an id has several texts, each is linked
 by itself: texts are numbered by (id, digest), and of texts that share the smallest id of a group one stays; rows with a null id keep null as their component and are linked with nothing; an empty table gives no rows; other columns are ignored.
@@ -42,7 +42,8 @@ SHINGLE = 5
 PERMUTATIONS = 120
 ROWS = 5
 PERCENT = 75
-CHUNKS = 4096
+#: partners of a centre that a task compares; the centre's set travels once for each such chunk
+PARTNERS = 64
 #: rounds with one centre per bucket go on while all pairs would be more than this many times the bucket entries
 PAIRS_PER_ENTRY = 4096
 MAX_ROUNDS = 6
@@ -249,12 +250,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(a, b, na, nb, common)`` of the distinct ``pairs(a, b)``: sizes of their sets in ``sets(rep, shingles)`` and of the
     intersection."""
-    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(CHUNKS)).alias("chunk"))
+    chunks = pairs.groupBy("a").agg((F.floor(F.count("*") / PARTNERS) + 1).alias("chunks"))
+    dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").alias("chunk"))
     partners = dealt.join(sets, dealt.b == sets.rep).select("a", "b", "shingles", "chunk")
     centres = dealt.select("a", "chunk").distinct()
     centres = centres.join(sets, centres.a == sets.rep).select("a", F.lit(None).cast("bigint").alias("b"), "shingles", "chunk")
     together = partners.unionByName(centres).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return together.select("a", "b", "shingles").mapInArrow(_compare, "a bigint, b bigint, na bigint, nb bigint, common bigint")
+    return together.select("a", "b", "shingles").mapInArrow(words.returning_memory(_compare), "a bigint, b bigint, na bigint, nb bigint, common bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -294,7 +296,7 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     """One row per row of ``df``: ``doc_id, n_shingles, component_id, kept``."""
     prepare(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialised(docs.mapInArrow(_signatures, _SIGNATURES))
+    signed = materialised(docs.mapInArrow(words.returning_memory(_signatures), _SIGNATURES))
     return _labelled(docs, signed, _reused(signed), percent).drop("digest")
 
 
@@ -336,7 +338,7 @@ def _linked(docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     # rows of the buckets that more than one class holds
     members = materialised(entries.join(full, "bucket").select("bucket", "rep", "n", "centre"))
     reps = members.select("rep").distinct()
-    sets = materialised(docs.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets, "rep bigint, shingles binary"))
+    sets = materialised(docs.join(reps, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(words.returning_memory(_sets), "rep bigint, shingles binary"))
 
     def similar(common: str, m: str, n: str) -> Column:
         return F.col(common) * 100 >= (F.col(m) + F.col(n) - F.col(common)) * percent
@@ -362,7 +364,7 @@ def _linked(docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
     if rows:
         open_reps = left.select("rep").distinct()
-        counted = sets.join(open_reps, "rep", "left_semi").select("rep", "shingles").mapInArrow(_count_classes, "rep bigint, classes binary")
+        counted = sets.join(open_reps, "rep", "left_semi").select("rep", "shingles").mapInArrow(words.returning_memory(_count_classes), "rep bigint, classes binary")
         bands = linkable.join(open_reps, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "bands")
         # of two different groups one at least is not the largest of the bucket
         sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("k"))
@@ -380,7 +382,7 @@ def _linked(docs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
         empty = F.array().cast("array<struct<chunk:int,turn:int>>")
         dealt = known.withColumn("p", F.explode(F.concat(asked, F.when(F.col("small"), asking).otherwise(empty)))).select("*", "p.*").select(*_HELD)
         dealt = dealt.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "turn")
-        pairs = materialised(dealt.mapInArrow(_let_through(percent), "a bigint, b bigint"))
+        pairs = materialised(dealt.mapInArrow(words.returning_memory(_let_through(percent)), "a bigint, b bigint"))
         found = materialised(compared(pairs, sets))
         links = links.union(found.filter(similar("common", "na", "nb")).select("a", "b"))
     labels = components(links)
@@ -401,7 +403,7 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     and words: those equal in both share one fate."""
     prepare(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialised(docs.mapInArrow(_signatures, _SIGNATURES))
+    signed = materialised(docs.mapInArrow(words.returning_memory(_signatures), _SIGNATURES))
     reused = _reused(signed)
     number = df[doc_id].cast("bigint")
     gone = _labelled(docs, signed, reused, percent).filter(~F.col("kept"))
