@@ -14,7 +14,7 @@ enters a score.
 Cases: null text is empty and is scored like any text (all rates 0); documents without label, with a null label, or with
 another label than 0 or 1 are scored but not learnt from; if one class has no training rows the other class's label is
 the score, without training rows 0.5; a null id is not held out; rows with equal ids are scored each by their own text; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored. A very long text is summed up piece by piece; besides the text itself its word hashes are held, 8 bytes a word.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from apexgrid.llm import words
 from apexgrid.llm.columns import prepare
@@ -37,6 +38,8 @@ TEMPERATURE = 16.0
 TO_POOLED = 0.1
 TO_UNIT = 0.05
 FOLDS = 5
+#: labelled rows that the filter learns from
+LEARNT_FROM = 50_000
 
 NAMES = (
     "log_bytes",
@@ -84,41 +87,59 @@ def _rate(count, total) -> np.ndarray:
     return np.log((np.asarray(count, float) + 0.2) / (np.asarray(total) + 20) + 0.01)
 
 
+def _sums(part: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For texts end to end: bytes, words, bytes in words, words of marks only, then the bytes of each class."""
+    columns = [np.diff(own)]
+    starts, ends = words.spans(part, own)
+    at = np.searchsorted(starts, own)
+    columns.append(np.diff(at))
+    in_words = np.concatenate([[0], np.cumsum(ends - starts)])
+    columns.append(in_words[at[1:]] - in_words[at[:-1]])
+    # a word without letters or digits: as many marks as bytes
+    marks = np.zeros(len(part) + 1, np.int64)
+    np.cumsum(_IS_MARK[part], out=marks[1:])
+    only_marks = np.concatenate([[0], np.cumsum(marks[ends] - marks[starts] == ends - starts)])
+    columns.append(only_marks[at[1:]] - only_marks[at[:-1]])
+    for table in _CLASSES.values():
+        total = np.zeros(len(part) + 1, np.int64)
+        np.cumsum(table[part], out=total[1:])
+        columns.append(total[own[1:]] - total[own[:-1]])
+    return np.stack(columns, axis=1)
+
+
+def _distinct(values: np.ndarray) -> int:
+    """Number of distinct hashes; many are taken by ranges, so that only a part is copied and sorted at once."""
+    if len(values) <= words.BLOCK_BYTES:
+        return len(np.unique(values))
+    ranges = (values >> np.uint64(60)).astype(np.uint8)
+    return sum(len(np.unique(values[ranges == r])) for r in range(16))
+
+
 def statistics(column: pa.Array) -> Iterator[np.ndarray]:
     """Blocks of rows with one column for each of ``NAMES``."""
     data, offsets = words.texts_of(column)
     for low, hashes, borders in words.word_hashes(column):
         n = len(borders) - 1
         part, own = data[offsets[low] : offsets[low + n]], offsets[low : low + n + 1] - offsets[low]
-        size = np.diff(own)
-        count = {}
-        for name, table in _CLASSES.items():
-            total = np.zeros(len(part) + 1, np.int64)
-            np.cumsum(table[part], out=total[1:])
-            count[name] = total[own[1:]] - total[own[:-1]]
-        starts, ends = words.spans(part, own)
-        # a word without letters or digits: as many marks as bytes
-        marks = np.zeros(len(part) + 1, np.int64)
-        np.cumsum(_IS_MARK[part], out=marks[1:])
-        only_marks = np.concatenate([[0], np.cumsum(marks[ends] - marks[starts] == ends - starts)])
-        in_words = np.concatenate([[0], np.cumsum(ends - starts)])
-        at = np.searchsorted(starts, own)
-        n_words = np.diff(at)
+        if n == 1 and len(part) > words.BLOCK_BYTES:
+            # cut at white space, so words and their sums stay whole
+            sums = sum(_sums(p, np.array([0, len(p)])) for p in words._pieces(part))
+        else:
+            sums = _sums(part, own)
+        size, n_words, in_words, only_marks = sums[:, :4].T
+        count = dict(zip(_CLASSES, sums[:, 4:].T))
         distinct, same, pairs = np.zeros(n), np.zeros(n), np.zeros(n)
         for i in range(n):
             w = hashes[borders[i] : borders[i + 1]]
+            distinct[i] = _distinct(w)
             if len(w) > 1:
-                distinct[i] = len(np.unique(w))
                 same[i] = (w[1:] == w[:-1]).sum()
-                two = w[1:] * np.uint64(3) + w[:-1]
-                pairs[i] = len(two) - len(np.unique(two))
-            else:
-                distinct[i] = len(w)
+                pairs[i] = len(w) - 1 - _distinct(w[1:] * np.uint64(3) + w[:-1])
         yield np.stack(
             [
                 np.log1p(size),
                 np.log1p(n_words),
-                np.log1p((in_words[at[1:]] - in_words[at[:-1]]) / np.maximum(n_words, 1)),
+                np.log1p(in_words / np.maximum(n_words, 1)),
                 np.log1p(distinct) / np.log(n_words + 2),
                 _rate(same, n_words),
                 _rate(pairs, n_words),
@@ -127,7 +148,7 @@ def statistics(column: pa.Array) -> Iterator[np.ndarray]:
                 _rate(count["sentence"], size),
                 _rate(count["exclamation"], size),
                 _rate(count["other"], size),
-                _rate(only_marks[at[1:]] - only_marks[at[:-1]], n_words),
+                _rate(only_marks, n_words),
                 _rate(count["line"], n_words),
                 _rate(count["wide"], size),
             ],
@@ -211,7 +232,7 @@ def scored(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """One row per row of ``df``: ``doc_id, held_out, score, predicted``. Labels of held-out rows are not used."""
     prepare(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    known = materialised(docs.mapInArrow(_statistics, "doc_id bigint, x array<double>"))
+    known = materialised(docs.mapInArrow(words.returning_memory(_statistics), "doc_id bigint, x array<double>"))
     training = labels.select(F.col("doc_id").alias("_id"), "quality").filter(~held_out("_id"))
     model = fit(known.join(training, F.col("doc_id") == F.col("_id")))
     d = len(NAMES)
@@ -225,8 +246,27 @@ def scored(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that are not rejected, with all their columns. Rows that share an id stay if any of them does."""
-    found = scored(df, labels, doc_id, text).groupBy("doc_id").agg(F.max("predicted").alias("best"))
-    gone = materialised(found.filter("best = 0").select(F.col("doc_id").alias("_gone")))
-    return df.join(gone, df[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+def keep_good(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", learnt_from: int = LEARNT_FROM) -> DataFrame:
+    """The rows of ``df`` that are not rejected, with all their columns, each judged by its own text whatever its id.
+
+    The model is learnt from about ``learnt_from`` labelled ids, or all where there are no more, picked by a hash of the id (of several labels of one id the
+    smaller counts); then
+    the texts are scored and filtered in one pass, without a join.
+    """
+    prepare(df.sparkSession)
+    known = labels.select(F.col("doc_id").alias("_id"), "quality").filter("quality IN (0, 1)").filter(~held_out("_id"))
+    known = materialised(known.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("quality").alias("quality")))
+    share = min(1.0, learnt_from / max(known.count(), 1))
+    # bounded by learnt_from, up to chance, so it may be broadcast and the texts stay where they are
+    picked = F.broadcast(known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share * (1 << 20)))
+    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    examples = docs.join(picked, F.col("doc_id") == F.col("_id")).select("doc_id", "text")
+    examples = materialised(examples.mapInArrow(words.returning_memory(_statistics), "doc_id bigint, x array<double>"))
+    model = fit(examples.join(picked, F.col("doc_id") == F.col("_id")))
+
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        found = [model.score(x) for x in statistics(texts)]
+        return pa.array(np.concatenate(found) if found else np.zeros(0))
+
+    return df.filter(score(df[text]) >= THRESHOLD)

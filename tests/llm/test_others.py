@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from apexgrid.llm import chat_windows, content_dedup, minmax_dedup, packing, pivot_search, quality_qda, queries, ring_shards, source_mix, warc_index
+from apexgrid.llm import chat_windows, content_dedup, minmax_dedup, packing, pivot_search, quality_qda, queries, ring_shards, source_mix, warc_index, words
 
 # formatting
 
@@ -148,6 +148,14 @@ def test_quality_held_out(spark):
     assert all(math.isclose(again[r.doc_id], r.score, rel_tol=1e-6, abs_tol=1e-12) for r in got if r.doc_id and r.doc_id < 600)
     kept = quality_qda.keep_good(docs, known)
     assert kept.columns == docs.columns
+    # by row: a good text saves no other row of its id, null or not
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 2).when(F.col("doc_id") % 3 == 1, F.col("doc_id")))
+    for frame in (docs, odd):
+        found = quality_qda.keep_good(frame, known).collect()
+        share = np.mean([len(set((r.text or "").split())) < 0.4 * len((r.text or "x").split()) for r in found])
+        assert share < 0.02 and len(found) > 400
+    few = quality_qda.keep_good(docs, known, learnt_from=150).collect()
+    assert abs(len(few) - kept.count()) < 20
 
 
 @pytest.mark.parametrize("labels, score", [([], 0.5), ([(1, 1, 0)], 1.0), ([(1, 0, 0)], 0.0)])
@@ -157,6 +165,26 @@ def test_quality_without_a_class(spark, docs, empty, labels, score):
     assert quality_qda.scored(empty, known).collect() == []
 
 
+def test_statistics_of_long_texts_by_pieces(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aBé1.!-\n") for _ in range(rng.randrange(1, 9))) for _ in range(4000)), "", "x" * 9000]
+    whole = np.concatenate(list(quality_qda.statistics(pa.array(texts))))
+    monkeypatch.setattr(words, "BLOCK_BYTES", 700)
+    assert np.allclose(np.concatenate(list(quality_qda.statistics(pa.array(texts)))), whole)
+
+
+def test_word_cache_is_bounded_and_released(monkeypatch):
+    tokenizer = packing.word_tokenizer(queries.tokenizer_path())
+    texts = pa.array([f"word{i} other{i} x" for i in range(2000)])
+    whole = [x.tolist() for x in tokenizer.column(texts)]
+    monkeypatch.setattr(packing, "CACHE_BYTES", 100)
+    monkeypatch.setattr(packing, "TEXT_BLOCK", 1000)
+    assert [x.tolist() for x in tokenizer.column(texts)] == whole
+    assert tokenizer.held < 20000
+    tokenizer.forget()
+    assert len(tokenizer.codes) == 1 and tokenizer.held == 0
+
+
 def test_discriminant_is_the_density_ratio():
     rng = np.random.default_rng(1)
     x = [rng.normal(0, 1, (500, 3)) @ rng.normal(0, 1, (3, 3)) + c for c in (0, 2)]
@@ -359,4 +387,4 @@ def test_registry():
     names = set(entry.queries())
     assert set(queries.queries()) | {"pipeline"} <= names
     assert set(entry.oracle_sql()) <= names
-    assert [json.dumps(n) for n in queries.queries()] and len(queries.queries()) == 10
+    assert [json.dumps(n) for n in queries.queries()] and len(queries.queries()) == 13
