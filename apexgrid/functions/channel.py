@@ -8,6 +8,8 @@
 from __future__ import annotations
 
 import itertools
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from apexgrid.functions import scalar
 
 _ids = itertools.count()
+_STEP = re.compile(r"\b_step\d+\b")
 
 
 @dataclass(frozen=True)
@@ -36,6 +39,8 @@ class Ch:
     col: Column
     refs: tuple[str, ...] = ()
     steps: tuple[Step, ...] = field(default=())
+    #: references that the Column reads under their own names, as SQL text does
+    named: tuple[str, ...] = ()
 
     @property
     def level(self) -> int:
@@ -113,21 +118,31 @@ class Ch:
         raise TypeError("use & | ~ on channels, not and/or/not")
 
 
+def ref_column(name: str) -> str:
+    """Name of the column that holds a referenced channel: no two names share it, whatever their letter case, and no other column has it."""
+    return f"_ref_{name.encode().hex()}"
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def ch(name: str) -> Ch:
     """Reference to a channel by name or alias."""
-    return Ch(F.col("`" + name.replace("`", "``") + "`"), (name,))
+    return Ch(F.col(ref_column(name)), (name,))
 
 
 def sql(expression: str, refs: tuple[str, ...] | list[str]) -> Ch:
     """A Spark SQL expression over the named channels, e.g. using the functions of ``register_functions``."""
-    return Ch(F.expr(expression), tuple(refs))
+    return Ch(F.expr(expression), tuple(refs), named=tuple(refs))
 
 
 def call(function, *args: Ch | float) -> Ch:
     """Apply a scalar function of Columns to channels and numbers."""
     channels = [a for a in args if isinstance(a, Ch)]
     columns = [a.col if isinstance(a, Ch) else a for a in args]
-    return Ch(function(*columns), _merge(c.refs for c in channels), _merge(c.steps for c in channels))
+    return Ch(function(*columns), *(_merge(getattr(c, part) for c in channels) for part in ("refs", "steps", "named")))
 
 
 def fn(name: str, *args: Ch | float) -> Ch:
@@ -169,7 +184,25 @@ def _step(kind: str, x: Ch | float, window=None, other: Ch | None = None) -> Ch:
     inputs = [x] if other is None else [x, other]
     before = _merge(c.steps for c in inputs)
     step = Step(kind, x.col, f"_step{next(_ids)}", window, max(c.level for c in inputs))
-    return Ch(F.col(step.output), _merge(c.refs for c in inputs), (*before, step))
+    return Ch(F.col(step.output), _merge(c.refs for c in inputs), (*before, step), _merge(c.named for c in inputs))
+
+
+def shared_steps(steps: Sequence[Step]) -> tuple[list[Step], dict[str, str]]:
+    """The steps without those that repeat another, and for each of these the output of the one it repeats."""
+    first: dict[tuple, str] = {}
+    same: dict[str, str] = {}
+    kept = []
+
+    def plain(c: Column | int | None) -> str:
+        return _STEP.sub(lambda m: same.get(m[0], m[0]), str(c))
+
+    for s in sorted({s.output: s for s in steps}.values(), key=lambda s: s.level):
+        output = first.setdefault((s.kind, plain(s.source), plain(s.window)), s.output)
+        if output == s.output:
+            kept.append(s)
+        else:
+            same[s.output] = output
+    return kept, same
 
 
 def _merge(groups) -> tuple:

@@ -108,8 +108,8 @@ def linear_on_plan(
     def guess(k: Column) -> Column:
         return F.ceil(F.try_divide(k * grid_rate, rate))
 
-    def first_slot(k: Column) -> Column:
-        return _first_slot(k, lambda i: F.floor(position(i)), guess)
+    def first(k: Column) -> Column:
+        return first_slot(k, lambda i: F.floor(position(i)), guess)
 
     order = chunk_window(SERIES, IDX)
     k = F.col(IDX)
@@ -122,7 +122,7 @@ def linear_on_plan(
     )
     between = position(F.col(OUT_IDX)) - F.col(IDX)
     body = (
-        _emit(rows, first_slot(k), F.least(first_slot(k + 1), F.col("out_len")) - 1)
+        _emit(rows, first(k), F.least(first(k + 1), F.col("out_len")) - 1)
         .withColumn(
             VALUE,
             F.when(same, F.col(VALUE)).otherwise(
@@ -134,7 +134,7 @@ def linear_on_plan(
     stopped = F.col(FREQ) <= 0
     tail = _hold(
         plan,
-        F.when(stopped, F.lit(0)).otherwise(first_slot(F.col("n") - 1)),
+        F.when(stopped, F.lit(0)).otherwise(first(F.col("n") - 1)),
         F.col("out_len") - 1,
         F.when(stopped, F.col("first_value")).otherwise(F.col("last_value")),
         keep,
@@ -170,8 +170,8 @@ def resample_nearest(
         exact = F.ceil(F.try_divide((k - 0.5) * grid_rate, rate))
         return F.when(same_rate, k).otherwise(exact)
 
-    def first_slot(k: Column) -> Column:
-        return _first_slot(k, source, guess)
+    def first(k: Column) -> Column:
+        return first_slot(k, source, guess)
 
     k = F.col(IDX)
     rows = (
@@ -181,14 +181,14 @@ def resample_nearest(
     )
     body = _emit(
         rows,
-        F.greatest(first_slot(k), F.col("_row0")),
-        F.least(first_slot(k + 1), F.col("_row1")) - 1,
+        F.greatest(first(k), F.col("_row0")),
+        F.least(first(k + 1), F.col("_row1")) - 1,
     ).select(*SERIES, OUT_IDX, OUT_FREQ, VALUE)
     stopped = F.col(FREQ) <= 0
     tail = _hold(
         plan,
         F.greatest(
-            F.when(stopped, F.lit(0)).otherwise(first_slot(F.col("n"))), F.col("_row0")
+            F.when(stopped, F.lit(0)).otherwise(first(F.col("n"))), F.col("_row0")
         ),
         F.col("_row1") - 1,
         F.when(stopped, F.col("first_value")).otherwise(F.col("last_value")),
@@ -207,7 +207,7 @@ def resample_to_track(
     return linear_on_plan(samples, plan, chunk_rows, on_track_clock=True)
 
 
-def _first_slot(
+def first_slot(
     k: Column, place: Callable[[Column], Column], guess: Callable[[Column], Column]
 ) -> Column:
     """Smallest slot whose place is at least ``k``."""

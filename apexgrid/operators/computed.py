@@ -1,4 +1,12 @@
-"""Evaluating computed channels over sessions."""
+"""Evaluating computed channels over sessions.
+
+Definitions are evaluated in stages: those of a stage refer to no pending one. A stage is one pass. Its definitions' channels are resolved
+together, the samples of all of them are shuffled once by time slice (:mod:`apexgrid.operators.slices`), and definitions whose grid - rate
+and length - agrees in a session read the same aligned rows of it. Repeated series functions are worked out once.
+
+A definition never stops the others: a text that cannot be read, a name without channel, channels without samples and definitions
+in a circle become rows of ``errors``.
+"""
 
 from __future__ import annotations
 
@@ -6,51 +14,65 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apexgrid.chunking import CHUNK_ROWS
-from apexgrid.functions.channel import Ch
+from apexgrid.chunking import CHUNK, CHUNK_ROWS, CORE
+from apexgrid.functions.channel import Ch, quoted, ref_column, shared_steps
 from apexgrid.functions.text import from_text
-from apexgrid.operators.align import (
-    OUT_FREQ,
-    OUT_IDX,
-    linear_on_plan,
-    output_rate,
-    pivot_channels,
-    series_facts,
-)
-from apexgrid.operators.catalog import (
-    aliases_frame,
-    ascii_lower,
-    channel_indexes,
-    only_channels,
-    refs_frame,
-    resolve_names,
-)
+from apexgrid.operators import slices
+from apexgrid.operators.align import OUT_FREQ, OUT_IDX
+from apexgrid.operators.catalog import aliases_frame, ascii_lower, only_channels, refs_frame, resolve_names
 from apexgrid.operators.series import add_steps, halo_of
 from apexgrid.operators.stats import channel_stats
 from apexgrid.schema import CHANNEL, FREQ, IDX, SERIES, SESSION, VALUE
 from apexgrid.session import materialised
 
 NO_DATA = "none of its channels has samples"
-RESERVED = {SESSION, OUT_IDX, FREQ}
+#: columns of the aligned frame, which SQL texts cannot use as channel names
+RESERVED = {SESSION, OUT_IDX, FREQ, "out_len", CHUNK, CORE}
+GRID = (SESSION, FREQ, "out_len")
+#: definitions, or references, that one BIGINT of flags covers
+FLAGS = 62
+LAST_INDEX = 2**31 - 1
 
 
 @dataclass(frozen=True, eq=False)
 class Definition:
-    """A named computed channel."""
+    """A named computed channel; without a ``channel`` it has a ``problem``, and evaluates to an error."""
 
     name: str
-    channel: Ch
+    channel: Ch | None
     unit: str = ""
     dec_places: int = 2
     category: str = ""
+    problem: str | None = None
 
     @classmethod
     def from_text(cls, name: str, expression: str, unit: str = "", dec_places: int = 2) -> Definition:
         return cls(name, from_text(expression), unit, dec_places)
 
+    @classmethod
+    def lenient(cls, name: str, expression: str, unit: str = "", dec_places: int = 2) -> Definition:
+        """As :meth:`from_text`, but what is wrong with the text is kept for the errors of the evaluation."""
+        try:
+            return cls.from_text(name, expression or "", unit, dec_places)
+        except ValueError as error:
+            return cls(name, None, unit, dec_places, problem=str(error))
+
+    @property
+    def refs(self) -> tuple[str, ...]:
+        return self.channel.refs if self.channel is not None else ()
+
+    def fault(self) -> str | None:
+        """What keeps the definition from being planned at all."""
+        if self.channel is None:
+            return self.problem or "there is no expression"
+        lowered = [n.lower() for n in self.channel.named]
+        if RESERVED.intersection(lowered) or len(set(lowered)) < len(lowered):
+            return f"SQL text cannot tell these channel names apart: {sorted(self.channel.named)}"
+        return None
+
 
 def wanted_names(refs: Sequence[str], aliases: Mapping[str, str]) -> list[str]:
     """Every channel name, in lower case, that the references could mean."""
@@ -66,63 +88,25 @@ def evaluate(
     aliases: Mapping[str, str] | None = None,
     catalog: DataFrame | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    seconds: int = slices.SLICE_SECONDS,
 ) -> tuple[DataFrame, DataFrame]:
     """One computed channel over all sessions: ``(rows, errors)``.
 
     ``rows`` has the layout of ``samples``; ``errors(session_id, name, message)`` lists sessions that lack a channel or
     any data. ``catalog(session_id, channel, channel_index, n_data)`` defaults to the channels of ``samples``; given,
-    it also lets the scan skip other channels. Only samples of channels the expression can mean are shuffled: once to the resampler and once to the pivot,
-    whose shuffle serves series functions as well; functions nested in others add one each.
+    it also lets the scan skip other channels. Only samples of channels the expression can mean are shuffled, once and before they are
+    resampled; series functions nested in others add one shuffle each.
     """
-    refs, aliases = list(definition.channel.refs), dict(aliases or {})
-    clash = RESERVED.intersection(refs)
-    if clash:
-        raise ValueError(f"alias these channel names first: {sorted(clash)}")
-    spark = samples.sparkSession
+    samples = samples.select(*SERIES, FREQ, IDX, VALUE)
     sessions = (samples if catalog is None else catalog).select(SESSION).distinct()
-    if not refs:
-        return _no_rows(samples), _errors(sessions, definition.name, F.lit(NO_DATA))
-
-    wanted = ascii_lower(F.col(CHANNEL)).isin(wanted_names(refs, aliases))
+    if definition.fault() or not definition.refs:
+        return _no_rows(samples), _errors(sessions, definition.name, F.lit(definition.fault() or NO_DATA))
+    aliases = dict(aliases or {})
+    wanted = ascii_lower(F.col(CHANNEL)).isin(wanted_names(definition.refs, aliases))
     candidates = samples.filter(wanted) if catalog is None else only_channels(samples, catalog, wanted)
-    facts = series_facts(candidates, chunk_rows)
-    if catalog is None:
-        # every channel that a reference can mean is a candidate
-        catalog = facts.filter("_head").select(*SERIES, F.lit(0).alias("channel_index"), F.col("n").alias("n_data"))
-    resolved = resolve_names(catalog, refs_frame(spark, refs), aliases_frame(spark, aliases))
-
-    with_data = catalog.filter("n_data > 0").select(*SERIES, F.lit(True).alias("_data"))
-    status = resolved.join(with_data, [*SERIES], "left").groupBy(SESSION).agg(
-        F.collect_set("ref").alias("_found"), F.max("_data").alias("_data")
-    )
-    missing = F.array_except(F.array(*map(F.lit, refs)), F.col("_found"))
-    message = F.when(F.col("_data").isNull(), F.lit(NO_DATA)).when(
-        F.size(missing) > 0, F.concat(F.lit("no channel is named '"), F.get(missing, 0), F.lit("'"))
-    )
-    checked = sessions.join(status, SESSION, "left").withColumn("_message", message)
-    errors = _errors(checked.filter("_message IS NOT NULL"), definition.name, F.col("_message"))
-
-    session = Window.partitionBy(SESSION)
-    by_channel = (
-        resolved.withColumn("_known", F.count(F.lit(1)).over(session))
-        .filter(F.col("_known") == len(refs))
-        .groupBy(*SERIES)
-        .agg(F.collect_set("ref").alias("refs"))
-    )
-    plan = output_rate(facts.join(by_channel, [*SERIES]))
-    aligned = linear_on_plan(candidates, plan, chunk_rows, keep=("refs",))
-    steps = definition.channel.steps
-    halo = halo_of(steps, chunk_rows)
-    wide = pivot_channels(aligned, refs, by="refs", chunk_rows=chunk_rows, halo=halo)
-    wide = add_steps(wide, steps, [SESSION], OUT_IDX, FREQ, chunk_rows, haloed=halo is not None)
-    rows = wide.select(
-        SESSION,
-        F.lit(definition.name).alias(CHANNEL),
-        FREQ,
-        F.col(OUT_IDX).alias(IDX),
-        definition.channel.col.cast("double").alias(VALUE),
-    )
-    return rows, errors
+    heads = slices.series_heads(candidates, chunk_rows)
+    known = _catalog_of(heads) if catalog is None else catalog
+    return _stage(candidates, heads, known, sessions, [definition], aliases, chunk_rows, seconds)
 
 
 def evaluate_all(
@@ -130,46 +114,164 @@ def evaluate_all(
     definitions: Sequence[Definition],
     aliases: Mapping[str, str] | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    seconds: int = slices.SLICE_SECONDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """All definitions, each after the ones it names exactly; definitions in a cycle become errors."""
-    ordered, cyclic = dependency_order(definitions)
+    """All definitions, each after the ones it names exactly: ``(rows, errors)``.
+
+    Lengths and last values of the series are taken once, and samples are read once per stage. Only a stage that later ones refer to is
+    written down.
+    """
+    aliases = dict(aliases or {})
     samples = samples.select(*SERIES, FREQ, IDX, VALUE)
-    catalog = materialised(channel_indexes(samples))
-    used = {r for d in definitions for r in d.channel.refs}
-    done: dict[str, DataFrame] = {}
+    faults = {d.name: fault for d in definitions if (fault := d.fault()) is not None}
+    stages, cyclic = _stages([d for d in definitions if d.fault() is None])
+    heads = materialised(slices.series_heads(samples, chunk_rows))
+    catalog = _catalog_of(heads)
+    sessions = heads.select(SESSION).distinct()
     rows, errors = [], []
-    for d in ordered:
-        inputs = [done[r] for r in d.channel.refs if r in done]
-        available = reduce(DataFrame.unionByName, inputs, samples)
-        known = reduce(DataFrame.unionByName, map(_catalog_rows, inputs), catalog)
-        result, failed = evaluate(available, d, aliases, known, chunk_rows)
-        if d.name in used:
-            # read again by the definitions that build on it
+    for number, stage in enumerate(stages):
+        names = sorted({r for d in stage for r in d.refs})
+        wanted = ascii_lower(F.col(CHANNEL)).isin(wanted_names(names, aliases))
+        candidates = only_channels(samples, catalog, wanted)
+        result, failed = _stage(candidates, heads, catalog, sessions, stage, aliases, chunk_rows, seconds)
+        later = {r for after in stages[number + 1 :] for d in after for r in d.refs}
+        used = [d.name for d in stage if d.name in later]
+        if used:
             result = materialised(result)
-            done[d.name] = result
+            own = result.filter(F.col(CHANNEL).isin(used))
+            ends = slices.series_heads(own, chunk_rows)
+            samples, heads = samples.unionByName(own), heads.unionByName(ends)
+            catalog = catalog.unionByName(_catalog_of(ends, LAST_INDEX))
         rows.append(result)
         errors.append(failed)
-    names = {d.name for d in cyclic}
-    for d in cyclic:
-        missing = next(r for r in d.channel.refs if r in names)
-        text = F.lit(f"no channel is named '{missing}'")
-        errors.append(_errors(catalog.select(SESSION).distinct(), d.name, text))
+    circle = {d.name for d in cyclic}
+    faults |= {d.name: f"no channel is named '{next(r for r in d.refs if r in circle)}'" for d in cyclic}
+    if faults:
+        pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(m).alias("message")) for n, m in faults.items()))
+        errors.append(sessions.select(SESSION, F.inline(pairs)))
     return (
         reduce(DataFrame.unionByName, rows) if rows else _no_rows(samples),
-        reduce(DataFrame.unionByName, errors) if errors else _errors(catalog.limit(0), "", F.lit("")),
+        reduce(DataFrame.unionByName, errors) if errors else _errors(sessions.limit(0), "", F.lit("")),
     )
 
 
-def dependency_order(definitions: Sequence[Definition]) -> tuple[list[Definition], list[Definition]]:
-    """Definitions in an order that puts each after those it refers to, and the ones that have no such place."""
-    names = {d.name for d in definitions}
-    ordered: list[Definition] = []
-    waiting, placed = list(definitions), set()
+def _stage(
+    samples: DataFrame,
+    heads: DataFrame,
+    catalog: DataFrame,
+    sessions: DataFrame,
+    stage: Sequence[Definition],
+    aliases: Mapping[str, str],
+    chunk_rows: int,
+    seconds: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Definitions that refer to no pending one, together."""
+    refs = sorted({r for d in stage for r in d.refs})
+    status = _status(heads, catalog, sessions, stage, refs, aliases)
+    errors = status.filter("message IS NOT NULL").select(SESSION, F.col("d.name").alias("name"), "message")
+    grids = _grids(status.filter("message IS NULL"), len(stage), refs)
+
+    steps, same = shared_steps([s for d in stage for s in d.channel.steps])
+    halo = halo_of(steps, seconds)
+    back, ahead = halo or (0, 0)
+    rows = slices.sliced(samples, heads.join(grids.select(SESSION).distinct(), SESSION, "left_semi"), back, ahead, seconds)
+    slots = slices.linear_slots(rows, grids, back, ahead, seconds, keep=("wanted", "means"))
+    # references of a row's channel, as flags
+    slots = slots.withColumn("means", F.col("means")[F.col(CHANNEL)])
+    flags = [f"_wanted{k}" for k in range(-(-len(stage) // FLAGS))]
+    slots = slots.withColumns({f: F.col("wanted")[k] for k, f in enumerate(flags)})
+    cells = {ref_column(r): _flag(F.col("means")[k // FLAGS], k) for k, r in enumerate(refs)}
+    wide = slices.side_by_side(slots, cells, ["out_len", *flags], seconds).withColumnRenamed(OUT_FREQ, FREQ)
+    if halo is None:
+        wide = wide.drop(CHUNK, CORE)
+    wide = wide.withColumns({r: F.col(ref_column(r)) for d in stage for r in d.channel.named})
+    wide = add_steps(wide, steps, GRID, OUT_IDX, FREQ, chunk_rows, haloed=halo is not None)
+    wide = wide.withColumns({copy: F.col(of) for copy, of in same.items()})
+    if len(stage) == 1:
+        value = stage[0].channel.col.cast("double")
+        found = wide.select(SESSION, F.lit(stage[0].name).alias(CHANNEL), FREQ, F.col(OUT_IDX).alias(IDX), value.alias(VALUE))
+    else:
+        results = F.array(
+            *(
+                F.struct(
+                    F.lit(d.name).alias(CHANNEL),
+                    _flag(F.col(flags[k // FLAGS]), k).alias("_own"),
+                    d.channel.col.cast("double").alias(VALUE),
+                )
+                for k, d in enumerate(stage)
+            )
+        )
+        listed = wide.select(SESSION, FREQ, F.col(OUT_IDX).alias(IDX), F.inline(results)).filter("_own")
+        found = listed.select(SESSION, CHANNEL, FREQ, IDX, VALUE)
+    return found, errors
+
+
+def _status(heads, catalog, sessions, stage, refs, aliases) -> DataFrame:
+    """Per session and definition: ``found``, its references' channels, and the ``message`` that keeps it from being evaluated."""
+    spark = catalog.sparkSession
+    resolved = resolve_names(catalog, refs_frame(spark, refs), aliases_frame(spark, aliases))
+    series = resolved.join(heads.select(*SERIES, FREQ, "n"), list(SERIES), "left")
+    facts = F.struct(CHANNEL, FREQ, F.coalesce("n", F.lit(0)).alias("n"))
+    per_session = series.groupBy(SESSION).agg(F.map_from_entries(F.collect_list(F.struct(F.col("ref"), facts))).alias("found"))
+    listed = F.array(
+        *(
+            F.struct(F.lit(k).alias("no"), F.lit(d.name).alias("name"), F.array(*map(F.lit, d.refs)).cast("array<string>").alias("refs"))
+            for k, d in enumerate(stage)
+        )
+    )
+    both = sessions.join(per_session, SESSION, "left").select(SESSION, "found", F.explode(listed).alias("d"))
+    data = F.exists("d.refs", lambda r: F.coalesce(F.col("found")[r]["n"] > 0, F.lit(False)))
+    missing = F.filter("d.refs", lambda r: F.col("found")[r].isNull())
+    message = F.when(~data, NO_DATA).when(F.size(missing) > 0, F.concat(F.lit("no channel is named '"), F.get(missing, 0), F.lit("'")))
+    return both.withColumn("message", message)
+
+
+def _grids(status: DataFrame, definitions: int, refs: Sequence[str]) -> DataFrame:
+    """Per session and grid: the definitions on it as flags ``wanted``, lengths of their channels, and the references that each of
+    the channels stands for as flags ``means``."""
+    each = F.transform("d.refs", lambda r: F.col("found")[r])
+    rate, _, length = slices.grid_of(F.transform(each, lambda c: F.coalesce(c[FREQ], F.lit(0))), F.transform(each, lambda c: c["n"]))
+    on_grid = status.select(SESSION, "found", "d", rate.alias(OUT_FREQ), length.alias("out_len"))
+    gathered = on_grid.groupBy(SESSION, OUT_FREQ, "out_len").agg(
+        F.collect_set("d.no").alias("_nos"), F.array_distinct(F.flatten(F.collect_list("d.refs"))).alias("_refs"), F.first("found").alias("found")
+    )
+    channels = F.array_distinct(F.transform("_refs", lambda r: F.col("found")[r][CHANNEL]))
+    # in a variable of its own, since it is used three times
+    gathered = gathered.withColumn("_channels", channels)
+    stands = lambda c: _flags(lambda r: F.array_contains("_refs", r) & (F.col("found")[r][CHANNEL] == c), list(map(F.lit, refs)))
+    length_of = lambda c: F.get(F.filter(F.map_values("found"), lambda v: v[CHANNEL] == c), 0)["n"]
+    return gathered.select(
+        SESSION,
+        OUT_FREQ,
+        "out_len",
+        _flags(lambda k: F.array_contains("_nos", k), list(map(F.lit, range(definitions)))).alias("wanted"),
+        F.map_from_arrays("_channels", F.transform("_channels", length_of)).alias("lengths"),
+        F.map_from_arrays("_channels", F.transform("_channels", stands)).alias("means"),
+    )
+
+
+def _flags(holds, items: Sequence[Column]) -> Column:
+    """Array of BIGINTs with a bit for each item that the condition holds for."""
+    words = []
+    for low in range(0, len(items), FLAGS):
+        bits = (F.when(holds(x), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, x in enumerate(items[low : low + FLAGS]))
+        words.append(reduce(Column.bitwiseOR, bits))
+    return F.array(*words)
+
+
+def _flag(word: Column, k: int) -> Column:
+    return word.bitwiseAND(F.lit(1 << k % FLAGS).cast("bigint")) != 0
+
+
+def _stages(definitions: Sequence[Definition]) -> tuple[list[list[Definition]], list[Definition]]:
+    """Definitions by stage, and those in a circle or behind one."""
+    names, placed = {d.name for d in definitions}, set()
+    stages, waiting = [], list(definitions)
     while True:
-        ready = [d for d in waiting if not (names & set(d.channel.refs)) - placed]
+        ready = [d for d in waiting if not (names & set(d.refs)) - placed]
         if not ready:
-            return ordered, waiting
-        ordered += ready
+            return stages, waiting
+        stages.append(ready)
         placed |= {d.name for d in ready}
         waiting = [d for d in waiting if d not in ready]
 
@@ -183,26 +285,23 @@ def evaluate_wide(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add one column per definition to a frame that already has its channels side by side at one rate."""
-    ordered, cyclic = dependency_order(definitions)
+    stages, cyclic = _stages(definitions)
     if cyclic:
         raise ValueError(f"definitions refer to each other: {[d.name for d in cyclic]}")
-    names = {d.name for d in ordered}
-    while ordered:
-        # definitions that need no other pending one are added together
-        pending = {d.name for d in ordered}
-        stage = [d for d in ordered if not pending & set(d.channel.refs)]
-        steps = [s for d in stage for s in d.channel.steps]
-        unique = list({s.output: s for s in steps}.values())
-        frame = add_steps(frame, unique, keys, idx, freq, chunk_rows)
-        frame = frame.withColumns({d.name: d.channel.col for d in stage}).drop(*(s.output for s in unique))
-        ordered = [d for d in ordered if d not in stage]
-    return frame.select(*(c for c in frame.columns if c not in names), *(d.name for d in definitions))
-
-
-def _catalog_rows(rows: DataFrame) -> DataFrame:
-    """Catalogue rows of a computed channel, after the logged ones."""
-    counted = rows.groupBy(*SERIES).agg(F.count(F.lit(1)).alias("n_data"))
-    return counted.withColumn("channel_index", F.lit(2**31 - 1))
+    names = {d.name for d in definitions}
+    for stage in stages:
+        refs = {r for d in stage for r in d.refs}
+        frame = frame.withColumns({ref_column(r): quoted(r) for r in sorted(refs)})
+        steps, same = shared_steps([s for d in stage for s in d.channel.steps])
+        frame = add_steps(frame, steps, keys, idx, freq, chunk_rows).withColumns({copy: F.col(of) for copy, of in same.items()})
+        frame = frame.withColumns({d.name: d.channel.col for d in stage})
+        frame = frame.drop(*(s.output for s in steps), *same, *map(ref_column, refs))
+    return frame.select(*(quoted(c) for c in frame.columns if c not in names), *(quoted(d.name) for d in definitions))
+
+
+def _catalog_of(heads: DataFrame, index: int = 0) -> DataFrame:
+    """Catalogue rows of the series; computed channels come after the logged ones."""
+    return heads.select(*SERIES, F.lit(index).alias("channel_index"), F.col("n").alias("n_data"))
 
 
 def computed_stats(rows: DataFrame) -> DataFrame:

@@ -143,21 +143,23 @@ def _near_steps(frame, steps, keys, idx, freq, chunk_rows, haloed=False) -> Data
     averages = [s for s in steps if s.kind == "smooth"]
     if averages:
         own = frame.filter(CORE) if haloed else frame
-        bad = _first_bad(own, {s.output: sources[s.output] for s in averages}, keys, idx, chunk_rows)
+        # a haloed frame keeps the chunks it came with
+        own = own if haloed else with_chunk(own, idx, chunk_rows)
+        bad = _first_bad(own, {s.output: sources[s.output] for s in averages}, keys, idx)
         rows = rows.join(bad, [*keys, CHUNK]).withColumns(
             {s.output: _poisoned(s.output, F.lit(s.window), idx) for s in averages}
         )
     return rows.select(*columns, *(s.output for s in steps))
 
 
-def _first_bad(frame, sources: dict[str, str], keys, idx, chunk_rows) -> DataFrame:
+def _first_bad(frame, sources: dict[str, str], keys, idx) -> DataFrame:
     """Per chunk, where the series first holds NaN and where it first holds an infinity."""
     found = []
     for out, source in sources.items():
         x = F.col(source)
         found.append(F.min(F.when(F.isnan(x), F.col(idx))).alias(f"_nan{out}"))
         found.append(F.min(F.when(F.abs(x) == float("inf"), F.col(idx))).alias(f"_inf{out}"))
-    per_chunk = with_chunk(frame, idx, chunk_rows).groupBy(*keys, CHUNK).agg(*found)
+    per_chunk = frame.groupBy(*keys, CHUNK).agg(*found)
     series = Window.partitionBy(*keys)
     names = [c for c in per_chunk.columns if c not in (*keys, CHUNK)]
     return per_chunk.select(*keys, CHUNK, *(F.min(c).over(series).alias(c) for c in names))
@@ -194,7 +196,7 @@ def _smooth_shifted(frame, step: Step, keys, idx, chunk_rows) -> DataFrame:
         F.coalesce(F.sum("_total").over(earlier_chunks(keys)), F.lit(0.0)).alias("_base"),
         F.min_by("_w0", "_start").over(series).alias("_w0"),
         F.min("_start").over(series).alias("_first"),
-    ).join(_first_bad(frame, {out: "_x"}, keys, idx, chunk_rows), [*keys, CHUNK])
+    ).join(_first_bad(chunked, {out: "_x"}, keys, idx), [*keys, CHUNK])
     width = F.coalesce(F.nanvl("_w0", F.lit(None).cast("double")), F.lit(1.0))
     width = F.least(F.greatest(width, F.lit(1.0)), F.lit(float(2**62))).cast("bigint")
     summed = (

@@ -7,10 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexgrid.chunking import CHUNK_ROWS
+from apexgrid.chunking import CHUNK, CHUNK_ROWS, CORE
 from apexgrid.functions.scalar import fixed_text
-from apexgrid.operators.align import OUT_IDX, pivot_channels, resample_nearest
-from apexgrid.schema import CHANNEL, FREQ, SESSION
+from apexgrid.operators import slices
+from apexgrid.operators.align import OUT_FREQ, OUT_IDX
+from apexgrid.schema import CHANNEL, SESSION
 
 TIME_HEADER = "Time (s)"
 TIME_DECIMALS = 6
@@ -21,10 +22,12 @@ def csv_rows(
     channels: Mapping[str, int],
     time_range: tuple[float, float] | None = None,
     chunk_rows: int = CHUNK_ROWS,
+    seconds: int = slices.SLICE_SECONDS,
 ) -> DataFrame:
     """Text rows ``(session_id, out_idx, Time (s), <channels>)`` of the channels, given with their decimals.
 
-    Channels are aligned to the fastest one by nearest sample. A channel that a session lacks reads as 0. The rows of a
+    Channels are aligned to the fastest one by nearest sample, inside slices of ``seconds``: the samples are shuffled once, as
+    they are, whatever the fastest rate. A channel that a session lacks reads as 0. The rows of a
     range go from floor(start * rate) to below ceil(end * rate), so a range of no length between two samples has one row.
     """
     if not channels:
@@ -35,13 +38,17 @@ def csv_rows(
         if not start <= end or start == end == int(start):
             raise ValueError("a time range that holds no samples")
     chosen = samples.filter(F.col(CHANNEL).isin(list(channels)))
-    wide = pivot_channels(resample_nearest(chosen, time_range, chunk_rows), list(channels))
-    time = F.col(OUT_IDX) * (F.lit(1.0) / F.col(FREQ))
+    heads = slices.series_heads(chosen, chunk_rows)
+    rows = slices.sliced(chosen, heads, seconds=seconds, time_range=time_range)
+    slots = slices.nearest_slots(rows, slices.grids_by_session(heads), time_range, seconds)
+    names = {f"_cell{k}": F.col(CHANNEL) == c for k, c in enumerate(channels)}
+    wide = slices.side_by_side(slots, names, seconds=seconds).drop(CHUNK, CORE)
+    time = F.col(OUT_IDX) * (F.lit(1.0) / F.col(OUT_FREQ))
     return wide.select(
         SESSION,
         OUT_IDX,
         fixed_text(time, TIME_DECIMALS).alias(TIME_HEADER),
-        *(fixed_text(F.col(f"`{c}`"), decimals).alias(c) for c, decimals in channels.items()),
+        *(fixed_text(F.col(cell), decimals).alias(c) for cell, (c, decimals) in zip(names, channels.items())),
     )
 
 
