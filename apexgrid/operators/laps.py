@@ -159,22 +159,32 @@ def bucketed_laps(laps: DataFrame, bucket_secs: int = BUCKET_SECS) -> DataFrame:
     return explode_span(laps, from_bucket, to_bucket, "_bucket", [SESSION, "number"])
 
 
-def assign_laps(
-    samples: DataFrame, laps: DataFrame, bucket_secs: int = BUCKET_SECS, keep_empty: bool = False
-) -> DataFrame:
-    """Each sample with every lap it belongs to: ``floor(start*f) <= idx < ceil(end*f)``.
+def with_laps(samples: DataFrame, laps: DataFrame, bucket_secs: int = BUCKET_SECS) -> DataFrame:
+    """Each sample once, with the laps it belongs to as ``_laps``: ``floor(start*f) <= idx < ceil(end*f)``. There may be none, or several.
 
-    A boundary sample can belong to two laps. The join is an equi-join on ``(session, bucket)``, so it neither needs
-    the laps to fit a broadcast nor puts a long session into one task. It is always a merge join: the size of the
-    bucketed laps cannot be judged from the lap table, since a lap may be as long as its session. With ``keep_empty``
-    every lap also yields rows without a sample for its buckets that hold none.
+    The join is an equi-join on ``(session, bucket)``. The laps of a bucket are one row, so the side of the laps has at most one row where the
+    other has the samples that all channels recorded in those seconds: it is always the one to be hashed, and the samples are not sorted.
     """
     rate, i = F.col(FREQ), F.col(IDX)
-    rows = samples.filter(rate > 0).withColumn("_bucket", F.floor(i / rate / bucket_secs)).alias("s")
-    spans = bucketed_laps(laps, bucket_secs).alias("l").hint("merge")
-    inside = (i >= F.floor(F.col("start_time") * rate)) & (i < F.ceil(F.col("end_time") * rate))
-    same = (F.col(f"s.{SESSION}") == F.col(f"l.{SESSION}")) & (F.col("s._bucket") == F.col("l._bucket"))
+    own = F.struct(*(c for c in laps.columns if c != SESSION))
+    buckets = bucketed_laps(laps, bucket_secs).groupBy(SESSION, "_bucket").agg(F.collect_list(own).alias("_laps"))
+    # samples without a rate have no time; their buckets are spread, and met by no lap
+    bucket = F.when(rate > 0, F.floor(i / rate / bucket_secs)).otherwise(-1 - F.floor(i / (1 << 12)))
+    rows = samples.withColumn("_bucket", bucket).join(buckets.hint("shuffle_hash"), [SESSION, "_bucket"], "left")
+    inside = F.filter("_laps", lambda l: (i >= F.floor(l["start_time"] * rate)) & (i < F.ceil(l["end_time"] * rate)))
+    return rows.withColumn("_laps", inside).drop("_bucket").select(*samples.columns, "_laps")
+
+
+def assign_laps(
+    samples: DataFrame, laps: DataFrame, bucket_secs: int = BUCKET_SECS, keep_empty: bool = False
+) -> DataFrame:
+    """Each sample with every lap it belongs to. A boundary sample can belong to two laps. With ``keep_empty`` a lap without
+    samples yields one row without a sample."""
     own = [c for c in samples.columns if c != SESSION]
-    return spans.join(rows, same & inside, "left" if keep_empty else "inner").select(
-        f"l.{SESSION}", *own, *(c for c in laps.columns if c != SESSION)
-    )
+    of_lap = [c for c in laps.columns if c != SESSION]
+    rows = with_laps(samples, laps, bucket_secs).select(SESSION, *own, F.explode("_laps").alias("_lap"))
+    rows = rows.select(SESSION, *own, *(F.col("_lap")[c].alias(c) for c in of_lap))
+    if keep_empty:
+        empty = laps.join(rows.select(SESSION, "number").distinct(), [SESSION, "number"], "left_anti")
+        rows = rows.unionByName(empty, allowMissingColumns=True)
+    return rows

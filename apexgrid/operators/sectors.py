@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apexgrid.chunking import CHUNK_ROWS, spread_join
-from apexgrid.operators.laps import LAP, assign_laps
+from apexgrid.operators.laps import LAP, with_laps
 from apexgrid.operators.lookup import nearest_position
 from apexgrid.schema import FREQ, IDX, SESSION
 
@@ -45,19 +46,24 @@ def crossing_times(
     reach = [F.max(FREQ).alias("_rate"), F.max(IDX).alias("_last")]
     targets = track.groupBy(SESSION).agg(*coordinates, *reach)
     goals = spread_join(laps.select(SESSION, *LAP), targets, [SESSION], "number", "left", chunk_rows)
-    rows = assign_laps(track.select(SESSION, IDX, FREQ, "time", "x", "y"), goals, keep_empty=True)
+    rows = with_laps(track.select(SESSION, IDX, FREQ, "time", "x", "y"), goals)
+    rows = rows.select(SESSION, IDX, "time", "x", "y", F.explode("_laps").alias("_lap"))
 
     def nearest(p: int) -> Column:
-        dx = F.col("x") - F.coalesce(F.col(f"_x{p}"), F.lit(0.0))
-        dy = F.col("y") - F.coalesce(F.col(f"_y{p}"), F.lit(0.0))
-        passed = F.struct((dx * dx + dy * dy).alias("d"), F.col(IDX), F.col("time"))
-        return F.min(F.when(F.col(IDX).isNotNull(), passed))
+        dx = F.col("x") - F.coalesce(F.col("_lap")[f"_x{p}"], F.lit(0.0))
+        dy = F.col("y") - F.coalesce(F.col("_lap")[f"_y{p}"], F.lit(0.0))
+        return F.min(F.struct((dx * dx + dy * dy).alias("d"), F.col(IDX), F.col("time")))
 
-    # the same in all rows of a lap
-    rate, last = F.max("_rate"), F.max("_last")
+    passed = rows.groupBy(SESSION, *(F.col("_lap")[c].alias(c) for c in LAP)).agg(*(nearest(p)["time"].alias(f"at_{p}") for p in points))
+    # laps without samples come back with their own end of the track
+    rate, last = F.col("_rate"), F.col("_last")
     first = F.floor(F.col("start_time") * rate)
     alone = F.when((first >= 0) & (first <= last), first / rate).otherwise(F.lit(0.0))
-    return rows.groupBy(SESSION, *LAP).agg(*(F.coalesce(nearest(p)["time"], alone).alias(f"at_{p}") for p in points))
+    all_laps = goals.select(SESSION, *LAP, alone.alias("_alone"))
+    same = [all_laps[c].eqNullSafe(passed[c]) for c in (SESSION, *LAP)]
+    both = all_laps.join(passed, reduce(Column.__and__, same), "left")
+    times = (F.coalesce(passed[f"at_{p}"], all_laps["_alone"]).alias(f"at_{p}") for p in points)
+    return both.select(*(all_laps[c] for c in (SESSION, *LAP)), *times)
 
 
 def lap_sectors(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexgrid.functions.scalar import arg, is_finite, nan
-from apexgrid.operators.laps import assign_laps
+from apexgrid.operators.laps import with_laps
 from apexgrid.schema import CHANNEL, FREQ, IDX, SERIES, SESSION, VALUE
 
 WHOLE_SESSION = "All"
@@ -27,16 +27,18 @@ def channel_stats(samples: DataFrame, keys: Sequence[str] = SERIES, value: str =
 
 
 def lap_report(samples: DataFrame, laps: DataFrame) -> DataFrame:
-    """Statistics of every channel for the whole session (``lap = 'All'``) and for each lap."""
-    whole = channel_stats(samples).withColumns(
-        {"lap_number": F.lit(None).cast("int"), "lap": F.lit(WHOLE_SESSION)}
-    )
-    in_laps = assign_laps(
-        samples.select(*SERIES, FREQ, IDX, VALUE),
-        laps.select(SESSION, "number", F.col("name").alias("lap"), "start_time", "end_time"),
-    )
-    per_lap = channel_stats(in_laps, [*SERIES, "number", "lap"]).withColumnRenamed("number", "lap_number")
-    return whole.unionByName(per_lap)
+    """Statistics of every channel for the whole session (``lap = 'All'``) and for each lap.
+
+    One pass: a sample counts for the session and for each of its laps before the partial aggregates are shuffled.
+    """
+    intervals = laps.select(SESSION, "number", F.col("name").alias("lap"), "start_time", "end_time")
+    rows = with_laps(samples.select(*SERIES, FREQ, IDX, VALUE), intervals)
+    part = "struct<lap_number: int, lap: string>"
+    whole = F.array(F.struct(F.lit(None).alias("lap_number"), F.lit(WHOLE_SESSION).alias("lap"))).cast(f"array<{part}>")
+    own = F.transform("_laps", lambda l: F.struct(l["number"].alias("lap_number"), l["lap"].alias("lap"))).cast(f"array<{part}>")
+    parts = F.explode(F.concat(whole, F.coalesce(own, F.array().cast(f"array<{part}>"))))
+    counted = rows.select(*SERIES, VALUE, parts.alias("_part")).select(*SERIES, VALUE, "_part.lap_number", "_part.lap")
+    return channel_stats(counted, [*SERIES, "lap_number", "lap"])
 
 
 def channel_summary(samples: DataFrame) -> DataFrame:
