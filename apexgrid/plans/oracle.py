@@ -563,6 +563,19 @@ def _oracles() -> dict[str, str]:
             ('Loop A', 'no channel is named ''Loop B'''),
             ('Loop B', 'no channel is named ''Loop A'''),
             ('Constant', 'none of its channels has samples')) AS e(name, message)""",
+        "computed_shared": f"""
+          SELECT session_id, 'Same' AS channel, freq, sample_idx, 0.0e0 AS value FROM samples WHERE channel = 'view'
+          UNION ALL
+          SELECT session_id, 'Plus', freq, sample_idx, {rounded("value + 1", "value")} FROM samples WHERE channel = 'signup'
+          UNION ALL
+          SELECT session_id, 'Mix', out_freq, out_idx, {rounded("x", "value")} FROM click_purchase
+          UNION ALL
+          SELECT session_id, m.name, out_freq, out_idx, {rounded("a * m.factor", "value")}
+          FROM (SELECT *, AVG(x) OVER (PARTITION BY session_id ORDER BY out_idx ROWS 3 PRECEDING) AS a FROM click_purchase),
+            (VALUES ('Mean', 1), ('Mean Twice', 2)) AS m(name, factor)""",
+        "computed_faults": """
+          SELECT session_id, name, message FROM (SELECT DISTINCT session_id FROM samples) s, (VALUES
+            ('Bad', 'sin takes 1 argument(s), not 2'), ('Gone', 'no channel is named ''nothing''')) AS e(name, message)""",
         "computed_stats": f"""
           SELECT session_id, 'Twice' AS channel, {rounded("MIN(value * 2)", "min_value")}, {rounded("MAX(value * 2)", "max_value")},
             {rounded("AVG(value * 2)", "avg_value")} FROM samples_nan WHERE channel = 'click' AND NOT ISNAN(value) GROUP BY 1""",
@@ -776,7 +789,10 @@ def _source_oracles() -> dict[str, str]:
     }
 
 
-BASE["two"] = """
+def _pair(one: str, other: str) -> str:
+    """Two channels interpolated on the grid they share."""
+    names = f"'{one}', '{other}'"
+    return f"""
         SELECT f.session_id, f.channel, g.out_idx, g.out_freq,
           CASE WHEN f.freq = g.out_freq AND f.n = g.out_len THEN a.value
             WHEN CAST(FLOOR(g.out_idx * g.ratio) AS BIGINT) + 1 >= f.n THEN f.last_value
@@ -787,7 +803,7 @@ BASE["two"] = """
           FROM (SELECT session_id, channel, freq, MAX(freq) OVER (PARTITION BY session_id) AS out_freq,
                   CAST(CEIL(MAX(n / CAST(freq AS DOUBLE)) OVER (PARTITION BY session_id)
                     * MAX(freq) OVER (PARTITION BY session_id)) AS BIGINT) AS out_len
-                FROM facts WHERE channel IN ('view', 'purchase')) r) g
+                FROM facts WHERE channel IN ({names})) r) g
           ON g.session_id = f.session_id AND g.channel = f.channel
         LEFT JOIN samples a ON a.session_id = f.session_id AND a.channel = f.channel
           AND a.sample_idx = CAST(FLOOR(g.out_idx * g.ratio) AS BIGINT)
@@ -795,6 +811,13 @@ BASE["two"] = """
           AND b.sample_idx = CAST(FLOOR(g.out_idx * g.ratio) AS BIGINT) + 1"""
 
 
+BASE["two"] = _pair("view", "purchase")
+BASE["click_purchase"] = f"""
+        SELECT c.session_id, c.out_idx, c.out_freq, c.x + p.x AS x
+        FROM ({_pair("click", "purchase")}) c JOIN ({_pair("click", "purchase")}) p ON p.session_id = c.session_id AND p.out_idx = c.out_idx
+        WHERE c.channel = 'click' AND p.channel = 'purchase'"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = {name: _with(body) for name, body in _oracles().items()}
     small = queries.queries()

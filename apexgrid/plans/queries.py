@@ -391,6 +391,32 @@ def computed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors
 
 
+def _shared(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Definitions of one stage on three grids: names that differ in letter case, a channel called like a key column, a series function
+    that occurs twice, an unreadable text and an unknown channel."""
+    named = F.when(F.col("channel") == "signup", "freq").otherwise(F.col("channel"))
+    texts = {
+        "Same": "view - VIEW",
+        "Plus": "freq + 1",
+        "Mix": "click + purchase",
+        "Mean": "smooth(click + purchase, 4)",
+        "Mean Twice": "2 * smooth(click + purchase, 4)",
+        "Bad": "sin(click, 1)",
+        "Gone": "click + nothing",
+    }
+    definitions = [Definition.lenient(name, text) for name, text in texts.items()]
+    return computed.evaluate_all(tables.samples(spark, sf_dir).withColumn("channel", named), definitions, **options)
+
+
+def computed_shared(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    rows, _ = _shared(spark, sf_dir, **options)
+    return _round(rows, "value")
+
+
+def computed_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared(spark, sf_dir)[1]
+
+
 def computed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = computed.evaluate(tables.samples_nan(spark, sf_dir), Definition("Twice", ch("click") * 2))
     return _round(computed.computed_stats(rows), "min_value", "max_value", "avg_value")
@@ -601,13 +627,13 @@ def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.clean_names(stored).select("p_partkey", "name", "short_name", "unit")
 
 
-def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = csvfile.csv_rows(tables.samples(spark, sf_dir), {"click": 2, "purchase": 1, "signup": 0})
+def csv_rows(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    rows = csvfile.csv_rows(tables.samples(spark, sf_dir), {"click": 2, "purchase": 1, "signup": 0}, **options)
     return rows.withColumnRenamed(csvfile.TIME_HEADER, "time_text")
 
 
-def csv_rows_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = csvfile.csv_rows(tables.samples(spark, sf_dir), {"purchase": 1, "error": 3}, (1.1, 7.7))
+def csv_rows_window(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    rows = csvfile.csv_rows(tables.samples(spark, sf_dir), {"purchase": 1, "error": 3}, (1.1, 7.7), **options)
     return rows.withColumnRenamed(csvfile.TIME_HEADER, "time_text")
 
 
@@ -764,6 +790,9 @@ def _small_chunks() -> dict[str, Query]:
         "series_smooth": partial(_series, series.smooth, window=5, chunk_rows=SMALL),
         "series_derivative": partial(_series, series.derivative, chunk_rows=SMALL),
         "series_integrate": partial(_series, series.integrate, chunk_rows=SMALL),
+        "computed_shared": partial(computed_shared, chunk_rows=SMALL, seconds=3),
+        "csv_rows": partial(csv_rows, seconds=2),
+        "csv_rows_window": partial(csv_rows_window, seconds=2),
     }
 
 
@@ -806,6 +835,8 @@ def queries() -> dict[str, Query]:
         computed_mixed_rates,
         computed_chain,
         computed_errors,
+        computed_shared,
+        computed_faults,
         computed_stats,
         cursor_readout,
         track_position,
