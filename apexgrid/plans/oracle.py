@@ -722,12 +722,6 @@ def _csv(channels: dict[str, int], window: tuple[float, float] | None = None) ->
 
 
 def _source_oracles() -> dict[str, str]:
-    stored = """
-          SELECT s.session_id || '_' || (s.sample_idx // 4096) AS session_id, s.channel, s.freq, s.sample_idx % 4096 AS sample_idx,
-            s.value FROM samples s"""
-    decoded = """CASE channel WHEN 'view' THEN value WHEN 'click' THEN CAST(CAST(value AS FLOAT) AS DOUBLE)
-          WHEN 'purchase' THEN (FLOOR(value * 10) * 0.1e0 + 3) * 2 WHEN 'signup' THEN FLOOR(value * 10) / 4.0e0 * 0.01e0 - 1
-          ELSE FLOOR(value) END"""
     part = """
           SELECT p_partkey, REPLACE(REPLACE(REPLACE(p_name || '.' || p_brand, ' ', '.'), '#', ''), '.', ' ') AS name,
             CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '%' ELSE SUBSTRING(p_type, 1, 1 + p_size % 3) END AS short,
@@ -767,25 +761,6 @@ def _source_oracles() -> dict[str, str]:
           UNION ALL SELECT c_custkey || '.json', 'alias', 'Seg', c_mktsegment FROM customer WHERE c_custkey % 2 = 0
           UNION ALL SELECT c_custkey || '.json', 'sector', 'S1', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 0
           UNION ALL SELECT c_custkey || '.json', 'reference', 'lap', CASE WHEN c_custkey % 2 = 0 THEN '1' ELSE 'none' END FROM customer""",
-        "log_samples": f"""
-          SELECT session_id, CAST(DENSE_RANK() OVER (PARTITION BY session_id ORDER BY channel) - 1 AS INTEGER) AS channel_index,
-            channel, freq, sample_idx, {rounded(decoded, "value")} FROM ({stored}) q""",
-        "log_sample_range": f"""
-          SELECT * FROM (
-            SELECT session_id, CAST(DENSE_RANK() OVER (PARTITION BY session_id ORDER BY channel) - 1 AS INTEGER) AS channel_index,
-              channel, freq, sample_idx, {rounded(decoded, "value")} FROM ({stored}) q) r
-          WHERE sample_idx >= 25 AND sample_idx < 75""",
-        "log_channels": f"""
-          SELECT session_id, CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY channel) - 1 AS INTEGER) AS channel_index,
-            channel AS name, '' AS short_name, 'u' AS unit, MAX(freq) AS freq, COUNT(*) AS n_data,
-            CASE channel WHEN 'view' THEN 'float64' WHEN 'click' THEN 'float32' WHEN 'purchase' THEN 'int16'
-              WHEN 'signup' THEN 'int32' ELSE 'float16' END AS data_type
-          FROM ({stored}) q GROUP BY session_id, channel""",
-        "log_sessions": """
-          SELECT session_id || '_' || (sample_idx // 4096) AS session_id, 'Driver ' || session_id AS driver, 'Ring' AS venue,
-            CAST(28299 AS BIGINT) AS device_serial, COUNT(DISTINCT channel) AS num_channels_header,
-            'Run ' || (sample_idx // 4096) AS event_name, CAST(1100 AS BIGINT) AS vehicle_weight
-          FROM samples GROUP BY session_id, sample_idx // 4096""",
     }
 
 

@@ -25,7 +25,7 @@ from apexgrid.operators import (
 )
 from apexgrid.operators.computed import Definition
 from apexgrid.operators.presets import PRESET_NAMES, preset
-from apexgrid.plans import logimages, tables
+from apexgrid.plans import tables
 from apexgrid.session import materialised
 from apexgrid.sources import config, csvfile, motorlog, sidecar
 
@@ -272,24 +272,7 @@ def math_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scalars(spark, sf_dir, columns)
 
 
-CONVERSIONS = [
-    "kmh_to_mph",
-    "mph_to_kmh",
-    "c_to_f",
-    "f_to_c",
-    "kpa_to_psi",
-    "psi_to_kpa",
-    "bar_to_psi",
-    "psi_to_bar",
-    "deg_to_rad",
-    "rad_to_deg",
-    "kg_to_lb",
-    "lb_to_kg",
-    "m_to_ft",
-    "ft_to_m",
-    "nm_to_lbft",
-    "lbft_to_nm",
-]
+CONVERSIONS = [name for name in scalar.FUNCTIONS if "_to_" in name]
 
 
 def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -604,6 +587,7 @@ def scale_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     channels = stats.catalog_of(raw).select(
         "session_id",
         "channel",
+        "n_data",
         (k % 5).cast("smallint").alias("scale"),
         (k % 4 - 1).cast("smallint").alias("dec_places"),
         (k % 7 - 3).cast("smallint").alias("shift"),
@@ -721,33 +705,6 @@ def config_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defs.union(aliases).union(sections).union(reference)
 
 
-def log_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples stored as binary logs of five sample types, and decoded again."""
-    images = logimages.log_images(tables.samples(spark, sf_dir))
-    return _round(motorlog.decode_logs(images, "samples"), "value")
-
-
-def log_sample_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range of samples of every channel, clipped to its length."""
-    images = logimages.log_images(tables.samples(spark, sf_dir))
-    decoded = motorlog.decode_logs(images, "samples").filter("sample_idx >= 25 AND sample_idx < 75")
-    return _round(decoded, "value")
-
-
-def log_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = logimages.log_images(tables.samples(spark, sf_dir))
-    found = catalog.clean_names(motorlog.decode_logs(images, "channels"))
-    return found.select("session_id", "channel_index", "name", "short_name", "unit", "freq", "n_data", "data_type")
-
-
-def log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = logimages.log_images(tables.samples(spark, sf_dir))
-    found = motorlog.decode_logs(images, "sessions")
-    return found.select(
-        "session_id", "driver", "venue", "device_serial", "num_channels_header", "event.event_name", "event.vehicle_weight"
-    )
-
-
 # the same operators with chunks so small that every series of the fixtures crosses many of their borders
 
 SMALL = 32
@@ -863,10 +820,6 @@ def queries() -> dict[str, Query]:
         sidecar_markers,
         sidecar_errors,
         config_tables,
-        log_samples,
-        log_sample_range,
-        log_channels,
-        log_sessions,
     ]
     found: dict[str, Query] = {q.__name__: q for q in plain}
     found["series_smooth"] = partial(_series, series.smooth, window=5)

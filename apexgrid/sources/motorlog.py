@@ -1,5 +1,8 @@
 """``spark.read.format("motorlog")``: directories of binary logs as tables.
 
+:func:`read_logs` is the way for many files: Spark lists them, small ones come with their content, and shares of large ones are planned and
+read in tasks. The data source reads single channels or ranges of a few files:
+
 ``option("table", ...)`` selects ``sessions``, ``channels`` (strings as stored), ``samples`` or ``bad_files``. The driver
 only lists files and sizes; it opens none. Small files are packed together and large ones split by share of their
 samples, so that tasks are of similar size whatever the mix. With ``option("pushfilters", "true")``, which needs
@@ -8,6 +11,7 @@ samples, so that tasks are of similar size whatever the mix. With ``option("push
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -32,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from apexgrid import schema
-from apexgrid.chunking import spread_join
+from apexgrid.chunking import CHUNK, CHUNK_ROWS, chunk_facts, int_div, spread_join, with_chunk
 from apexgrid.operators.catalog import clean_names
 from apexgrid.session import ship_package
 from apexgrid.sources.logfile import BadLog, Channel, LogFile
@@ -220,7 +224,8 @@ def _batch(layout: StructType, rows: list[dict]) -> pa.RecordBatch:
 
 
 def _resolve(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    path = _plain(path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def list_logs(path: str) -> list[tuple[str, int]]:
@@ -243,6 +248,7 @@ def open_log(path: str):
 
 def session_of(path: str, root: str = "") -> str:
     """Session key of a file: its path below the directory read, else its whole path, without extension."""
+    path, root = _plain(path), _plain(root)
     base = root.rstrip("/") + "/"
     if path == root:
         inner = path.rpartition("/")[2]
@@ -252,6 +258,11 @@ def session_of(path: str, root: str = "") -> str:
     return folder + slash + name.rsplit(".", 1)[0]
 
 
+def _plain(path: str) -> str:
+    """Local files without their scheme, which is written in several ways."""
+    return re.sub("^file:(//)?(?=/)", "", path)
+
+
 # Spark side
 
 
@@ -265,9 +276,43 @@ def read_table(spark: SparkSession, path: str, table: str, **options) -> DataFra
     return reader.load(path)
 
 
+def read_logs(spark: SparkSession, path: str, table: str = "samples", target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """A table of all logs below ``path``, without listing them in Python.
+
+    Spark's own file scan lists the directory and packs files of up to ``target_bytes`` into tasks, which read and decode them. A larger
+    file is one row for each share of its samples; tasks open it and fetch the bytes of their share. Only the total size of
+    the large files reaches the driver.
+    """
+    ship_package(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{EXTENSION}").option("recursiveFileLookup", "true").load(path)
+    if table != "samples":
+        return _large_logs(files.select("path", "length"), table, path, target_bytes)
+    small = decode_logs(files.filter(F.col("length") <= target_bytes), table, path)
+    return small.unionAll(_large_logs(files.filter(F.col("length") > target_bytes).select("path", "length"), table, path, target_bytes))
+
+
+def _large_logs(files: DataFrame, table: str, root: str, target_bytes: int) -> DataFrame:
+    """Logs ``(path, length)`` by ranged reads, the samples by shares."""
+    shares = F.ceil(F.col("length") / target_bytes) if table == "samples" else F.lit(1)
+    # a table without samples reads little of each file
+    cost = F.col("length") if table == "samples" else F.least(F.col("length"), F.lit(target_bytes // 64))
+    total = files.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0]
+    parts = files.withColumn("parts", shares.cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # an explicit number: rows are a few bytes, what they stand for is not
+    dealt = parts.repartition(max(-(-total // target_bytes), 1), "path", "part")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                share = LogPart(((row["path"], row["length"]),), row["part"], row["parts"])
+                yield from MotorLogReader(root, table, target_bytes).read(share)
+
+    return dealt.select("path", "length", "part", "parts").mapInArrow(read, TABLES[table])
+
+
 def read_channels(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue with clean names and units."""
-    return clean_names(read_table(spark, path, "channels")).select(
+    return clean_names(read_logs(spark, path, "channels")).select(
         "session_id",
         "channel_index",
         F.col("name").alias("channel"),
@@ -287,13 +332,13 @@ def ingest(spark: SparkSession, path: str, target: str) -> None:
     """Write ``sessions``, ``channels``, ``samples`` and ``bad_files`` as Parquet below ``target``.
 
     Tasks hold whole runs of a channel, so sorting inside each task is enough for row groups that channel and index
-    filters can skip; nothing is shuffled.
+    filters can skip; no sample is shuffled.
     """
     for table in ("sessions", "bad_files"):
-        read_table(spark, path, table).write.mode("overwrite").parquet(f"{target}/{table}")
+        read_logs(spark, path, table).write.mode("overwrite").parquet(f"{target}/{table}")
     read_channels(spark, path).write.mode("overwrite").parquet(f"{target}/channels")
     (
-        read_table(spark, path, "samples")
+        read_logs(spark, path, "samples")
         .sortWithinPartitions("session_id", "channel", "sample_idx")
         .write.mode("overwrite")
         .parquet(f"{target}/samples")
@@ -329,10 +374,16 @@ def decode_logs(files: DataFrame, table: str = "samples", root: str = "") -> Dat
 def scale_samples(raw: DataFrame, channels: DataFrame, keys: Sequence[str] = schema.SERIES) -> DataFrame:
     """Engineering units for raw values: ``((v / scale) * 10^-dec + shift) * mul``; a scale of 0 leaves them.
 
-    ``channels`` brings ``shift, mul, scale, dec_places`` per key and meets the samples chunk by chunk.
+    ``channels`` brings ``shift, mul, scale, dec_places`` per key, and meets the samples chunk by chunk; with its ``n_data`` it is known
+    without a look at the samples which chunks there are. Logs are scaled when they are read: this is for raw values from elsewhere.
     """
     v, scale = F.col("value"), F.col("scale").cast("double")
     ten = F.pow(F.lit(10.0), -F.col("dec_places").cast("double"))
     unit = (F.try_divide(v, scale) * ten + F.col("shift")) * F.col("mul")
-    joined = spread_join(raw, channels.select(*keys, "shift", "mul", "scale", "dec_places"), keys, "sample_idx")
+    factors = channels.select(*keys, "shift", "mul", "scale", "dec_places", *(c for c in ("n_data",) if c in channels.columns))
+    if "n_data" in factors.columns:
+        chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), int_div(F.greatest(F.col("n_data"), F.lit(1)) - 1, CHUNK_ROWS)))
+        joined = with_chunk(raw, "sample_idx").join(chunk_facts(factors.withColumn(CHUNK, chunks)), [*keys, CHUNK])
+    else:
+        joined = spread_join(raw, factors, keys, "sample_idx")
     return joined.withColumn("value", F.when(scale == 0, v).otherwise(unit)).select(*raw.columns)

@@ -7,25 +7,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
-from apexgrid.session import ship_package
 from apexgrid.sources import logfile as layout
 
 CODES = {"float32": (7, 4), "float16": (7, 2), "int16": (3, 2), "int32": (5, 4), "float64": (8, 8)}
 NUMPY_TYPES = {"float32": "<f4", "float16": "<f2", "int16": "<i2", "int32": "<i4", "float64": "<f8"}
 
-# event type -> how a logger might store it: type, scale, decimals, shift, multiplier
-STORAGE = {
-    "view": ("float64", 0, 0, 0, 0),
-    "click": ("float32", 1, 0, 0, 1),
-    "purchase": ("int16", 1, 1, 3, 2),
-    "signup": ("int32", 4, 2, -1, 1),
-    "error": ("float16", 1, 0, 0, 1),
-}
-
-
 @dataclass
 class Entry:
     """A channel to write; ``values`` are stored values, before scaling."""
@@ -106,28 +93,3 @@ def log_bytes(image: Image, loop: bool = False, truncate: int = 0) -> bytes:
 def _put(block: bytearray, at: int, size: int, value: str) -> None:
     raw = value.encode()[:size]
     block[at : at + len(raw)] = raw
-
-
-def log_images(samples: DataFrame) -> DataFrame:
-    """Samples packed into binary logs, one whole session each: ``(path, content)``, path ``<session>_0.ld``.
-
-    A log is one value of the frame and is written in one task, so a session is bounded by what those hold (2 GB).
-    """
-
-    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        entries = []
-        for name, rows in pdf.sort_values("sample_idx").groupby("channel", sort=True):
-            kind, scale, decimals, shift, mul = STORAGE[name]
-            values = rows["value"].to_numpy()
-            if kind == "float16":
-                values = np.floor(values)
-            elif kind.startswith("int"):
-                values = np.floor(values * 10)
-            entries.append(
-                Entry(name, values, kind, int(rows["freq"].iloc[0]), "u", "", scale, decimals, shift, mul)
-            )
-        image = Image(entries, {"driver": f"Driver {key[0]}", "venue": "Ring"}, {"event_name": "Run 0"})
-        return pd.DataFrame({"path": [f"{key[0]}_0.ld"], "content": [log_bytes(image)]})
-
-    ship_package(samples.sparkSession)
-    return samples.groupBy("session_id").applyInPandas(encode, "path string, content binary")

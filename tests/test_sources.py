@@ -3,11 +3,10 @@ import os
 
 import pytest
 from helpers import NAN, assert_same
+from logimages import Entry, Image, log_bytes
 from pyspark.sql import functions as F
 
 from apexgrid.operators.sectors import Sector, sector_list
-from apexgrid.plans import queries
-from apexgrid.plans.logimages import Entry, Image, log_bytes
 from apexgrid.sources import config, csvfile, motorlog, sidecar
 from apexgrid.sources.logfile import LogFile, scaled
 
@@ -100,22 +99,61 @@ def test_samples_whatever_the_split(spark, logs, read, monkeypatch, target):
     assert read(df.filter("session_id = 'loop'"), ["channel"], "sample_idx") == {"A": [1.0, 2.0], "B": [3.0]}
 
 
-def test_long_session_is_one_log(spark, make, monkeypatch, tmp_path):
-    samples = make({(7, "view"): (20, range(9000)), (7, "click"): (10, range(5000)), (8, "view"): (20, range(3))})
-    monkeypatch.setattr(queries.tables, "samples", lambda spark, sf_dir: samples)
-    rows = queries.log_samples(spark, "").groupBy("session_id", "channel").agg(F.count("*"), F.min("sample_idx"), F.max("sample_idx"))
-    expected = {("7_0", "view", 9000, 0, 8999), ("7_0", "click", 5000, 0, 4999), ("8_0", "view", 3, 0, 2)}
-    assert {tuple(r) for r in rows.collect()} == expected
-    assert queries.log_sample_range(spark, "").count() == 100
-    assert {(r.session_id, r.name, r.n_data) for r in queries.log_channels(spark, "").collect()} == {(s, c, n) for s, c, n, _, _ in expected}
-    assert sorted(r.session_id for r in queries.log_sessions(spark, "").collect()) == ["7_0", "8_0"]
-    # the same file read by the data source in several splits
-    for r in queries.logimages.log_images(samples).collect():
-        (tmp_path / r.path).write_bytes(r.content)
-    split = motorlog.read_table(spark, str(tmp_path), "samples", targetbytes=10000)
-    assert split.rdd.getNumPartitions() > 5
-    whole = queries.log_samples(spark, "").select("session_id", "channel", "sample_idx", "value")
-    assert sorted(split.select(whole.columns).collect()) == sorted(whole.collect())
+@pytest.mark.parametrize("target", [1 << 26, 10000])
+def test_long_session_in_several_splits(spark, tmp_path, read, target):
+    image = Image([Entry("view", range(9000), "float64", 20), Entry("click", range(5000), "float32", 10)])
+    (tmp_path / "7.ld").write_bytes(log_bytes(image))
+    (tmp_path / "8.ld").write_bytes(log_bytes(Image([Entry("view", range(3))])))
+    ways = [motorlog.read_table(spark, str(tmp_path), "samples", targetbytes=target), motorlog.read_logs(spark, str(tmp_path), "samples", target)]
+    for df in ways:
+        assert (df.rdd.getNumPartitions() > 5) == (target == 10000)
+        got = read(df, ["session_id", "channel"], "sample_idx")
+        assert got == {("7", "view"): list(range(9000)), ("7", "click"): list(range(5000)), ("8", "view"): [0, 1, 2]}
+        indexes = df.groupBy("session_id", "channel").agg(F.min("sample_idx"), F.max("sample_idx"), F.count_distinct("sample_idx"))
+        assert sorted(map(tuple, indexes.collect())) == [("7", "click", 0, 4999, 5000), ("7", "view", 0, 8999, 9000), ("8", "view", 0, 2, 3)]
+
+
+def test_store_errors_fail_the_task(spark, tmp_path, monkeypatch):
+    """A file that the store does not give is no bad file: the task fails, and Spark tries again."""
+    (tmp_path / "7.ld").write_bytes(log_bytes(Image([Entry("view", range(9000), "float64", 20)])))
+    (tmp_path / "8.ld").write_bytes(log_bytes(Image([Entry("view", range(9000), "float64", 20)])))
+    rows = motorlog.read_logs(spark, str(tmp_path), "samples", 10000)
+    rows.count()
+    os.remove(tmp_path / "8.ld")
+    with pytest.raises(Exception, match="8.ld"):
+        rows.count()
+
+
+def test_many_small_files_are_not_listed_in_python(spark, tmp_path, monkeypatch):
+    content = log_bytes(Image([Entry("A", [1, 2, 3], "int16")]))
+    for folder in range(20):
+        (tmp_path / str(folder)).mkdir()
+        for k in range(500):
+            (tmp_path / str(folder) / f"{k}.ld").write_bytes(content)
+    (tmp_path / "0" / "0.ld").write_bytes(b"bad")
+
+    def listed(path):
+        raise AssertionError("files are listed in the driver's Python")
+
+    monkeypatch.setattr(motorlog, "list_logs", listed)
+    rows = motorlog.read_logs(spark, str(tmp_path), "samples")
+    assert rows.rdd.getNumPartitions() > 1
+    found = rows.agg(F.count("*"), F.count_distinct("session_id"), F.sum("value")).first()
+    assert tuple(found) == (3 * 9999, 9999, 6 * 9999)
+    assert [r.path.rpartition("/")[2] for r in motorlog.read_logs(spark, str(tmp_path), "bad_files").collect()] == ["0.ld"]
+
+
+def test_channel_list_in_one_read():
+    content = log_bytes(Image([Entry(f"c{k}", [k], "int16") for k in range(200)]))
+    reads = []
+
+    def read(at, n):
+        reads.append((at, n))
+        return content[at : at + n]
+
+    log = LogFile(len(content), read)
+    assert [c.name for c in log.channels()] == [f"c{k}" for k in range(200)]
+    assert len(reads) == 2
 
 
 def test_pushed_filters(spark, logs, read):
