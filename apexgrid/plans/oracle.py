@@ -744,7 +744,7 @@ def _source_oracles() -> dict[str, str]:
         "sidecar_totals": """
           SELECT h.session_id || '/0' AS session_id, 'Driver ' || h.serial AS driver,
             CASE WHEN h.session_id % 3 = 0 THEN CAST(n AS INTEGER) END AS total_laps,
-            CASE WHEN h.session_id % 3 = 0 THEN '1:0' || n || '.5 & up' END AS fastest_time,
+            CASE WHEN h.session_id % 3 = 0 THEN '1:0' || n || '.5 &amp; up' END AS fastest_time,
             CAST(NULL AS INTEGER) AS fastest_lap
           FROM (SELECT session_id, MIN(user_id) AS serial FROM ev GROUP BY 1) h
           LEFT JOIN (SELECT session_id, COUNT(*) AS n FROM laps GROUP BY 1) l ON l.session_id = h.session_id""",

@@ -42,9 +42,11 @@ def read_definitions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_definitions(definitions: DataFrame, path: str) -> None:
-    """Definitions as a JSON array per file, which :func:`read_definitions` reads back."""
-    array = F.to_json(F.collect_list(F.struct(*CHANNEL_DEFS.names)))
-    definitions.agg(array.alias("value")).write.mode("overwrite").text(path)
+    """Definitions as JSON arrays, which :func:`read_definitions` reads back: one for each ``source`` where there is such a column, in a folder
+    of its name, else one of all."""
+    array = F.to_json(F.collect_list(F.struct(*CHANNEL_DEFS.names))).alias("value")
+    by = [c for c in ("source",) if c in definitions.columns]
+    definitions.groupBy(*by).agg(array).write.mode("overwrite").partitionBy(*by).text(path)
 
 
 def definition_list(definitions: DataFrame) -> list[Definition]:

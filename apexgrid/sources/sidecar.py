@@ -12,8 +12,6 @@ TOTAL_LAPS = "Total Laps"
 FASTEST_TIME = "Fastest Time"
 FASTEST_LAP = "Fastest Lap"
 
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
-
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Sidecar files as ``(path, xml)``, paths relative to the directory read."""
@@ -57,7 +55,7 @@ def is_malformed(xml: Column) -> Column:
 def parse_sidecars(files: DataFrame) -> DataFrame:
     """Totals and marker intervals of ``(path, xml)``: ``(session_id, total_laps, fastest_time, fastest_lap, laps)``.
 
-    Numbers that cannot be read are NULL; the last of repeated entries counts. Malformed files give no row, see
+    Numbers that cannot be read are NULL, texts stay as they are written, references to characters included; the last of repeated entries counts. Malformed files give no row, see
     :func:`malformed_sidecars`.
     """
     entries = F.transform(
@@ -90,7 +88,7 @@ def parse_sidecars(files: DataFrame) -> DataFrame:
         .select(
             stem(F.col("path")).alias("session_id"),
             count(TOTAL_LAPS).alias("total_laps"),
-            _unescaped(entry(FASTEST_TIME)).alias("fastest_time"),
+            entry(FASTEST_TIME).alias("fastest_time"),
             count(FASTEST_LAP).alias("fastest_lap"),
             markers.alias("laps"),
         )
@@ -110,9 +108,3 @@ def with_sidecars(sessions: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Sessions with the totals of the sidecar of the same name, if there is one."""
     totals = sidecars.select("session_id", "total_laps", "fastest_time", "fastest_lap")
     return sessions.join(totals, "session_id", "left")
-
-
-def _unescaped(value: Column) -> Column:
-    for entity, character in _ENTITIES.items():
-        value = F.replace(value, F.lit(entity), F.lit(character))
-    return value
