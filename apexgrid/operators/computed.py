@@ -104,7 +104,7 @@ def evaluate(
     aliases = dict(aliases or {})
     wanted = ascii_lower(F.col(CHANNEL)).isin(wanted_names(definition.refs, aliases))
     candidates = samples.filter(wanted) if catalog is None else only_channels(samples, catalog, wanted)
-    heads = slices.series_heads(candidates, chunk_rows)
+    heads = slices.series_heads(candidates)
     known = _catalog_of(heads) if catalog is None else catalog
     return _stage(candidates, heads, known, sessions, [definition], aliases, chunk_rows, seconds)
 
@@ -125,7 +125,7 @@ def evaluate_all(
     samples = samples.select(*SERIES, FREQ, IDX, VALUE)
     faults = {d.name: fault for d in definitions if (fault := d.fault()) is not None}
     stages, cyclic = _stages([d for d in definitions if d.fault() is None])
-    heads = materialised(slices.series_heads(samples, chunk_rows))
+    heads = materialised(slices.series_heads(samples))
     catalog = _catalog_of(heads)
     sessions = heads.select(SESSION).distinct()
     rows, errors = [], []
@@ -139,7 +139,7 @@ def evaluate_all(
         if used:
             result = materialised(result)
             own = result.filter(F.col(CHANNEL).isin(used))
-            ends = slices.series_heads(own, chunk_rows)
+            ends = slices.series_heads(own)
             samples, heads = samples.unionByName(own), heads.unionByName(ends)
             catalog = catalog.unionByName(_catalog_of(ends, LAST_INDEX))
         rows.append(result)

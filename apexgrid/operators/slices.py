@@ -18,16 +18,21 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexgrid.chunking import CHUNK, CHUNK_ROWS, CORE, chunk_facts, chunk_window, int_div
-from apexgrid.operators.align import OUT_FREQ, OUT_IDX, first_slot, series_facts
+from apexgrid.chunking import CHUNK, CORE, chunk_facts, chunk_window, int_div
+from apexgrid.operators.align import OUT_FREQ, OUT_IDX, first_slot
 from apexgrid.schema import CHANNEL, FREQ, IDX, SERIES, SESSION, VALUE
 
 SLICE_SECONDS = 64
 
 
-def series_heads(samples: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """One row per series: ``session_id, channel, freq, n, first_value, last_value``."""
-    return series_facts(samples, chunk_rows).filter("_head").drop(CHUNK, "_head")
+def series_heads(samples: DataFrame) -> DataFrame:
+    """One row per series: ``session_id, channel, freq, n, first_value, last_value``, by partial aggregates."""
+    return samples.groupBy(*SERIES).agg(
+        F.max(FREQ).alias(FREQ),
+        (F.max(IDX) + 1).alias("n"),
+        F.min_by(VALUE, IDX).alias("first_value"),
+        F.max_by(VALUE, IDX).alias("last_value"),
+    )
 
 
 def grid_of(rates: Column, lengths: Column) -> tuple[Column, Column, Column]:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexgrid.chunking import CHUNK, CHUNK_ROWS, CORE
+from apexgrid.chunking import CHUNK, CORE
 from apexgrid.functions.scalar import fixed_text
 from apexgrid.operators import slices
 from apexgrid.operators.align import OUT_FREQ, OUT_IDX
@@ -21,7 +21,6 @@ def csv_rows(
     samples: DataFrame,
     channels: Mapping[str, int],
     time_range: tuple[float, float] | None = None,
-    chunk_rows: int = CHUNK_ROWS,
     seconds: int = slices.SLICE_SECONDS,
 ) -> DataFrame:
     """Text rows ``(session_id, out_idx, Time (s), <channels>)`` of the channels, given with their decimals.
@@ -38,7 +37,7 @@ def csv_rows(
         if not start <= end or start == end == int(start):
             raise ValueError("a time range that holds no samples")
     chosen = samples.filter(F.col(CHANNEL).isin(list(channels)))
-    heads = slices.series_heads(chosen, chunk_rows)
+    heads = slices.series_heads(chosen)
     rows = slices.sliced(chosen, heads, seconds=seconds, time_range=time_range)
     slots = slices.nearest_slots(rows, slices.grids_by_session(heads), time_range, seconds)
     names = {f"_cell{k}": F.col(CHANNEL) == c for k, c in enumerate(channels)}
