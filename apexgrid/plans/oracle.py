@@ -692,7 +692,7 @@ def _oracles() -> dict[str, str]:
             CASE WHEN delta < -0.01e0 THEN 'faster' WHEN delta > 0.01e0 THEN 'slower' WHEN delta IS NOT NULL THEN 'even' END
               AS delta_class FROM delta""",
     }
-    out |= _source_oracles()
+    out |= _source_oracles() | _extension_oracles()
     for corner in ("FL", "FR", "RL", "RR"):
         out[f"template_wheel_slip_{corner.lower()}"] = _template(
             f"(WheelSpeed_{corner} - GPS_Speed) / GREATEST(GPS_Speed, 1.0e0) * 100"
@@ -721,6 +721,77 @@ def _csv(channels: dict[str, int], window: tuple[float, float] | None = None) ->
       GROUP BY q.session_id, q.out_idx"""
 
 
+def _extension_oracles() -> dict[str, str]:
+    # distance of every sample, with the sample after it
+    driven = f"""
+          WITH meters AS (SELECT session_id, sample_idx, sample_idx / 10.0e0 AS t, Throttle_Pos, Steering_Angle,
+              SUM(area) OVER (PARTITION BY session_id ORDER BY sample_idx) AS d
+            FROM (SELECT *, {_area("(GPS_Speed / 3.6e0)", "10", _tick())} AS area FROM vehicle) a),
+          e AS (SELECT *, LEAD(d) OVER w AS dn, LEAD(t) OVER w AS tn, LEAD(Throttle_Pos) OVER w AS thn, LEAD(Steering_Angle) OVER w AS stn
+            FROM meters WINDOW w AS (PARTITION BY session_id ORDER BY sample_idx))"""
+    return {
+        "distance_axis": f"""{driven}
+          SELECT session_id, slot, slot * 25.0e0 AS distance, {rounded("t + COALESCE((tn - t) * part, 0)", "time")},
+            {rounded("Throttle_Pos + COALESCE((thn - Throttle_Pos) * part, 0)", "value")}
+          FROM (SELECT *, (slot * 25.0e0 - d) / (dn - d) AS part FROM (
+            SELECT *, UNNEST(RANGE(CAST(CEIL(d / 25.0e0) AS BIGINT),
+              CASE WHEN dn IS NULL THEN CAST(FLOOR(d / 25.0e0) AS BIGINT) + 1 ELSE CAST(CEIL(dn / 25.0e0) AS BIGINT) END)) AS slot FROM e) s) p""",
+        "lap_overlay": f"""{driven},
+          own AS (SELECT e.*, l.number, l.name FROM e JOIN laps l ON l.session_id = e.session_id
+            AND sample_idx >= FLOOR(start_time * 10) AND sample_idx < CEIL(end_time * 10)),
+          extents AS (SELECT session_id, number, MIN(d) AS low, MAX(d) AS high, MAX(sample_idx) AS last, MIN(t) AS t0 FROM own GROUP BY ALL HAVING MAX(d) > MIN(d)),
+          u AS (SELECT o.*, low, last, t0, (d - low) / (high - low) AS u, (dn - low) / (high - low) AS un FROM own o JOIN extents n USING (session_id, number)),
+          s AS (SELECT *, UNNEST(RANGE(CAST(CEIL(u * 50) AS BIGINT),
+              CASE WHEN sample_idx = last THEN CAST(FLOOR(u * 50) AS BIGINT) + 1 ELSE CAST(CEIL(un * 50) AS BIGINT) END)) AS slot FROM u),
+          p AS (SELECT session_id, number, name, slot, part, t + COALESCE((tn - t) * part, 0) - t0 AS time,
+              Steering_Angle + COALESCE((stn - Steering_Angle) * part, 0) AS value
+            FROM (SELECT *, CASE WHEN sample_idx = last THEN 0 ELSE (slot / 50.0e0 - u) / (un - u) END AS part FROM s) q WHERE slot <= 50)
+          SELECT p.session_id, p.number, p.name, p.slot, {rounded("p.time", "time")}, {rounded("p.time - r.time", "time_delta")},
+            {rounded("p.value", "value")}, {rounded("r.value", "ref_value")}
+          FROM p JOIN p r ON r.slot = p.slot AND r.session_id = 0 AND r.number = 1""",
+        "lap_stretching": f"""
+          WITH passed AS (SELECT session_id, number, MAX(CASE WHEN p = 50 THEN time END) AS a, MAX(CASE WHEN p = 100 THEN time END) AS b
+            FROM crossings GROUP BY 1, 2),
+          m AS (SELECT l.session_id, l.number, l.start_time AS s, l.end_time AS e, a, b FROM laps l JOIN passed USING (session_id, number)),
+          c AS (SELECT m.*, r.s AS rs, r.e AS re, r.a AS ra, r.b AS rb, m.a > m.s AND r.a > r.s AND m.a < m.e AND r.a < r.e AS has_a
+            FROM m JOIN m r ON r.session_id = m.session_id AND r.number = 1),
+          k AS (SELECT *, b > CASE WHEN has_a THEN a ELSE s END AND rb > CASE WHEN has_a THEN ra ELSE rs END AND b < e AND rb < re AS has_b FROM c),
+          g AS (SELECT k.*, t.sample_idx, t.time,
+              CASE WHEN has_b AND t.time >= b THEN [b, e, rb, re] WHEN has_a AND t.time >= a THEN [a, CASE WHEN has_b THEN b ELSE e END, ra, CASE WHEN has_b THEN rb ELSE re END]
+                WHEN has_a THEN [s, a, rs, ra] WHEN has_b THEN [s, b, rs, rb] ELSE [s, e, rs, re] END AS q
+            FROM k JOIN track t ON t.session_id = k.session_id AND t.sample_idx >= FLOOR(s * 10) AND t.sample_idx < CEIL(e * 10)),
+          w AS (SELECT *, q[3] + (time - q[1]) / (q[2] - q[1]) * (q[4] - q[3]) AS ref_time FROM g)
+          SELECT session_id, number, sample_idx, {rounded("time", "time")}, {rounded("ref_time", "ref_time")},
+            {rounded("(ref_time - rs) - (time - s)", "gain")} FROM w""",
+        "lap_histogram": f"""
+          WITH r AS (SELECT session_id, channel, MIN(value) AS lo, MAX(value) AS hi FROM samples_nan WHERE NOT ISNAN(value) GROUP BY 1, 2),
+          b AS (SELECT n.session_id, n.channel, l.number, l.name AS lap, lo, hi,
+              CASE WHEN hi > lo THEN LEAST(CAST(FLOOR((n.value - lo) / (hi - lo) * 12) AS INTEGER), 11) ELSE 0 END AS bin
+            FROM samples_nan n JOIN lapped l USING (session_id, channel, sample_idx) JOIN r USING (session_id, channel) WHERE NOT ISNAN(n.value))
+          SELECT session_id, channel, number, lap, bin, {rounded("lo + bin * ((hi - lo) / 12)", "low")},
+            {rounded("lo + (bin + 1) * ((hi - lo) / 12)", "high")}, COUNT(*) AS n FROM b GROUP BY session_id, channel, number, lap, bin, lo, hi""",
+        "mixture_map": f"""
+          SELECT session_id, CAST(FLOOR(GPS_Speed / 25.0e0) AS BIGINT) AS x_bin, CAST(FLOOR(Throttle_Pos / 10.0e0) AS BIGINT) AS y_bin,
+            {rounded("AVG(Yaw_Rate)", "z_mean")}, COUNT(*) AS n FROM vehicle GROUP BY 1, 2, 3 HAVING COUNT(*) >= 2""",
+        "scatter": f"""
+          WITH r AS (SELECT session_id, MIN(G_Force_Lat) AS x0, MAX(G_Force_Lat) AS x1, MIN(GPS_Speed) AS y0, MAX(GPS_Speed) AS y1 FROM vehicle GROUP BY 1),
+          c AS (SELECT v.session_id, sample_idx, G_Force_Lat AS x, GPS_Speed AS y, (sample_idx * 2654435761) % 4294967296 AS h,
+              LEAST(CAST(FLOOR((G_Force_Lat - x0) / (x1 - x0) * 8) AS INTEGER), 7) AS x_cell,
+              LEAST(CAST(FLOOR((GPS_Speed - y0) / (y1 - y0) * 10) AS INTEGER), 9) AS y_cell FROM vehicle v JOIN r USING (session_id))
+          SELECT session_id, x_cell, y_cell, ARG_MIN(sample_idx, h) AS sample_idx, {rounded("ARG_MIN(x, h)", "x")}, {rounded("ARG_MIN(y, h)", "y")},
+            COUNT(*) AS n FROM c GROUP BY 1, 2, 3""",
+        "power_spectrum": f"""
+          WITH w AS (SELECT session_id, channel, freq, k AS win, sample_idx - k * 8 AS j, value FROM (
+              SELECT *, UNNEST([sample_idx // 8, sample_idx // 8 - 1]) AS k FROM samples) q WHERE k >= 0),
+          z AS (SELECT *, (value - AVG(value) OVER p) * (0.5e0 - 0.5e0 * COS(2 * PI() * j / 16)) AS x, COUNT(*) OVER p AS n
+            FROM w WINDOW p AS (PARTITION BY session_id, channel, win)),
+          f AS (SELECT session_id, channel, freq, win, bin, POW(SUM(x * COS(2 * PI() * bin * j / 16)), 2) + POW(SUM(x * SIN(2 * PI() * bin * j / 16)), 2) AS p
+            FROM z, (SELECT UNNEST(RANGE(9)) AS bin) b WHERE n = 16 GROUP BY 1, 2, 3, 4, 5)
+          SELECT session_id, channel, CAST(bin AS INTEGER) AS bin, {rounded("bin * freq / 16.0e0", "frequency")}, {rounded("AVG(p) / 6.0e0", "power")}, COUNT(*) AS windows
+          FROM f GROUP BY session_id, channel, freq, bin""",
+    }
+
+
 def _source_oracles() -> dict[str, str]:
     part = """
           SELECT p_partkey, REPLACE(REPLACE(REPLACE(p_name || '.' || p_brand, ' ', '.'), '#', ''), '.', ' ') AS name,

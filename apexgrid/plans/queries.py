@@ -16,10 +16,13 @@ from apexgrid.operators import (
     catalog,
     computed,
     decimate,
+    densities,
+    distance,
     laps,
     lookup,
     sectors,
     series,
+    spectrum,
     stats,
     track,
 )
@@ -705,6 +708,48 @@ def config_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defs.union(aliases).union(sections).union(reference)
 
 
+# extensions
+
+
+def distance_axis(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    found = distance.distance_axis(tables.vehicle(spark, sf_dir), "GPS_Speed", ["Throttle_Pos"], 25.0, **options)
+    return found.select("session_id", "slot", "distance", rounded("time"), rounded("Throttle_Pos", "value"))
+
+
+def lap_overlay(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Every lap of every session over lap 1 of session 0."""
+    vehicle = tables.vehicle(spark, sf_dir).select("session_id", "sample_idx", "freq", "GPS_Speed", "Steering_Angle")
+    found = distance.overlay(vehicle, _laps(spark, sf_dir), "GPS_Speed", ["Steering_Angle"], (0, 1), 50, **options)
+    return found.select(
+        "session_id", "number", "name", "slot", rounded("time"), rounded("time_delta"),
+        rounded("Steering_Angle", "value"), rounded("ref_Steering_Angle", "ref_value"),
+    )
+
+
+def lap_stretching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = distance.stretched(_track(spark, sf_dir), _laps(spark, sf_dir), [50, 100], 1)
+    return _round(found, "time", "ref_time", "gain")
+
+
+def lap_histogram(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    found = densities.lap_histogram(tables.samples_nan(spark, sf_dir), _laps(spark, sf_dir), 12, **options)
+    return _round(found, "low", "high")
+
+
+def mixture_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = densities.mixture_map(tables.vehicle(spark, sf_dir), "GPS_Speed", "Throttle_Pos", "Yaw_Rate", (25.0, 10.0), 2)
+    return _round(found, "z_mean")
+
+
+def scatter(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    found = densities.scatter(tables.vehicle(spark, sf_dir), "G_Force_Lat", "GPS_Speed", (8, 10), **options)
+    return _round(found, "x", "y")
+
+
+def power_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(spectrum.spectrum(tables.samples(spark, sf_dir), 16), "frequency", "power")
+
+
 # the same operators with chunks so small that every series of the fixtures crosses many of their borders
 
 SMALL = 32
@@ -747,6 +792,10 @@ def _small_chunks() -> dict[str, Query]:
         "series_smooth": partial(_series, series.smooth, window=5, chunk_rows=SMALL),
         "series_derivative": partial(_series, series.derivative, chunk_rows=SMALL),
         "series_integrate": partial(_series, series.integrate, chunk_rows=SMALL),
+        "distance_axis": partial(distance_axis, chunk_rows=SMALL),
+        "lap_overlay": partial(lap_overlay, chunk_rows=SMALL),
+        "lap_histogram": partial(lap_histogram, chunk_rows=SMALL),
+        "scatter": partial(scatter, chunk_rows=SMALL),
         "computed_shared": partial(computed_shared, chunk_rows=SMALL, seconds=3),
         "csv_rows": partial(csv_rows, seconds=2),
         "csv_rows_window": partial(csv_rows_window, seconds=2),
@@ -820,6 +869,13 @@ def queries() -> dict[str, Query]:
         sidecar_markers,
         sidecar_errors,
         config_tables,
+        distance_axis,
+        lap_overlay,
+        lap_stretching,
+        lap_histogram,
+        mixture_map,
+        scatter,
+        power_spectrum,
     ]
     found: dict[str, Query] = {q.__name__: q for q in plain}
     found["series_smooth"] = partial(_series, series.smooth, window=5)
