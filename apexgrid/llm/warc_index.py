@@ -3,7 +3,7 @@
 Method: every task writes its records to an archive of its own, one gzip member per record, and its index rows (archive,
 offset, length, URL, digest, ...) are the output. A file is named after the task attempt; the index, kept as a table, lists
 only archives of attempts that succeeded, so a lost executor leaves at most an unlisted file. Readers never scan archives: they
-select index rows, range-partition and sort them by (archive, offset), and fetch neighbouring records with one
+select index rows, range-partition and sort them by (archive, offset), into tasks of about ``TASK_BYTES`` of the archives, and fetch neighbouring records with one
 read as long as gaps are at most ``GAP`` and a read is at most ``READ`` bytes (a longer record alone may exceed it).
 
 Records with equal payloads of at least ``REVISIT_FROM`` bytes: the largest page id's is the response, the others are revisits
@@ -36,6 +36,8 @@ from apexgrid.session import materialised, shared_folder
 REVISIT_FROM = 1000
 READ = 8 << 20
 GAP = 64 << 10
+#: bytes of records that a task reads
+TASK_BYTES = 32 << 20
 
 _INDEX = "archive string, offset bigint, length bigint, url string, digest string, page_id bigint, record_type string, payload_bytes bigint"
 _RECORDS = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
@@ -193,5 +195,8 @@ def read_records(index: DataFrame) -> DataFrame:
     """The records that the rows of ``index`` point to; ``payload`` is null for revisits."""
     prepare(index.sparkSession)
     order = ["archive", "offset"]
-    asked = index.select("archive", "offset", "length").repartitionByRange(*order).sortWithinPartitions(*order)
-    return asked.mapInArrow(_read, _RECORDS)
+    asked = index.select("archive", "offset", "length")
+    size = asked.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # an explicit number, which adaptive execution leaves alone: index rows are small, what they stand for is not
+    dealt = asked.repartitionByRange(max(-(-size // TASK_BYTES), 1), *order).sortWithinPartitions(*order)
+    return dealt.mapInArrow(_read, _RECORDS)

@@ -309,6 +309,18 @@ def test_archives(spark, tmp_path):
     assert warc_index.read_records(warc_index.write_archives(pages.limit(0))).collect() == []
 
 
+def test_archives_are_read_by_bytes(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, f"u{i}", rng.randbytes(1500).hex()) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    index = warc_index.write_archives(pages, folder=f"file://{tmp_path}/archives")
+    monkeypatch.setattr(warc_index, "TASK_BYTES", 100_000)
+    size = index.agg(F.sum("length")).first()[0]
+    read = warc_index.read_records(index)
+    assert read.rdd.getNumPartitions() == -(-size // 100_000) > 5
+    assert {(r.page_id, r.payload.decode()) for r in read.collect()} == {(i, h) for i, _, h in rows}
+
+
 def test_ranges_are_coalesced():
     gap, read = warc_index.GAP, warc_index.READ
     rows = [("a", 0, 10), ("a", 10, 5), ("a", 15 + gap, 5), ("a", 30 + 2 * gap, 5), ("b", 0, read + 1), ("b", read + 1, 1)]
