@@ -134,3 +134,13 @@ def spread_join(
         .join(chunk_facts(chunks.join(small, list(keys))), [*keys, CHUNK], how)
         .drop(CHUNK)
     )
+
+
+def join_by_chunk(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], idx: str, how: str = "inner", chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """As :func:`spread_join`, for per-series rows that know the length ``n_data`` of their series: it says which chunks there are, so ``big`` is
+    not looked at for them."""
+    last = int_div(F.greatest(F.col("n_data"), F.lit(1)) - 1, chunk_rows)
+    chunks = small.withColumn(CHUNK, F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("n_data")
+    return with_chunk(big, idx, chunk_rows).join(chunk_facts(chunks), [*keys, CHUNK], how).drop(CHUNK)

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apexgrid.chunking import spread_join
-from apexgrid.schema import CHANNEL, SESSION
+from apexgrid.chunking import join_by_chunk
+from apexgrid.schema import CHANNEL, IDX, SESSION
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -62,6 +63,29 @@ def clean_names(
     )
 
 
+# channels of one name
+
+
+def with_series_names(channels: DataFrame, name: str = CHANNEL, out: str = "series") -> DataFrame:
+    """Add the name a channel's samples go by: its own for the first channel of that name in a session, with ``#`` and its index for others.
+
+    Channels are told apart by their index; a name finds the first one, as the rules of name resolution have it.
+    """
+    first = F.min("channel_index").over(Window.partitionBy(SESSION, name))
+    numbered = F.concat(F.col(name), F.lit("#"), F.col("channel_index"))
+    return channels.withColumn(out, F.when(F.col("channel_index") == first, F.col(name)).otherwise(numbered))
+
+
+def by_series(samples: DataFrame, channels: DataFrame) -> DataFrame:
+    """Samples ``(session_id, channel_index, channel, freq, sample_idx, value)`` with ``channel`` as the name of their series.
+
+    Only the channels that share a name with an earlier one are joined, chunk by chunk, by ``channels(session_id, channel_index, channel, n_data)``.
+    """
+    renamed = with_series_names(channels).filter(F.col("series") != F.col(CHANNEL)).select(SESSION, "channel_index", "series", "n_data")
+    joined = join_by_chunk(samples, renamed, [SESSION, "channel_index"], IDX, "left")
+    return joined.withColumn(CHANNEL, F.coalesce("series", CHANNEL)).select(*samples.columns)
+
+
 # resolving references
 
 

@@ -730,6 +730,13 @@ def _extension_oracles() -> dict[str, str]:
           e AS (SELECT *, LEAD(d) OVER w AS dn, LEAD(t) OVER w AS tn, LEAD(Throttle_Pos) OVER w AS thn, LEAD(Steering_Angle) OVER w AS stn
             FROM meters WINDOW w AS (PARTITION BY session_id ORDER BY sample_idx))"""
     return {
+        "same_names": f"""
+          WITH c AS (SELECT session_id, event_type, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY MIN(event_id)) - 1 AS k,
+              CASE event_type WHEN 'purchase' THEN 'GPS_Latitude' WHEN 'signup' THEN 'GPS Long' ELSE 'Speed' END AS name FROM ev GROUP BY 1, 2),
+          s AS (SELECT *, CASE WHEN k = MIN(k) OVER (PARTITION BY session_id, name) THEN name ELSE name || '#' || k END AS series FROM c)
+          SELECT s.session_id, series AS channel, {rounded("MIN(value)", "min_value")}, {rounded("MAX(value)", "max_value")},
+            {rounded("AVG(value)", "avg_value")}, {rounded("STDDEV_POP(value)", "std_value")}
+          FROM samples x JOIN s ON s.session_id = x.session_id AND s.event_type = x.channel GROUP BY 1, 2""",
         "distance_axis": f"""{driven}
           SELECT session_id, slot, slot * 25.0e0 AS distance, {rounded("t + COALESCE((tn - t) * part, 0)", "time")},
             {rounded("Throttle_Pos + COALESCE((thn - Throttle_Pos) * part, 0)", "value")}

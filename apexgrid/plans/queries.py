@@ -467,6 +467,21 @@ def channel_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]).unionByName(tagged[3])
 
 
+def same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics where a session has three channels called Speed, told apart by their index."""
+    samples = tables.samples(spark, sf_dir)
+    first = tables.logger_channels(spark, sf_dir)
+    shared = {"GPS Speed", "Engine.RPM", "Lap_Number"}
+    channels = first.select(
+        "session_id", "channel_index", F.col("channel").alias("_own"), F.when(F.col("channel").isin(*shared), "Speed").otherwise(F.col("channel")).alias("channel"),
+        "n_data",
+    )
+    named = samples.withColumn("_own", tables.logger_name("channel")).drop("channel")
+    stored = named.join(channels.select("session_id", "_own", "channel_index", "channel"), ["session_id", "_own"])
+    stored = stored.select("session_id", "channel_index", "channel", "freq", "sample_idx", "value")
+    return _round(stats.channel_stats(catalog.by_series(stored, channels)), "min_value", "max_value", "avg_value", "std_value")
+
+
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     channels = tables.logger_channels(spark, sf_dir)
     computed_channels = channels.select(
@@ -850,6 +865,7 @@ def queries() -> dict[str, Query]:
         resolve_names,
         alias_targets,
         channel_picks,
+        same_names,
         catalog_search,
         name_conflicts,
         referenced_channels,

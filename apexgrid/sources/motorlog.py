@@ -36,8 +36,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from apexgrid import schema
-from apexgrid.chunking import CHUNK, CHUNK_ROWS, chunk_facts, int_div, spread_join, with_chunk
-from apexgrid.operators.catalog import clean_names
+from apexgrid.chunking import join_by_chunk, spread_join
+from apexgrid.operators.catalog import clean_names, with_series_names
 from apexgrid.session import ship_package
 from apexgrid.sources.logfile import BadLog, Channel, LogFile
 
@@ -188,6 +188,12 @@ def channel_batch(session_id: str, channels: list[Channel]) -> pa.RecordBatch:
     return _batch(schema.RAW_CHANNELS, rows)
 
 
+def series_names(channels: list[Channel]) -> list[str]:
+    """Names that tell the channels apart; the Column form is :func:`apexgrid.operators.catalog.with_series_names`."""
+    seen: set[str] = set()
+    return [f"{c.name}#{c.index}" if c.name in seen else seen.add(c.name) or c.name for c in channels]
+
+
 def sample_batches(
     session_id: str, log: LogFile, wanted: Wanted = Wanted(), part: int = 0, parts: int = 1
 ) -> Iterator[pa.RecordBatch]:
@@ -197,21 +203,21 @@ def sample_batches(
     total = sum(counts)
     lo, hi = total * part // parts, total * (part + 1) // parts
     before = 0
-    for c, n in zip(channels, counts):
+    for c, name, n in zip(channels, series_names(channels), counts):
         start, end = max(lo - before, wanted.start, 0), min(hi - before, wanted.end, n)
         before += n
-        if wanted.channels is not None and c.name not in wanted.channels:
+        if wanted.channels is not None and name not in wanted.channels:
             continue
         for at in range(start, end, BATCH_ROWS):
-            yield _sample_batch(session_id, c, at, log.samples(c, at, min(at + BATCH_ROWS, end)))
+            yield _sample_batch(session_id, c, name, at, log.samples(c, at, min(at + BATCH_ROWS, end)))
 
 
-def _sample_batch(session_id: str, c: Channel, start: int, values: np.ndarray) -> pa.RecordBatch:
+def _sample_batch(session_id: str, c: Channel, name: str, start: int, values: np.ndarray) -> pa.RecordBatch:
     n = len(values)
     columns = [
         pa.array([session_id]).take(pa.array(np.zeros(n, "i4"))),
         pa.array(np.full(n, c.index, "i4")),
-        pa.array([c.name]).take(pa.array(np.zeros(n, "i4"))),
+        pa.array([name]).take(pa.array(np.zeros(n, "i4"))),
         pa.array(np.full(n, c.freq, "i4")),
         pa.array(np.arange(start, start + n, dtype="i8")),
         pa.array(values),
@@ -311,11 +317,12 @@ def _large_logs(files: DataFrame, table: str, root: str, target_bytes: int) -> D
 
 
 def read_channels(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue with clean names and units."""
-    return clean_names(read_logs(spark, path, "channels")).select(
+    """Catalogue with clean names and units; ``channel`` is the name that the samples carry, ``name`` may be that of several channels."""
+    return with_series_names(clean_names(read_logs(spark, path, "channels")), "name", "channel").select(
         "session_id",
         "channel_index",
-        F.col("name").alias("channel"),
+        "channel",
+        "name",
         "short_name",
         "unit",
         "freq",
@@ -381,9 +388,6 @@ def scale_samples(raw: DataFrame, channels: DataFrame, keys: Sequence[str] = sch
     ten = F.pow(F.lit(10.0), -F.col("dec_places").cast("double"))
     unit = (F.try_divide(v, scale) * ten + F.col("shift")) * F.col("mul")
     factors = channels.select(*keys, "shift", "mul", "scale", "dec_places", *(c for c in ("n_data",) if c in channels.columns))
-    if "n_data" in factors.columns:
-        chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), int_div(F.greatest(F.col("n_data"), F.lit(1)) - 1, CHUNK_ROWS)))
-        joined = with_chunk(raw, "sample_idx").join(chunk_facts(factors.withColumn(CHUNK, chunks)), [*keys, CHUNK])
-    else:
-        joined = spread_join(raw, factors, keys, "sample_idx")
+    join = join_by_chunk if "n_data" in factors.columns else spread_join
+    joined = join(raw, factors, keys, "sample_idx")
     return joined.withColumn("value", F.when(scale == 0, v).otherwise(unit)).select(*raw.columns)

@@ -143,6 +143,15 @@ def test_many_small_files_are_not_listed_in_python(spark, tmp_path, monkeypatch)
     assert [r.path.rpartition("/")[2] for r in motorlog.read_logs(spark, str(tmp_path), "bad_files").collect()] == ["0.ld"]
 
 
+def test_channels_of_one_name_stay_apart(spark, tmp_path, read):
+    entries = [Entry("Speed", [1, 2]), Entry("Other", [5]), Entry("Speed", [30, 40, 50]), Entry("Speed", [7])]
+    (tmp_path / "a.ld").write_bytes(log_bytes(Image(entries)))
+    expected = {"Speed": [1, 2], "Other": [5], "Speed#2": [30, 40, 50], "Speed#3": [7]}
+    assert read(motorlog.read_logs(spark, str(tmp_path)), ["channel"], "sample_idx") == expected
+    rows = motorlog.read_channels(spark, str(tmp_path)).orderBy("channel_index").collect()
+    assert [(r.channel, r.name, r.n_data) for r in rows] == [("Speed", "Speed", 2), ("Other", "Other", 1), ("Speed#2", "Speed", 3), ("Speed#3", "Speed", 1)]
+
+
 def test_channel_list_in_one_read():
     content = log_bytes(Image([Entry(f"c{k}", [k], "int16") for k in range(200)]))
     reads = []
