@@ -140,6 +140,68 @@ def sector_report(
     )
 
 
+def configured_report(
+    track: DataFrame, laps: DataFrame, sectors: DataFrame, references: DataFrame, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """As :func:`sector_report`, for sessions that each have sectors and a reference lap of their own, as stored configurations give them.
+
+    ``sectors(session_id, sector_no, name, start_index, end_index)`` and ``references(session_id, reference_lap)`` are tables; a session without
+    a reference lap has no deltas, one without sectors no rows. A sample meets the points of its session with its lap, and the nearest are found by
+    partial aggregates.
+    """
+    ends = sectors.select(SESSION, F.explode(F.array("start_index", "end_index")).alias(IDX)).distinct()
+    at = ends.join(track.select(SESSION, IDX, "x", "y"), [SESSION, IDX], "left")
+    point = F.struct(F.col(IDX).alias("p"), F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+    # what was drawn by hand on a map of one session: small, and one row for it
+    points = at.groupBy(SESSION).agg(F.collect_list(point).alias("_points"))
+    listed = F.struct("sector_no", "name", "start_index", "end_index")
+    drawn = sectors.groupBy(SESSION).agg(F.array_sort(F.collect_list(listed)).alias("_sectors"))
+    reach = track.groupBy(SESSION).agg(F.max(FREQ).alias("_rate"), F.max(IDX).alias("_last"))
+    plans = drawn.join(points, SESSION).join(references, SESSION, "left").join(reach, SESSION, "left")
+    goals = spread_join(laps.select(SESSION, *LAP), plans, [SESSION], "number", chunk_rows=chunk_rows)
+
+    spans = goals.select(SESSION, "number", "start_time", "end_time", "_points")
+    rows = with_laps(track.select(SESSION, IDX, FREQ, "time", "x", "y"), spans)
+    rows = rows.select(SESSION, IDX, "time", "x", "y", F.explode("_laps").alias("l"))
+    rows = rows.select(SESSION, IDX, "time", "x", "y", F.col("l.number").alias("number"), F.explode("l._points").alias("p"))
+    dx, dy = F.col("x") - F.col("p.x"), F.col("y") - F.col("p.y")
+    nearest = F.min(F.struct((dx * dx + dy * dy).alias("d"), F.col(IDX), F.col("time")))
+    passed = rows.groupBy(SESSION, "number", F.col("p.p").alias("p")).agg(nearest["time"].alias("time"))
+    by_lap = passed.groupBy(SESSION, "number").agg(F.map_from_entries(F.collect_list(F.struct("p", "time"))).alias("_at"))
+
+    known = goals.drop("_points").join(by_lap, [SESSION, "number"], "left")
+    # a lap without samples is taken to be at the time of its first index everywhere, as in crossing_times
+    first = F.floor(F.col("start_time") * F.col("_rate"))
+    alone = F.when((first >= 0) & (first <= F.col("_last")), first / F.col("_rate")).otherwise(F.lit(0.0))
+    lap_time = F.col("end_time") - F.col("start_time")
+
+    def spent(s: Column) -> Column:
+        start, end = (F.coalesce(F.col("_at")[s[c]], F.col("_alone")) for c in ("start_index", "end_index"))
+        direct = F.when(end > start, end - start).otherwise(F.col("_lap_time") - (start - end))
+        return F.greatest(F.lit(0.0), F.least(direct, F.col("_lap_time")))
+
+    known = known.withColumns({"_alone": alone, "_lap_time": lap_time}).withColumn("times", F.transform("_sectors", spent))
+    total = F.aggregate("times", F.lit(0.0), lambda a, t: a + t)
+    rows = known.select(
+        SESSION, "number", F.col("name").alias("lap"), "reference_lap",
+        F.concat(F.array(F.lit("Total")), F.transform("_sectors", lambda s: s["name"])).alias("_names"), F.concat(F.array(total), "times").alias("times"),
+    )
+    chosen = F.max(F.when(F.col("number") == F.col("reference_lap"), F.col("times")))
+    reference = rows.groupBy(SESSION).agg(chosen.alias("_reference"))
+    both = spread_join(rows, reference, [SESSION], "number", "left", chunk_rows, present=laps)
+    k = F.col("_k")
+    return (
+        both.select("*", F.posexplode("times").alias("_k", "time_secs"))
+        .select(
+            SESSION, "number", "lap", (k - 1).alias("sector_no"), F.col("_names")[k].alias("sector"), "time_secs",
+            F.col("_reference")[k].alias("ref_secs"), "reference_lap",
+        )
+        .withColumn("delta", F.when(F.col("number") != F.col("reference_lap"), F.col("time_secs") - F.col("ref_secs")))
+        .withColumn("delta_class", delta_class(F.col("delta")))
+        .drop("reference_lap")
+    )
+
+
 def delta_class(delta: Column) -> Column:
     """Faster, slower or even; none without a delta."""
     return (

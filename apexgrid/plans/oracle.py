@@ -730,6 +730,26 @@ def _extension_oracles() -> dict[str, str]:
           e AS (SELECT *, LEAD(d) OVER w AS dn, LEAD(t) OVER w AS tn, LEAD(Throttle_Pos) OVER w AS thn, LEAD(Steering_Angle) OVER w AS stn
             FROM meters WINDOW w AS (PARTITION BY session_id ORDER BY sample_idx))"""
     return {
+        "configured_report": f"""
+          WITH drawn AS (SELECT session_id, no AS sector_no, name AS sector, a, b FROM (SELECT DISTINCT session_id FROM ev) s, LATERAL (VALUES
+              (0, 'Start', 0, session_id % 7 + 40), (1, 'Back', session_id % 7 + 40, session_id % 5 + 90), (2, 'Far', session_id % 5 + 90, 100000)) AS v(no, name, a, b)),
+          pts AS (SELECT DISTINCT session_id, UNNEST([a, b]) AS p FROM drawn),
+          near AS (SELECT session_id, number, p, time FROM (
+            SELECT l.session_id, l.number, g.p, t.time, ROW_NUMBER() OVER (PARTITION BY l.session_id, l.number, g.p ORDER BY
+              (t.x - COALESCE(o.x, 0)) * (t.x - COALESCE(o.x, 0)) + (t.y - COALESCE(o.y, 0)) * (t.y - COALESCE(o.y, 0)), t.sample_idx) AS rn
+            FROM laps l JOIN pts g ON g.session_id = l.session_id LEFT JOIN track o ON o.session_id = l.session_id AND o.sample_idx = g.p
+            JOIN track t ON t.session_id = l.session_id AND t.sample_idx >= FLOOR(l.start_time * 10) AND t.sample_idx < CEIL(l.end_time * 10)) q WHERE rn = 1),
+          spent AS (SELECT l.session_id, l.number, l.name AS lap, d.sector_no, d.sector, GREATEST(0.0e0, LEAST(l.end_time - l.start_time,
+              CASE WHEN e.time > s.time THEN e.time - s.time ELSE (l.end_time - l.start_time) - (s.time - e.time) END)) AS time_secs
+            FROM laps l JOIN drawn d ON d.session_id = l.session_id
+            JOIN near s ON s.session_id = l.session_id AND s.number = l.number AND s.p = d.a
+            JOIN near e ON e.session_id = l.session_id AND e.number = l.number AND e.p = d.b),
+          every AS (SELECT * FROM spent UNION ALL SELECT session_id, number, lap, -1, 'Total', SUM(time_secs) FROM spent GROUP BY 1, 2, 3),
+          delta AS (SELECT e.*, b.time_secs AS ref_secs, CASE WHEN e.number <> b.number THEN e.time_secs - b.time_secs END AS delta
+            FROM every e LEFT JOIN every b ON b.session_id = e.session_id AND b.sector_no = e.sector_no
+              AND b.session_id % 4 <> 3 AND b.number = b.session_id % 3 + 1)
+          SELECT session_id, number, lap, sector_no, sector, {rounded("time_secs")}, {rounded("ref_secs")}, {rounded("delta")},
+            CASE WHEN delta < -0.01e0 THEN 'faster' WHEN delta > 0.01e0 THEN 'slower' WHEN delta IS NOT NULL THEN 'even' END AS delta_class FROM delta""",
         "same_names": f"""
           WITH c AS (SELECT session_id, event_type, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY MIN(event_id)) - 1 AS k,
               CASE event_type WHEN 'purchase' THEN 'GPS_Latitude' WHEN 'signup' THEN 'GPS Long' ELSE 'Speed' END AS name FROM ev GROUP BY 1, 2),

@@ -83,7 +83,8 @@ def aliases(configs: DataFrame) -> DataFrame:
 
 
 def sectors(configs: DataFrame) -> DataFrame:
-    return _entries(configs, "sectors")
+    """Sectors in their order, ``sector_no`` from 0."""
+    return configs.select("path", F.posexplode("config.sectors").alias("sector_no", "e")).select("path", "sector_no", "e.*")
 
 
 def reference_laps(configs: DataFrame) -> DataFrame:
