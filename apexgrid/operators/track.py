@@ -103,8 +103,14 @@ def hue_of(fraction: Column) -> Column:
     return (F.lit(1.0) - fraction) * 240.0
 
 
-def track_color(samples: DataFrame, track: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Colour of each track sample by a channel: ``(session_id, channel, sample_idx, value, r, g, b, vmin, vmax)``."""
+def track_color(
+    samples: DataFrame, track: DataFrame, chunk_rows: int = CHUNK_ROWS, channel: str | None = None
+) -> DataFrame:
+    """Colour of each track sample by a channel: ``(session_id, channel, sample_idx, value, r, g, b, vmin, vmax)``. A track is coloured by one
+    ``channel``; without it there is a colouring by each."""
+    if channel is not None:
+        # reaches the scan, so other channels are not read
+        samples = samples.filter(F.col(CHANNEL) == channel)
     aligned = resample_to_track(samples, track, chunk_rows).select(
         SESSION, CHANNEL, F.col(OUT_IDX).alias(IDX), VALUE
     )

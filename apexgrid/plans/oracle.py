@@ -693,6 +693,7 @@ def _oracles() -> dict[str, str]:
               AS delta_class FROM delta""",
     }
     out |= _source_oracles() | _extension_oracles()
+    out["track_color_by_channel"] = f"SELECT * FROM ({out['track_color']}) c WHERE channel = 'click'"
     for corner in ("FL", "FR", "RL", "RR"):
         out[f"template_wheel_slip_{corner.lower()}"] = _template(
             f"(WheelSpeed_{corner} - GPS_Speed) / GREATEST(GPS_Speed, 1.0e0) * 100"
@@ -730,6 +731,10 @@ def _extension_oracles() -> dict[str, str]:
           e AS (SELECT *, LEAD(d) OVER w AS dn, LEAD(t) OVER w AS tn, LEAD(Throttle_Pos) OVER w AS thn, LEAD(Steering_Angle) OVER w AS stn
             FROM meters WINDOW w AS (PARTITION BY session_id ORDER BY sample_idx))"""
     return {
+        "series_forward_fill": """
+          SELECT session_id, channel, freq, sample_idx, COALESCE(LAST_VALUE(good IGNORE NULLS) OVER (
+            PARTITION BY session_id, channel ORDER BY sample_idx), 0.0e0) AS value
+          FROM (SELECT *, CASE WHEN sample_idx % 3 <> 1 AND sample_idx % 40 >= 12 THEN value END AS good FROM samples) g""",
         "configured_report": f"""
           WITH drawn AS (SELECT session_id, no AS sector_no, name AS sector, a, b FROM (SELECT DISTINCT session_id FROM ev) s, LATERAL (VALUES
               (0, 'Start', 0, session_id % 7 + 40), (1, 'Back', session_id % 7 + 40, session_id % 5 + 90), (2, 'Far', session_id % 5 + 90, 100000)) AS v(no, name, a, b)),

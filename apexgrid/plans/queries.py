@@ -323,6 +323,14 @@ def _series(op: Callable[..., DataFrame], spark: SparkSession, sf_dir: str, **op
     return found.select("session_id", "channel", "sample_idx", rounded("result"))
 
 
+def series_forward_fill(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Gaps of every third sample and longer ones hold the value before them."""
+    gap = (F.col("sample_idx") % 3 == 1) | (F.col("sample_idx") % 40 < 12)
+    nan = F.lit(float("nan"))
+    gappy = tables.samples(spark, sf_dir).withColumn("value", F.when(gap, nan).otherwise(F.col("value")))
+    return series.forward_fill(gappy, ~F.isnan("value"), ["value"], ["session_id", "channel"], **options)
+
+
 def series_smooth_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = series.smooth(_speed_trace(spark, sf_dir), 100, out="result")
     return found.select("session_id", "sample_idx", rounded("result"))
@@ -555,6 +563,11 @@ def track_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(colored, "value", "vmin", "vmax")
 
 
+def track_color_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    colored = track.track_color(tables.samples(spark, sf_dir), tables.positions(spark, sf_dir), channel="click")
+    return _round(colored, "value", "vmin", "vmax")
+
+
 def color_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = stats.value_range(tables.samples(spark, sf_dir), ["session_id", "channel"])
     return _round(track.color_legend(ranges), "value")
@@ -822,6 +835,7 @@ def _small_chunks() -> dict[str, Query]:
         "sector_times": lambda spark, sf_dir: _round(
             sectors.sector_times(track_small(spark, sf_dir), laps_small(spark, sf_dir), tables.SECTORS), "time_secs"
         ),
+        "series_forward_fill": partial(series_forward_fill, chunk_rows=SMALL),
         "series_smooth": partial(_series, series.smooth, window=5, chunk_rows=SMALL),
         "series_derivative": partial(_series, series.derivative, chunk_rows=SMALL),
         "series_integrate": partial(_series, series.integrate, chunk_rows=SMALL),
@@ -869,6 +883,7 @@ def queries() -> dict[str, Query]:
         unit_conversions,
         math_sql_functions,
         display_formats,
+        series_forward_fill,
         series_smooth_wide,
         series_smooth_by_channel,
         series_nested,
@@ -891,6 +906,7 @@ def queries() -> dict[str, Query]:
         gps_track,
         gps_track_gaps,
         track_color,
+        track_color_by_channel,
         color_legend,
         sector_times,
         crossing_times,

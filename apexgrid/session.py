@@ -6,6 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,9 +63,11 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and all executors see: the cluster's ``spark.checkpoint.dir``.
 
-    Only a session whose executors are threads of the driver may go without that setting; it gets a temporary folder.
+    Inside :func:`temporary_tables` it is the folder of the block. Only a session whose executors are threads of the driver may go without that setting; it gets a temporary folder.
     On a cluster a machine-local folder would lose rows, so there the missing setting is an error.
     """
+    if (scope := _scope.get()) is not None:
+        return scope
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         master = spark.sparkContext.master
@@ -73,6 +78,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[str]:
+    """Tables and archives that are written inside the block go when it ends. Results have to be written out before that.
+
+    ``with temporary_tables(spark): query(spark, path).write.parquet(out)``
+    """
+    base = shared_folder(spark)
+    folder = f"{base}/scope-{uuid.uuid4().hex}"
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

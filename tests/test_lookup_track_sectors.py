@@ -227,3 +227,28 @@ def test_gps_pick(spark):
     channels = spark.createDataFrame(rows, "session_id string, channel_index int, channel string")
     assert [tuple(r) for r in catalog.pick_gps(channels, catalog.LATITUDE_PARTS).collect()] == [("s", "gps.latitude")]
     assert [tuple(r) for r in catalog.pick_gps(channels, catalog.LONGITUDE_PARTS).collect()] == [("s", "GPS Long")]
+
+
+def test_configured_report_with_one_configuration_for_all(spark):
+    rng = random.Random(12)
+    rows = [(s, i, 10, i / 10, rng.uniform(-1, 1), rng.uniform(-1, 1)) for s in ("a", "b") for i in range(120)]
+    line = spark.createDataFrame(rows, "session_id string, sample_idx bigint, freq int, time double, x double, y double")
+    layout = "session_id string, number int, name string, start_time double, end_time double"
+    laps_ = spark.createDataFrame(
+        [(s, k, n, a, b) for s in ("a", "b") for k, n, a, b in ((0, "Out Lap", 0.0, 3.0), (1, "Lap 1", 3.0, 7.5), (2, "none", 7.5, 7.5), (3, "In Lap", 7.5, 50.0))], layout
+    )
+    drawn = [sectors.Sector("S1", 3, 40), sectors.Sector("S2", 40, 90), sectors.Sector("S3", 90, 10**6)]
+    table = spark.createDataFrame([(s, k, *d) for s in ("a", "b") for k, d in enumerate(drawn)], "session_id string, sector_no int, name string, start_index bigint, end_index bigint")
+    references = spark.createDataFrame([("a", 1), ("b", None)], "session_id string, reference_lap bigint")
+    got = sectors.configured_report(line, laps_, table, references, chunk_rows=2)
+    expected = sectors.sector_report(line, laps_, drawn, 1)
+    key = lambda r: (r.session_id, r.number, r.sector_no)
+    found = {key(r): r for r in got.collect()}
+    assert set(found) == {key(r) for r in expected.collect()}
+    for r in expected.collect():
+        own = found[key(r)]
+        assert abs(own.time_secs - r.time_secs) < 1e-9 and own.sector == r.sector
+        if r.session_id == "a":
+            assert (own.delta is None) == (r.delta is None) and own.delta_class == r.delta_class
+        else:
+            assert own.delta is None and own.ref_secs is None

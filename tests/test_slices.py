@@ -1,6 +1,7 @@
 """Alignment inside slices against literal loops, and what is shuffled for it."""
 
 import math
+import os
 import random
 
 import pytest
@@ -11,6 +12,7 @@ from apexgrid.chunking import CHUNK, CORE
 from apexgrid.functions.channel import ch, ref_column, shared_steps, smooth, sql
 from apexgrid.operators import computed, laps, slices, stats
 from apexgrid.operators.computed import Definition
+from apexgrid.session import materialised, temporary_tables
 from apexgrid.sources import csvfile
 
 
@@ -110,6 +112,17 @@ def test_lap_joins_do_not_sort_samples(spark, make):
     assert "SortMergeJoin" not in laps.with_laps(samples, table)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_temporary_tables_go_with_their_block(spark, tmp_path):
+    with temporary_tables(spark) as folder:
+        kept = materialised(spark.range(5))
+        assert kept.count() == 5 and kept.inputFiles()[0].removeprefix("file://").startswith(folder.removeprefix("file:"))
+        kept.write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+    assert not os.path.exists(folder.removeprefix("file:"))
+    # outside a block tables stay
+    assert materialised(spark.range(3)).count() == 3
+
+
 def test_names_that_only_differ_in_case(make, read):
     series = {("s", "Speed"): (1, [1, 2, 3]), ("s", "speed"): (1, [10, 20, 30]), ("s", "freq"): (1, [5, 5, 5]), ("s", "_chunk"): (1, [7, 7, 7])}
     texts = {"a": "Speed - speed", "b": "freq + 1", "c": '"_chunk" * 2', "d": "SPEED"}
