@@ -167,6 +167,7 @@ def nearest_slots(
     grids: DataFrame,
     time_range: tuple[float, float] | None = None,
     seconds: int = SLICE_SECONDS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Nearest sample at each slot, within a time range; columns as of :func:`linear_slots`. A range may end behind the session."""
     rate, grid_rate = F.col(FREQ).cast("double"), F.col(OUT_FREQ).cast("double")
@@ -184,13 +185,21 @@ def nearest_slots(
     def guess(k: Column) -> Column:
         return F.when(same_rate, k).otherwise(F.ceil(F.try_divide((k - 0.5) * grid_rate, rate)))
 
-    slots = _slots(rows, grids, seconds, 0, 0, place, guess, ["_row0"], (F.col("_row0"), F.col("out_len")))
-    return slots.select(SESSION, CHUNK, CHANNEL, OUT_IDX, OUT_FREQ, "out_len", VALUE)
+    slots = _slots(rows, grids, seconds, 0, 0, place, guess, ["_row0", *keep], (F.col("_row0"), F.col("out_len")))
+    return slots.select(SESSION, CHUNK, CHANNEL, OUT_IDX, OUT_FREQ, "out_len", *keep, VALUE)
 
 
-def side_by_side(slots: DataFrame, cells: dict[str, Column], keys: Sequence[str] = (), seconds: int = SLICE_SECONDS) -> DataFrame:
-    """One row per slot with a column for each of ``cells``, a condition on the row; 0 where no row meets it. Grouped where the rows are."""
-    found = (F.coalesce(F.max(F.when(condition, F.col(VALUE))), F.lit(0.0)).alias(name) for name, condition in cells.items())
+def side_by_side(
+    slots: DataFrame,
+    cells: dict[str, Column],
+    keys: Sequence[str] = (),
+    seconds: int = SLICE_SECONDS,
+    facts: dict[str, Column] | None = None,
+) -> DataFrame:
+    """One row per slot with a column for each of ``cells``, a condition on the row; 0 where no row meets it. ``facts`` are further columns, the
+    largest value of each. Grouped where the rows are."""
+    found = [F.coalesce(F.max(F.when(condition, F.col(VALUE))), F.lit(0.0)).alias(name) for name, condition in cells.items()]
+    found += [F.max(fact).alias(name) for name, fact in (facts or {}).items()]
     wide = slots.groupBy(SESSION, CHUNK, OUT_FREQ, *keys, OUT_IDX).agg(*found)
     own = F.col(CHUNK) == int_div(F.col(OUT_IDX), F.col(OUT_FREQ).cast("bigint") * seconds)
     return wide.withColumn(CORE, own)

@@ -701,12 +701,19 @@ def _oracles() -> dict[str, str]:
     return out
 
 
-def _csv(channels: dict[str, int], window: tuple[float, float] | None = None) -> str:
+def _printed(decimals: int | str) -> str:
+    """A value as text; decimals may be an expression of the session."""
+    if isinstance(decimals, int):
+        return f"PRINTF('%.{decimals}f', s.value)"
+    return f"CASE {decimals} " + " ".join(f"WHEN {d} THEN PRINTF('%.{d}f', s.value)" for d in range(4)) + " END"
+
+
+def _csv(channels: dict[str, int | str], window: tuple[float, float] | None = None) -> str:
     """Nearest samples on the fastest of the chosen channels, as text."""
     names = ", ".join(f"'{c}'" for c in channels)
     first, last = ("0", "duration") if window is None else map(str, window)
     cells = ", ".join(
-        f"MAX(CASE WHEN q.channel = '{c}' THEN PRINTF('%.{d}f', s.value) END) AS {c}" for c, d in channels.items()
+        f"MAX(CASE WHEN q.channel = '{c}' THEN {_printed(d)} END) AS {c}" for c, d in channels.items()
     )
     return f"""
       WITH rate AS (SELECT session_id, MAX(freq) AS out_freq, MAX(n / CAST(freq AS DOUBLE)) AS duration
@@ -843,6 +850,9 @@ def _source_oracles() -> dict[str, str]:
             CASE WHEN unit <> '' THEN unit WHEN joined THEN '' ELSE short END AS unit
           FROM (SELECT *, filled AND LENGTH(short) BETWEEN 1 AND 2 AND short <> '%' AS joined FROM ({part}) p) q""",
         "csv_rows": _csv({"click": 2, "purchase": 1, "signup": 0}),
+        "csv_rows_catalog": _csv(
+            {"click": "GREATEST(q.session_id % 4 - 1, 0)", "signup": "CASE WHEN q.session_id % 5 > 0 THEN 2 ELSE 0 END"}
+        ),
         "csv_rows_window": _csv({"purchase": 1, "error": 3}, (1.1, 7.7)),
         "sidecar_totals": """
           SELECT h.session_id || '/0' AS session_id, 'Driver ' || h.serial AS driver,

@@ -652,6 +652,15 @@ def csv_rows_window(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return rows.withColumnRenamed(csvfile.TIME_HEADER, "time_text")
 
 
+def csv_rows_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals from the catalogue; they differ by session and are unknown or negative for some."""
+    samples = tables.samples(spark, sf_dir)
+    places = F.when(F.col("channel") == "click", F.col("session_id") % 4 - 1).when(F.col("session_id") % 5 > 0, 2)
+    channels = stats.catalog_of(samples).withColumn("dec_places", places.cast("smallint"))
+    rows = csvfile.csv_rows(samples, ["click", "signup"], catalog=channels)
+    return rows.withColumnRenamed(csvfile.TIME_HEADER, "time_text")
+
+
 def _sidecar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecar texts with all laps of a session as markers; every third session's lack totals or are cut short."""
     found = laps.detect_from_timer(tables.timer(spark, sf_dir))
@@ -916,6 +925,7 @@ def queries() -> dict[str, Query]:
         clean_names,
         csv_rows,
         csv_rows_window,
+        csv_rows_catalog,
         sidecar_totals,
         sidecar_markers,
         sidecar_errors,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +19,22 @@ TIME_DECIMALS = 6
 
 def csv_rows(
     samples: DataFrame,
-    channels: Mapping[str, int],
+    channels: Mapping[str, int] | Sequence[str],
     time_range: tuple[float, float] | None = None,
     seconds: int = slices.SLICE_SECONDS,
+    catalog: DataFrame | None = None,
 ) -> DataFrame:
     """Text rows ``(session_id, out_idx, Time (s), <channels>)`` of the channels, given with their decimals.
 
-    Channels are aligned to the fastest one by nearest sample, inside slices of ``seconds``: the samples are shuffled once, as
+    Channels given as names only have the decimals of ``catalog(session_id, channel, dec_places)``, which may differ by session; negative or unknown
+    ones are none. Channels are aligned to the fastest one by nearest sample, inside slices of ``seconds``: the samples are shuffled once, as
     they are, whatever the fastest rate. A channel that a session lacks reads as 0. The rows of a
     range go from floor(start * rate) to below ceil(end * rate), so a range of no length between two samples has one row.
     """
     if not channels:
         raise ValueError("there are no channels to write")
+    if not isinstance(channels, Mapping) and catalog is None:
+        raise ValueError("channels without decimals need a catalogue")
     if time_range is not None:
         start, end = time_range
         # from whole second to the same whole second is empty at any rate
@@ -39,15 +43,25 @@ def csv_rows(
     chosen = samples.filter(F.col(CHANNEL).isin(list(channels)))
     heads = slices.series_heads(chosen)
     rows = slices.sliced(chosen, heads, seconds=seconds, time_range=time_range)
-    slots = slices.nearest_slots(rows, slices.grids_by_session(heads), time_range, seconds)
-    names = {f"_cell{k}": F.col(CHANNEL) == c for k, c in enumerate(channels)}
-    wide = slices.side_by_side(slots, names, seconds=seconds).drop(CHUNK, CORE)
+    grids = slices.grids_by_session(heads)
+    cells = {f"_cell{k}": F.col(CHANNEL) == c for k, c in enumerate(channels)}
+    if isinstance(channels, Mapping):
+        slots, facts = slices.nearest_slots(rows, grids, time_range, seconds), {}
+        decimals = list(channels.values())
+    else:
+        known = catalog.filter(F.col(CHANNEL).isin(list(channels)) & F.col("dec_places").isNotNull())
+        entry = F.struct(F.col(CHANNEL), F.col("dec_places").cast("int"))
+        places = known.groupBy(SESSION).agg(F.map_from_entries(F.collect_list(entry)).alias("_places"))
+        slots = slices.nearest_slots(rows, grids.join(places, SESSION, "left"), time_range, seconds, keep=["_places"])
+        facts = {f"_dec{k}": F.when(F.col(CHANNEL) == c, F.col("_places")[c]) for k, c in enumerate(channels)}
+        decimals = [F.coalesce(F.col(d), F.lit(0)) for d in facts]
+    wide = slices.side_by_side(slots, cells, seconds=seconds, facts=facts).drop(CHUNK, CORE)
     time = F.col(OUT_IDX) * (F.lit(1.0) / F.col(OUT_FREQ))
     return wide.select(
         SESSION,
         OUT_IDX,
         fixed_text(time, TIME_DECIMALS).alias(TIME_HEADER),
-        *(fixed_text(F.col(cell), decimals).alias(c) for cell, (c, decimals) in zip(names, channels.items())),
+        *(fixed_text(F.col(cell), d).alias(c) for cell, c, d in zip(cells, channels, decimals)),
     )
 
 
