@@ -94,12 +94,17 @@ def refs_frame(spark: SparkSession, refs: Sequence[str]) -> DataFrame:
 
 
 def aliases_frame(spark: SparkSession, aliases: Mapping[str, str] | DataFrame | None) -> DataFrame:
+    """``(alias, target)``; a table may also have a ``session_id``, then an alias holds for its session only."""
     if isinstance(aliases, DataFrame):
-        return aliases.select("alias", "target")
+        return aliases.select(*_by_session(aliases), "alias", "target")
     aliases = aliases or {}
     return _local(spark, {"alias": list(aliases), "target": list(aliases.values())})
 
 
+def _by_session(aliases: DataFrame) -> list[str]:
+    return [c for c in (SESSION,) if c in aliases.columns]
+
+
 def _local(spark: SparkSession, columns: dict[str, list[str]]) -> DataFrame:
     """Strings held by the plan itself, so that the optimizer knows their exact size."""
     return spark.createDataFrame(pa.table({k: pa.array(v, pa.string()) for k, v in columns.items()}))
@@ -114,19 +119,20 @@ def _variants(refs: DataFrame) -> DataFrame:
 
 def _alias_hits(refs: DataFrame, aliases: DataFrame) -> DataFrame:
     """Alias targets by rank: 40..42 for the written forms, 60 for a match in other letter case."""
+    by = _by_session(aliases)
     exact = _variants(refs).join(aliases, F.col("variant") == F.col("alias")).select(
-        "ref", (F.col("form") + 40).alias("rank"), "target"
+        *by, "ref", (F.col("form") + 40).alias("rank"), "target"
     )
     folded = refs.join(aliases, ascii_lower(F.col("ref")) == ascii_lower(F.col("alias"))).select(
-        "ref", F.lit(60).alias("rank"), "target"
+        *by, "ref", F.lit(60).alias("rank"), "target"
     )
     return exact.unionByName(folded)
 
 
 def resolve_alias_targets(refs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Target of each reference that is an alias: ``(ref, target)``, first match by rank then target."""
+    """Target of each reference that is an alias: ``(ref, target)``, by session if the aliases are, first match by rank then target."""
     best = F.min(F.struct("rank", "target"))
-    return _alias_hits(refs, aliases).groupBy("ref").agg(best["target"].alias("target"))
+    return _alias_hits(refs, aliases).groupBy(*_by_session(aliases), "ref").agg(best["target"].alias("target"))
 
 
 def resolve_names(channels: DataFrame, refs: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -135,16 +141,19 @@ def resolve_names(channels: DataFrame, refs: DataFrame, aliases: DataFrame) -> D
     Order of preference: as written, ``_`` as space, ``_`` as dot, alias (same three forms), other letter case,
     alias in other letter case. Equal candidates go by channel index.
 
-    The references and aliases become a short list of wanted names first, so the catalogue is matched by one equi-join.
+    The references and aliases become a short list of wanted names first, so the catalogue is matched by one equi-join; aliases that differ by
+    session by one more, on session and name.
     """
+    by = _by_session(aliases)
     written = _variants(refs).select(
         "ref", ((F.col("form") + 1) * 10).alias("rank"), F.lit("exact").alias("kind"), F.col("variant").alias("key")
     )
-    by_alias = _alias_hits(refs, aliases).select("ref", "rank", F.lit("exact").alias("kind"), F.col("target").alias("key"))
+    by_alias = _alias_hits(refs, aliases).select(*by, "ref", "rank", F.lit("exact").alias("kind"), F.col("target").alias("key"))
     folded = refs.select(
         "ref", F.lit(50).alias("rank"), F.lit("folded").alias("kind"), ascii_lower(F.col("ref")).alias("key")
     )
-    wanted = written.unionByName(by_alias).unionByName(folded)
+    wanted = written.unionByName(folded)
+    wanted = wanted if by else wanted.unionByName(by_alias)
     name = F.col(CHANNEL)
     keyed = channels.select(
         SESSION,
@@ -157,10 +166,12 @@ def resolve_names(channels: DataFrame, refs: DataFrame, aliases: DataFrame) -> D
             )
         ).alias("k"),
     ).select(SESSION, "channel_index", CHANNEL, "k.kind", "k.key")
+    hits = keyed.join(wanted, ["kind", "key"])
+    if by:
+        hits = hits.unionByName(keyed.join(by_alias, [SESSION, "kind", "key"]).select(*hits.columns))
     best = F.min(F.struct("rank", "channel_index", CHANNEL))
     return (
-        keyed.join(wanted, ["kind", "key"])
-        .groupBy(SESSION, "ref")
+        hits.groupBy(SESSION, "ref")
         .agg(best.alias("_best"))
         .select(SESSION, "ref", F.col("_best")[CHANNEL].alias(CHANNEL), F.col("_best")["rank"].alias("rank"))
     )

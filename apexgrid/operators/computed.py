@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apexgrid.chunking import CHUNK, CHUNK_ROWS, CORE
@@ -28,6 +29,7 @@ from apexgrid.operators.stats import channel_stats
 from apexgrid.schema import CHANNEL, FREQ, IDX, SERIES, SESSION, VALUE
 from apexgrid.session import materialised
 
+TWICE = "more than one channel is defined under this name"
 NO_DATA = "none of its channels has samples"
 #: columns of the aligned frame, which SQL texts cannot use as channel names
 RESERVED = {SESSION, OUT_IDX, FREQ, "out_len", CHUNK, CORE}
@@ -47,10 +49,11 @@ class Definition:
     dec_places: int = 2
     category: str = ""
     problem: str | None = None
+    text: str | None = None
 
     @classmethod
     def from_text(cls, name: str, expression: str, unit: str = "", dec_places: int = 2) -> Definition:
-        return cls(name, from_text(expression), unit, dec_places)
+        return cls(name, from_text(expression), unit, dec_places, text=expression)
 
     @classmethod
     def lenient(cls, name: str, expression: str, unit: str = "", dec_places: int = 2) -> Definition:
@@ -58,7 +61,7 @@ class Definition:
         try:
             return cls.from_text(name, expression or "", unit, dec_places)
         except ValueError as error:
-            return cls(name, None, unit, dec_places, problem=str(error))
+            return cls(name, None, unit, dec_places, problem=str(error), text=expression or "")
 
     @property
     def refs(self) -> tuple[str, ...]:
@@ -126,14 +129,116 @@ def evaluate_all(
     faults = {d.name: fault for d in definitions if (fault := d.fault()) is not None}
     stages, cyclic = _stages([d for d in definitions if d.fault() is None])
     heads = materialised(slices.series_heads(samples))
-    catalog = _catalog_of(heads)
     sessions = heads.select(SESSION).distinct()
+    rows, errors = _run(samples, heads, stages, [sessions] * len(stages), aliases, chunk_rows, seconds)
+    circle = {d.name for d in cyclic}
+    faults |= {d.name: f"no channel is named '{next(r for r in d.refs if r in circle)}'" for d in cyclic}
+    if faults:
+        pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(m).alias("message")) for n, m in faults.items()))
+        errors.append(sessions.select(SESSION, F.inline(pairs)))
+    return (
+        reduce(DataFrame.unionByName, rows) if rows else _no_rows(samples),
+        reduce(DataFrame.unionByName, errors) if errors else _errors(sessions.limit(0), "", F.lit("")),
+    )
+
+
+def evaluate_configured(
+    samples: DataFrame,
+    definitions: DataFrame,
+    aliases: DataFrame | None = None,
+    chunk_rows: int = CHUNK_ROWS,
+    seconds: int = slices.SLICE_SECONDS,
+) -> tuple[DataFrame, DataFrame]:
+    """Each session's own definitions with its own aliases, all in one run: ``(rows, errors)`` as of :func:`evaluate_all`.
+
+    ``definitions(session_id, name, expression)`` and ``aliases(session_id, alias, target)`` are what the sessions' configurations hold. Equal
+    definitions of different sessions are planned once, so the plan grows with the different texts, written by hand, and not with the sessions.
+    A definition's stage follows from the other definitions of its session: what is a computed channel in one session may be a logged one, or none,
+    in another.
+
+    Cases: repeated rows are one definition; two texts under one name are an error of their session; a null name or text is an empty one; definitions of
+    sessions without samples are passed over; sessions without definitions give no rows.
+    """
+    samples = samples.select(*SERIES, FREQ, IDX, VALUE)
+    spark = samples.sparkSession
+    heads = materialised(slices.series_heads(samples))
+    own = definitions.select(SESSION, *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "expression")))
+    own = materialised(own.join(heads, SESSION, "left_semi").distinct())
+    texts = [Definition.lenient(*row) for row in own.select("name", "expression").distinct().orderBy("name", "expression").toLocalIterator()]
+    plan = materialised(_planned(own, texts))
+    known = plan.select(F.explode("placed").alias("p")).select("p.stage", "p.no").distinct()
+    numbers: dict[int, list[int]] = {}
+    for stage, no in known.orderBy("stage", "no").toLocalIterator():
+        numbers.setdefault(stage, []).append(no)
+    taking_part = [
+        plan.select(SESSION, F.transform(F.filter("placed", lambda p: p["stage"] == s), lambda p: F.array_position(F.lit(nos), p["no"]) - 1).alias("nos"))
+        for s, nos in numbers.items()
+    ]
+    given = aliases_frame(spark, aliases if aliases is not None else {})
+    stages = [[texts[no] for no in nos] for nos in numbers.values()]
+    sessions = [t.filter(F.size("nos") > 0) for t in taking_part]
+    rows, errors = _run(samples, heads, stages, sessions, given, chunk_rows, seconds)
+    errors.append(plan.select(SESSION, F.inline("faults")))
+    return reduce(DataFrame.unionByName, rows) if rows else _no_rows(samples), reduce(DataFrame.unionByName, errors)
+
+
+def _planned(own: DataFrame, texts: Sequence[Definition]) -> DataFrame:
+    """Per session: ``placed``, the numbers of its definitions with the stage of each, and ``faults``, what is wrong with the others."""
+    spark = own.sparkSession
+    facts = pa.table(
+        {
+            "no": pa.array(range(len(texts)), pa.int32()),
+            "name": pa.array([d.name for d in texts], pa.string()),
+            "expression": pa.array([d.text for d in texts], pa.string()),
+            "refs": pa.array([list(d.refs) for d in texts], pa.list_(pa.string())),
+            "fault": pa.array([d.fault() for d in texts], pa.string()),
+        }
+    )
+    twice = F.when(F.count("*").over(Window.partitionBy(SESSION, "name")) > 1, F.lit(TWICE))
+    known = own.join(spark.createDataFrame(facts), ["name", "expression"]).withColumn("fault", F.coalesce(twice, "fault"))
+    sound = F.col("fault").isNull()
+    listed = known.groupBy(SESSION).agg(
+        F.sort_array(F.collect_list(F.when(sound, F.struct("no", "name", "refs")))).alias("defs"),
+        F.collect_set(F.when(~sound, F.struct("name", F.col("fault").alias("message")))).alias("bad"),
+    )
+
+    def pending(waiting: Column, d: Column) -> Column:
+        return F.filter(d["refs"], lambda r: F.exists(waiting, lambda w: w["name"] == r))
+
+    def step(state: Column, number: Column) -> Column:
+        waiting = state["waiting"]
+        ready = F.filter(waiting, lambda d: F.size(pending(waiting, d)) == 0)
+        return F.struct(
+            F.filter(waiting, lambda d: F.size(pending(waiting, d)) > 0).alias("waiting"),
+            F.concat(state["placed"], F.transform(ready, lambda d: F.struct(d["no"].alias("no"), number.alias("stage")))).alias("placed"),
+        )
+
+    rounds = F.slice(F.sequence(F.lit(0), F.size("defs")), F.lit(1), F.size("defs"))
+    start = F.struct(F.col("defs").alias("waiting"), F.array().cast("array<struct<no:int,stage:int>>").alias("placed"))
+    ended = listed.withColumn("end", F.aggregate(rounds, start, step))
+    circle = F.transform(
+        "end.waiting",
+        lambda d: F.struct(
+            d["name"].alias("name"),
+            F.concat(F.lit("no channel is named '"), F.get(pending(F.col("end.waiting"), d), 0), F.lit("'")).alias("message"),
+        ),
+    )
+    return ended.select(SESSION, F.col("end.placed").alias("placed"), F.concat("bad", circle).alias("faults"))
+
+
+def _run(samples, heads, stages, sessions, aliases, chunk_rows, seconds) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Rows and errors of each stage, over the ``sessions`` of each."""
+    catalog = _catalog_of(heads)
     rows, errors = [], []
-    for number, stage in enumerate(stages):
+    for number, (stage, taking_part) in enumerate(zip(stages, sessions)):
         names = sorted({r for d in stage for r in d.refs})
-        wanted = ascii_lower(F.col(CHANNEL)).isin(wanted_names(names, aliases))
-        candidates = only_channels(samples, catalog, wanted)
-        result, failed = _stage(candidates, heads, catalog, sessions, stage, aliases, chunk_rows, seconds)
+        if isinstance(aliases, DataFrame):
+            meant = resolve_names(catalog, refs_frame(samples.sparkSession, names), aliases).select(CHANNEL).distinct()
+            candidates = samples.join(meant, CHANNEL, "left_semi").select(*samples.columns)
+        else:
+            wanted = ascii_lower(F.col(CHANNEL)).isin(wanted_names(names, aliases))
+            candidates = only_channels(samples, catalog, wanted)
+        result, failed = _stage(candidates, heads, catalog, taking_part, stage, aliases, chunk_rows, seconds)
         later = {r for after in stages[number + 1 :] for d in after for r in d.refs}
         used = [d.name for d in stage if d.name in later]
         if used:
@@ -144,15 +249,7 @@ def evaluate_all(
             catalog = catalog.unionByName(_catalog_of(ends, LAST_INDEX))
         rows.append(result)
         errors.append(failed)
-    circle = {d.name for d in cyclic}
-    faults |= {d.name: f"no channel is named '{next(r for r in d.refs if r in circle)}'" for d in cyclic}
-    if faults:
-        pairs = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(m).alias("message")) for n, m in faults.items()))
-        errors.append(sessions.select(SESSION, F.inline(pairs)))
-    return (
-        reduce(DataFrame.unionByName, rows) if rows else _no_rows(samples),
-        reduce(DataFrame.unionByName, errors) if errors else _errors(sessions.limit(0), "", F.lit("")),
-    )
+    return rows, errors
 
 
 def _stage(
@@ -161,11 +258,11 @@ def _stage(
     catalog: DataFrame,
     sessions: DataFrame,
     stage: Sequence[Definition],
-    aliases: Mapping[str, str],
+    aliases: Mapping[str, str] | DataFrame,
     chunk_rows: int,
     seconds: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """Definitions that refer to no pending one, together."""
+    """Definitions that refer to no pending one, together; ``sessions`` may list in ``nos`` which of them each session has."""
     refs = sorted({r for d in stage for r in d.refs})
     status = _status(heads, catalog, sessions, stage, refs, aliases)
     errors = status.filter("message IS NOT NULL").select(SESSION, F.col("d.name").alias("name"), "message")
@@ -219,6 +316,8 @@ def _status(heads, catalog, sessions, stage, refs, aliases) -> DataFrame:
             for k, d in enumerate(stage)
         )
     )
+    if "nos" in sessions.columns:
+        listed = F.filter(listed, lambda d: F.array_contains("nos", d["no"].cast("bigint")))
     both = sessions.join(per_session, SESSION, "left").select(SESSION, "found", F.explode(listed).alias("d"))
     data = F.exists("d.refs", lambda r: F.coalesce(F.col("found")[r]["n"] > 0, F.lit(False)))
     missing = F.filter("d.refs", lambda r: F.col("found")[r].isNull())

@@ -576,6 +576,20 @@ def _oracles() -> dict[str, str]:
         "computed_faults": """
           SELECT session_id, name, message FROM (SELECT DISTINCT session_id FROM samples) s, (VALUES
             ('Bad', 'sin takes 1 argument(s), not 2'), ('Gone', 'no channel is named ''nothing''')) AS e(name, message)""",
+        "configured_channels": f"""
+          WITH v AS (SELECT * FROM samples WHERE channel = CASE session_id % 3 WHEN 0 THEN 'view' WHEN 1 THEN 'click' END),
+          m AS (SELECT * FROM samples WHERE session_id % 3 = 0 AND channel = 'view' OR session_id % 6 = 5 AND channel = 'purchase')
+          SELECT session_id, 'Twice' AS channel, freq, sample_idx, {rounded("value * 2", "value")} FROM v
+          UNION ALL SELECT session_id, 'Slope', freq, sample_idx, {rounded("value * 6 + 1", "value")} FROM v WHERE session_id % 3 = 0
+          UNION ALL SELECT session_id, 'Slope', freq, sample_idx, {rounded("value - 1", "value")} FROM samples
+            WHERE channel = 'click' AND (session_id % 3 = 1 OR session_id % 6 = 5)
+          UNION ALL SELECT session_id, 'Mean', freq, sample_idx,
+            {rounded("AVG(value) OVER (PARTITION BY session_id ORDER BY sample_idx ROWS 3 PRECEDING)", "value")} FROM m""",
+        "configured_faults": """
+          SELECT session_id, name, message FROM (SELECT DISTINCT session_id FROM samples) s, (VALUES
+            (1, 'Round', 'no channel is named ''Turn'''), (1, 'Turn', 'no channel is named ''Round'''), (2, 'Bad', 'sin takes 1 argument(s), not 2'),
+            (2, 'Twice', 'none of its channels has samples')) AS e(kind, name, message) WHERE session_id % 3 = kind
+          UNION ALL SELECT DISTINCT session_id, 'Slope', 'more than one channel is defined under this name' FROM samples WHERE session_id % 6 = 2""",
         "computed_stats": f"""
           SELECT session_id, 'Twice' AS channel, {rounded("MIN(value * 2)", "min_value")}, {rounded("MAX(value * 2)", "max_value")},
             {rounded("AVG(value * 2)", "avg_value")} FROM samples_nan WHERE channel = 'click' AND NOT ISNAN(value) GROUP BY 1""",

@@ -411,6 +411,38 @@ def computed_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared(spark, sf_dir)[1]
 
 
+def _configured(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Three configurations: one text under two aliases and without, a name computed in a later stage here and at once or not at all there, two
+    texts under one name, a circle, an unreadable text."""
+    channel = '{"name": "%s", "expression": "%s", "unit": "", "dec_places": 2}'
+    shapes = [
+        ('{"alias": "V", "target": "view"}', {"Twice": "V * 2", "Slope": "Twice * 3 + 1", "Mean": "smooth(V, 4)"}),
+        ('{"alias": "V", "target": "click"}, {"alias": "v", "target": "view"}', {"Twice": "V * 2", "Slope": "V - 1", "Round": "Slope + Turn", "Turn": "Round"}),
+        ("", {"Twice": "V * 2", "Mean": "smooth(purchase, 4)", "Bad": "sin(click, 1)", "Slope": "click - 1"}),
+    ]
+    texts = [
+        F.lit('{"channel_aliases": [' + names + '], "math_channels": [' + ", ".join(channel % d for d in found.items()) + "]}")
+        for names, found in shapes
+    ]
+    k = F.col("session_id")
+    text = F.when(k % 3 == 0, texts[0]).when(k % 3 == 1, texts[1]).otherwise(F.replace(texts[2], F.lit("Mean"), F.when(k % 2 == 0, F.lit("Slope")).otherwise(F.lit("Mean"))))
+    files = tables.session_headers(spark, sf_dir).select(k.cast("string").alias("path"), text.alias("json"))
+    configs = config.parse_configs(files)
+    own = F.col("path").cast("bigint").alias("session_id")
+    definitions = config.channel_defs(configs).select(own, "name", "expression")
+    aliases = config.aliases(configs).select(own, "alias", "target")
+    return computed.evaluate_configured(tables.samples(spark, sf_dir), definitions, aliases, **options)
+
+
+def configured_channels(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """From the text of a configuration for each session to its own computed channels."""
+    return _round(_configured(spark, sf_dir, **options)[0], "value")
+
+
+def configured_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _configured(spark, sf_dir)[1]
+
+
 def computed_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = computed.evaluate(tables.samples_nan(spark, sf_dir), Definition("Twice", ch("click") * 2))
     return _round(computed.computed_stats(rows), "min_value", "max_value", "avg_value")
@@ -854,6 +886,7 @@ def _small_chunks() -> dict[str, Query]:
         "lap_histogram": partial(lap_histogram, chunk_rows=SMALL),
         "scatter": partial(scatter, chunk_rows=SMALL),
         "computed_shared": partial(computed_shared, chunk_rows=SMALL, seconds=3),
+        "configured_channels": partial(configured_channels, chunk_rows=SMALL, seconds=3),
         "csv_rows": partial(csv_rows, seconds=2),
         "csv_rows_window": partial(csv_rows_window, seconds=2),
     }
@@ -930,6 +963,8 @@ def queries() -> dict[str, Query]:
         sidecar_markers,
         sidecar_errors,
         config_tables,
+        configured_channels,
+        configured_faults,
         configured_report,
         distance_axis,
         lap_overlay,
