@@ -56,7 +56,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    back = chat_windows.read_back(chat_windows.windows(conversations(spark, sf_dir)))
+    back = chat_windows.read_back(chat_windows.windows(conversations(spark, sf_dir), whole=True))
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return back.select(
         "conv_id",

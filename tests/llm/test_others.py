@@ -29,7 +29,7 @@ TALKS = (
 @pytest.mark.parametrize("budget, history", [(1024, 128), (60, 20), (8, 100)])
 def test_chat_windows_read_back(spark, budget, history):
     talks = spark.createDataFrame(TALKS, "conv_id bigint, turn bigint, role string, text string").withColumn("window", F.lit("x"))
-    windows = chat_windows.windows(talks, budget, history)
+    windows = chat_windows.windows(talks, budget, history, whole=budget < 100)
     got = {r.conv_id: r for r in chat_windows.read_back(windows).collect()}
     by = {}
     for r in TALKS:
@@ -49,6 +49,32 @@ def test_chat_windows_read_back(spark, budget, history):
             assert w.formatted.startswith("<|im_start|>system")
 
 
+def test_chat_windows_are_filled(spark):
+    """Windows against a loop: greedy by prefix sums inside parts, with history across their borders."""
+    rng = random.Random(11)
+    talks = [(0, 250 + i, "system" if i == 0 else ["assistant", "user"][i % 2], "w " * rng.randrange(1, 120)) for i in range(300)]
+    budget, history = 400, 60
+    got = chat_windows.windows(spark.createDataFrame(talks, "conv_id bigint, turn bigint, role string, text string"), budget, history).collect()
+    size = lambda r: r[3].count("w") + 1 + chat_windows.MARKERS
+    system, turns = size(talks[0]), talks[1:]
+    expected = []
+    k = 0
+    while k < len(turns):
+        low = k
+        # into the part before only as far as the copies go
+        while low and sum(map(size, turns[low - 1 : k])) <= history and turns[low - 1][1] // 256 >= turns[k][1] // 256 - 1:
+            low -= 1
+        back = sum(map(size, turns[low:k]))
+        back = back if back + size(turns[k]) + system <= budget else 0
+        total, first = system + back, k
+        while k < len(turns) and turns[k][1] // 256 == turns[first][1] // 256 and (k == first or total + size(turns[k]) <= budget):
+            total += size(turns[k])
+            k += 1
+        expected.append((total, (0 if first == 0 else 1) + (first - low if back else 0)))
+    assert [(w.n_tokens, w.new_from) for w in sorted(got, key=lambda w: tuple(w.window))] == expected
+    assert sum(w.n_tokens for w in got) > 0.8 * budget * len(got)
+
+
 def test_chat_without_rows(spark):
     talks = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     assert chat_windows.read_back(chat_windows.windows(talks)).collect() == []
