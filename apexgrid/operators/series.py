@@ -1,4 +1,10 @@
-"""Order-dependent functions of evenly sampled series: smoothing, derivative, integral, forward fill."""
+"""Order-dependent functions of evenly sampled series: smoothing, derivative, integral, forward fill.
+
+A moving average of any width ``n`` is made of blocks of ``n`` indexes: what lies in the window is the end of one block and the beginning of the next, so two
+running sums, forwards and backwards inside blocks, are added. Nothing is subtracted: an average is as exact when its series is long as when it is short, and it
+does not depend on where chunks end. It is divided by the number of rows there are, counted from the first row of the series, which need not have
+index 0.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexgrid.chunking import CHUNK, CHUNK_ROWS, CORE, chunk_window, earlier_chunks, with_chunk, with_halo
+from apexgrid.chunking import CHUNK, CHUNK_ROWS, CORE, chunk_facts, chunk_window, earlier_chunks, int_div, with_chunk, with_halo
 from apexgrid.functions.channel import Step
 from apexgrid.functions.scalar import arg, nan
 from apexgrid.schema import FREQ, IDX, SERIES, VALUE
 
-# widest moving average that re-adds its frame per row; wider ones subtract prefix sums. Every form divides by the number
-# of rows there are, counted from the first row of the series, which need not have index 0
-FRAME_ROWS = 64
-
-
 def smooth(samples: DataFrame, window: int, keys: Sequence[str] = SERIES, **options) -> DataFrame:
     return _single("smooth", samples, keys, window=max(int(window), 1), **options)
 
@@ -98,25 +99,15 @@ def _near_steps(frame, steps, keys, idx, freq, chunk_rows, haloed=False) -> Data
         elif s.kind == "integrate":
             area = (previous + x) * 0.5 * (F.lit(1.0) / rate)
             local[s.output] = F.when(F.col(CORE), F.coalesce(area, F.lit(0.0))).otherwise(F.lit(0.0))
-        elif s.window <= FRAME_ROWS:
-            local[s.output] = F.avg(x).over(order.rowsBetween(1 - s.window, 0))
-        else:
-            total = F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0))
-            local[s.output] = total
     rows = rows.withColumns(local)
 
-    wide = [s for s in steps if s.kind == "smooth" and s.window > FRAME_ROWS]
-    if wide:
-        rows = rows.withColumns(
-            {
-                s.output: (
-                    F.col(s.output)
-                    - F.coalesce(F.lag(s.output, s.window).over(order), F.lit(0.0))
-                )
-                / F.least(F.lit(s.window), F.row_number().over(order))
-                for s in wide
-            }
-        )
+    for s in (s for s in steps if s.kind == "smooth"):
+        rows = _block_sums(rows.withColumn("_block", int_div(F.col(idx), s.window)), sources[s.output], keys, idx)
+        end = F.struct("_block", "_until")
+        # the first row of the window, or of the series
+        start = F.coalesce(F.lag(end, s.window - 1).over(order), F.first(end).over(order))
+        count = F.least(F.lit(s.window), F.row_number().over(order))
+        rows = rows.withColumn(s.output, _window_sum(start["_block"], start["_until"]) / count).drop("_block", "_so_far", "_until")
     rows = rows.filter(CORE)
 
     integrals = [s for s in steps if s.kind == "integrate"]
@@ -172,46 +163,70 @@ def _poisoned(out: str, window: Column, idx: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), nan()).otherwise(F.col(out))
 
 
+def _block_sums(rows: DataFrame, source: str, keys: Sequence[str], idx: str) -> DataFrame:
+    """Running sums of a chunk inside its blocks: ``_so_far`` up to a row, ``_until`` from it to the end, itself included."""
+    block = Window.partitionBy(*keys, CHUNK, "_block")
+    so_far, until = (
+        F.sum(source).over(block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) for order in (F.col(idx), F.col(idx).desc())
+    )
+    return rows.withColumn("_until", until).withColumn("_so_far", so_far)
+
+
+def _window_sum(block: Column, until: Column) -> Column:
+    """Sum from the row with ``block`` and ``until`` to the current one, at most a block later."""
+    return F.when(block < F.col("_block"), until + F.col("_so_far")).otherwise(F.col("_so_far"))
+
+
 def _smooth_shifted(frame, step: Step, keys, idx, chunk_rows) -> DataFrame:
-    """Moving average of any width: prefix sums over the whole series, subtracted by an index-shifted join."""
+    """Moving average wider than a chunk, or as wide as the first row of the series says.
+
+    Blocks go over several chunks here. A chunk knows the sums of its first and last block, and one row per chunk carries them on; the first row of a
+    window is met by an index-shifted join.
+    """
     columns = frame.columns
     out = step.output
     frame = frame.withColumn("_x", step.source)
-    if isinstance(step.window, Column):
-        frame = frame.withColumn("_w", step.window)
-    else:
-        frame = frame.withColumn("_w", F.lit(float(step.window)))
-    chunked = with_chunk(frame, idx, chunk_rows)
-    order = chunk_window(keys, idx)
-    local = chunked.withColumn(
-        "_sum", F.sum("_x").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    facts = chunked.groupBy(*keys, CHUNK).agg(
-        F.sum("_x").alias("_total"), F.min_by("_w", idx).alias("_w0"), F.min(idx).alias("_start")
-    )
+    width = step.window if isinstance(step.window, Column) else F.lit(float(step.window))
+    chunked = with_chunk(frame.withColumn("_w", width), idx, chunk_rows)
     series = Window.partitionBy(*keys)
-    facts = facts.select(
-        *keys,
-        CHUNK,
-        F.coalesce(F.sum("_total").over(earlier_chunks(keys)), F.lit(0.0)).alias("_base"),
-        F.min_by("_w0", "_start").over(series).alias("_w0"),
-        F.min("_start").over(series).alias("_first"),
-    ).join(_first_bad(chunked, {out: "_x"}, keys, idx), [*keys, CHUNK])
-    width = F.coalesce(F.nanvl("_w0", F.lit(None).cast("double")), F.lit(1.0))
+    found = chunked.groupBy(*keys, CHUNK).agg(F.min_by("_w", idx).alias("_w0"), F.min(idx).alias("_low"), F.max(idx).alias("_high"))
+    width = F.coalesce(F.nanvl(F.min_by("_w0", "_low").over(series), F.lit(None).cast("double")), F.lit(1.0))
     width = F.least(F.greatest(width, F.lit(1.0)), F.lit(float(2**62))).cast("bigint")
-    summed = (
-        local.join(facts, [*keys, CHUNK])
-        .withColumn("_sum", F.col("_sum") + F.col("_base"))
-        .withColumn("_n", width)
+    known = found.select(*keys, CHUNK, width.alias("_n"), F.min("_low").over(series).alias("_first"), "_low", "_high").join(
+        _first_bad(chunked, {out: "_x"}, keys, idx), [*keys, CHUNK]
+    )
+    known = known.withColumns({"_head": int_div(F.col("_low"), F.col("_n")), "_tail": int_div(F.col("_high"), F.col("_n"))})
+    rows = chunked.join(chunk_facts(known), [*keys, CHUNK]).withColumn("_block", int_div(F.col(idx), F.col("_n")))
+
+    of = lambda block: F.coalesce(F.sum(F.when(F.col("_block") == F.col(block), F.col("_x"))), F.lit(0.0))
+    sums = rows.groupBy(*keys, CHUNK, "_first", "_low", "_head", "_tail").agg(of("_head").alias("_in_head"), of("_tail").alias("_in_tail"))
+    onwards = Window.partitionBy(*keys, "_tail").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
+    backwards = Window.partitionBy(*keys, "_head").orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, 0)
+    chunks = Window.partitionBy(*keys).orderBy(CHUNK)
+    sums = sums.withColumns({"_from_left": F.sum("_in_tail").over(onwards), "_from_right": F.sum("_in_head").over(backwards)})
+    left, right = F.lag(F.struct("_tail", "_from_left")).over(chunks), F.lead(F.struct("_head", "_from_right")).over(chunks)
+    sums = sums.withColumns(
+        {
+            "_before": F.when(left["_tail"] == F.col("_head"), left["_from_left"]).otherwise(0.0),
+            "_after": F.when(right["_head"] == F.col("_tail"), right["_from_right"]).otherwise(0.0),
+        }
     )
-    shifted = summed.select(*keys, (F.col(idx) + F.col("_n")).alias(idx), F.col("_sum").alias("_before"))
+    opening = F.col("_in_head") + F.when(F.col("_head") == F.col("_tail"), F.col("_after")).otherwise(0.0)
+    opening = F.min_by(F.struct(F.col("_head").alias("block"), opening.alias("until")), "_low").over(series)
+    sums = sums.select(*keys, CHUNK, "_before", "_after", opening.alias("_opening"))
+
+    summed = _block_sums(rows, "_x", keys, idx).join(chunk_facts(sums), [*keys, CHUNK])
+    summed = summed.withColumns(
+        {
+            "_so_far": F.col("_so_far") + F.when(F.col("_block") == F.col("_head"), F.col("_before")).otherwise(0.0),
+            "_until": F.col("_until") + F.when(F.col("_block") == F.col("_tail"), F.col("_after")).otherwise(0.0),
+        }
+    )
+    shifted = summed.select(*keys, (F.col(idx) + F.col("_n") - 1).alias(idx), F.struct(F.col("_block").alias("block"), F.col("_until").alias("until")).alias("_start"))
+    start = F.coalesce("_start", "_opening")
     return (
         summed.join(shifted, [*keys, idx], "left")
-        .withColumn(
-            out,
-            (F.col("_sum") - F.coalesce("_before", F.lit(0.0)))
-            / F.least(F.col("_n"), F.col(idx) - F.col("_first") + 1),
-        )
+        .withColumn(out, _window_sum(start["block"], start["until"]) / F.least(F.col("_n"), F.col(idx) - F.col("_first") + 1))
         .withColumn(out, _poisoned(out, F.col("_n"), idx))
         .select(*columns, out)
     )

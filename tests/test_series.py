@@ -42,9 +42,7 @@ def test_known_vectors(make, read):
 
 
 @pytest.mark.parametrize("window", [1, 3, 15, 16, 17, 30, 200])
-@pytest.mark.parametrize("frame_rows", [4, 64])
-def test_smooth_is_a_running_mean(make, read, monkeypatch, window, frame_rows):
-    monkeypatch.setattr(series, "FRAME_ROWS", frame_rows)
+def test_smooth_is_a_running_mean(make, read, window):
     got = read(
         series.smooth(make(SERIES), window, out="r", chunk_rows=CHUNK), ["session_id", "channel"], "sample_idx", "r"
     )
@@ -53,10 +51,8 @@ def test_smooth_is_a_running_mean(make, read, monkeypatch, window, frame_rows):
 
 
 @pytest.mark.parametrize("window", [1, 3, 15, 16, 17, 30, 200])
-@pytest.mark.parametrize("frame_rows", [4, 64])
-def test_smooth_of_a_slice(make, read, monkeypatch, window, frame_rows):
-    """A series that does not start at index 0, as a time window gives, for every form of the moving average."""
-    monkeypatch.setattr(series, "FRAME_ROWS", frame_rows)
+def test_smooth_of_a_slice(make, read, window):
+    """A series that does not start at index 0, as a time window gives."""
     sliced = make(SERIES).filter("sample_idx >= 21")
     got = read(series.smooth(sliced, window, out="r", chunk_rows=CHUNK), ["session_id", "channel"], "sample_idx", "r")
     for key, (_, x) in SERIES.items():
@@ -64,6 +60,16 @@ def test_smooth_of_a_slice(make, read, monkeypatch, window, frame_rows):
             assert_same(got[key], trailing_mean(x[21:], window), 1e-8)
 
 
+@pytest.mark.parametrize("window", [5, 40])
+def test_smooth_after_large_values(make, read, window):
+    """Values that have left the window leave nothing behind, whatever chunks they were in."""
+    x = [1e15 + k for k in range(45)] + noisy(115, 8)
+    for rows in (16, 64, 1000):
+        got = read(series.smooth(make({("s", "v"): (1, x)}), window, out="r", chunk_rows=rows), ["session_id"], "sample_idx", "r")["s"]
+        for i in range(45 + window, 160):
+            assert abs(got[i] - sum(x[i - window + 1 : i + 1]) / window) < 1e-12
+
+
 @pytest.mark.parametrize("op,loop", [(series.derivative, slope), (series.integrate, area)])
 def test_derivative_and_integral(make, read, op, loop):
     got = read(op(make(SERIES), out="r", chunk_rows=CHUNK), ["session_id", "channel"], "sample_idx", "r")
