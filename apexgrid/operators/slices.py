@@ -123,10 +123,14 @@ def _slots(
         low, high = F.greatest(low, limits[0]), F.least(high, limits[1] - 1)
     k, still = F.col(IDX), F.col(FREQ) <= 0
     ends = still | (k == F.col("n") - 1)
-    first = F.when(still, low).otherwise(F.greatest(first_slot(k, place, guess), low))
-    last = F.when(ends, high).otherwise(F.least(first_slot(k + 1, place, guess) - 1, high))
+    # guesses in columns of their own, and no filter on the slots: it would join the condition of the join, with both ends spelled out
+    # again. Either makes a method too long for the JIT compiler
+    both = both.withColumns({"_guess": guess(k), "_guess_next": guess(k + 1)})
+    first = F.when(still, low).otherwise(F.greatest(first_slot(k, place, lambda _: F.col("_guess")), low))
+    last = F.when(ends, high).otherwise(F.least(first_slot(k + 1, place, lambda _: F.col("_guess_next")) - 1, high))
     spans = both.select(*rows.columns, "n", OUT_FREQ, "out_len", *keep, ends.alias("_ends"), first.alias("_first"), last.alias("_last"))
-    return spans.filter("_first <= _last").withColumn(OUT_IDX, F.explode(F.sequence("_first", "_last")))
+    filled = F.when(F.col("_first") <= F.col("_last"), F.sequence("_first", "_last"))
+    return spans.withColumn(OUT_IDX, F.explode(filled))
 
 
 def _with_next(rows: DataFrame) -> DataFrame:

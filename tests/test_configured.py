@@ -7,6 +7,7 @@ from helpers import assert_same
 from apexgrid.operators import computed
 from apexgrid.operators.catalog import aliases_frame, refs_frame, resolve_names
 from apexgrid.operators.computed import Definition
+from apexgrid.plans import queries
 
 DEFINITIONS = "session_id string, name string, expression string"
 ALIASES = "session_id string, alias string, target string"
@@ -85,3 +86,17 @@ def test_aliases_by_session(spark, make):
     assert {(r.session_id, r.ref, r.channel) for r in got.collect()} == {
         ("a", "V", "RPM"), ("a", "speed", "Speed"), ("b", "V", "V"), ("b", "W", "Speed"), ("b", "speed", "Speed"),
     }
+
+
+def test_configurations_are_not_parsed_per_event(spark, monkeypatch):
+    """Filters on what a text holds would go below the grouping of the events by session."""
+    given = {}
+
+    def capture(samples, definitions, aliases, **options):
+        given.update(samples=samples, definitions=definitions, aliases=aliases)
+        return samples, samples
+
+    monkeypatch.setattr(computed, "evaluate_configured", capture)
+    queries.configured_faults(spark, "/root/testdata/sf0.001")
+    for name, frame in given.items():
+        assert "events.parquet" not in " ".join(frame.inputFiles()), name

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 
 import pytest
 from helpers import INF, NAN, assert_same, linear, nearest
@@ -165,3 +166,18 @@ def test_repeated_steps_are_worked_out_once():
     nested = [smooth(v * 2, 3) for v in (a, b)]
     kept, same = shared_steps([s for c in (a, b, *nested, smooth(ch("x"), 4)) for s in c.steps])
     assert len(kept) == 3 and len(same) == 2
+
+
+def test_filling_slots_is_compiled(spark, make):
+    """The JVM leaves methods of over 8,000 bytes uncompiled."""
+    heads = slices.series_heads(make({("s", "a"): (20, range(50)), ("s", "b"): (5, range(9))}))
+    grids = slices.grids_by_session(heads)
+    rows = slices.sliced(make({("s", "a"): (20, range(50)), ("s", "b"): (5, range(9))}), heads)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for slots in (slices.linear_slots(rows, grids), slices.nearest_slots(rows, grids)):
+            code = spark._jvm.PythonSQLUtils.explainString(slots._jdf.queryExecution(), "codegen")
+            assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
